@@ -90,7 +90,7 @@ def _stored(spark: SparkSession, sf_dir: str) -> str:
     logs = events_as_logs(spark, sf_dir)
     stored = logs.withColumn(
         "attr_text", attribute_text(as_map(F.try_parse_json("attributes")))
-    ).withColumn("_batch", F.floor(F.col("id") / 1000) % 3)
+    ).withColumn("_batch", F.expr("id div 1000 % 3"))
     root = scratch_path(spark, "table")
     for batch in range(3):
         part = stored.where(F.col("_batch") == batch)

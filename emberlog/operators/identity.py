@@ -35,15 +35,8 @@ def number_lanes(df: DataFrame, lane: list[str], sequence: str, name: str) -> Da
         running += rows
     table = table.append_column("_offset", pa.array(offsets, pa.int64())).drop_columns(["_rows"])
     offset = df.sparkSession.createDataFrame(table)
-    keys = [F.col(f"d.{c}").eqNullSafe(F.col(f"o.{c}")) for c in lane]
-    condition = keys[0]
-    for key in keys[1:]:
-        condition = condition & key
-    return (
-        df.alias("d")
-        .join(offset.alias("o"), condition)
-        .select("d.*", (F.col("o._offset") + F.col(f"d.{sequence}") - F.col("o._first")).alias(name))
-    )
+    position = F.col("_offset") + F.col(sequence) - F.col("_first")
+    return df.join(offset, lane).withColumn(name, position).select(*df.columns, name)
 
 
 def dense_index(df: DataFrame, order: list[Column], name: str = "row_index") -> DataFrame:

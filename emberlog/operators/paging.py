@@ -59,5 +59,4 @@ def number_pages(df: DataFrame, page_size: int = DEFAULT_LIMIT, **filters) -> Da
     size = check_limit(page_size)
     matching = apply_filters(df, **filters).select(*LOG_COLUMNS)
     indexed = dense_index(matching, [F.desc("timestamp"), F.desc("id")], "_index")
-    page_no = F.floor(F.col("_index") / size).cast("long") + 1
-    return indexed.withColumn("page_no", page_no).select("page_no", *LOG_COLUMNS)
+    return indexed.withColumn("page_no", F.expr(f"_index div {size}") + 1).select("page_no", *LOG_COLUMNS)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,12 +19,18 @@ from emberlog.functions.variants import (
     is_object,
     is_scalar,
     is_string,
-    kind,
 )
 
 ACCEPTED_COLUMNS = ("timestamp", "level", "service", "message", "attributes", "attr_text")
 
 
+_FIELDS = ("timestamp", "level", "service", "message", "attributes")
+
+
+def _string(value: Column) -> Column:
+    return F.when(is_string(value), as_string(value))
+
+
 def _quoted(prefix: str, value: Column) -> Column:
     return F.concat(F.lit(prefix), value, F.lit("'"))
 
@@ -32,6 +40,12 @@ def _bad_length(trimmed: Column, longest: int) -> Column:
     return (length < 1) | (length > longest)
 
 
+def _rarely(build: Callable[[Column], Column], value: Column) -> Column:
+    """``build(value)`` as a lambda body: a large expression needed for few rows then stays out of the generated
+    code of the hot path, which must remain small enough for the JIT compiler."""
+    return F.element_at(F.transform(F.array(value), lambda v: build(v)), 1)
+
+
 def check_entries(entries: DataFrame, now: Column | None = None) -> DataFrame:
     """Replace ``entry VARIANT`` by ``reason`` (NULL: accepted) and the accepted columns.
 
@@ -39,54 +53,55 @@ def check_entries(entries: DataFrame, now: Column | None = None) -> DataFrame:
     ``entry`` is absent altogether (a refused envelope) keep the reason they came with.
     """
     now = F.current_timestamp() if now is None else now
-    entry = F.col("entry")
-    parts = entries.select(
-        *[c for c in entries.columns if c != "entry"],
-        entry,
-        *[field(entry, name).alias(f"_{name}") for name in ("timestamp", "level", "service", "message", "attributes")],
+    carried = [c for c in entries.columns if c not in ("entry", "reason")]
+    refused = F.col("reason") if "reason" in entries.columns else F.lit(None).cast("string")
+    fields = entries.select(
+        *carried,
+        "entry",
+        F.when(F.col("entry").isNull(), refused).alias("_refused"),
+        *[field(F.col("entry"), name).alias(f"_{name}") for name in _FIELDS],
     )
-    raw_ts = as_string(F.col("_timestamp"))
-    texts = parts.select(
+    # Only strings get past this step, so a NULL text below means missing or of another type.
+    texts = fields.select(
+        *carried,
+        "_refused",
+        "_level",
+        "_attributes",
+        F.when(~is_string(F.col("_timestamp")), is_object(F.col("entry"))).alias("_is_object"),
+        _string(F.col("_timestamp")).alias("_ts_text"),
+        _string(F.col("_level")).alias("level"),
+        trim_white_space(_string(F.col("_service"))).alias("service"),
+        trim_white_space(_string(F.col("_message"))).alias("message"),
+    )
+    parsed = texts.select(
         "*",
-        F.when(is_string(F.col("_timestamp")), raw_ts).alias("_ts_text"),
-        F.when(is_string(F.col("_level")), as_string(F.col("_level"))).alias("level"),
-        F.when(is_string(F.col("_service")), trim_white_space(as_string(F.col("_service")))).alias("service"),
-        F.when(is_string(F.col("_message")), trim_white_space(as_string(F.col("_message")))).alias("message"),
+        F.when(F.col("_ts_text").rlike(fixed.ENTRY_TIMESTAMP_PATTERN), parse_instant(F.col("_ts_text"))).alias(
+            "timestamp"
+        ),
         as_map(F.col("_attributes")).alias("_attr_map"),
-    ).withColumn(
-        "timestamp",
-        F.when(F.col("_ts_text").rlike(fixed.ENTRY_TIMESTAMP_PATTERN), parse_instant(F.col("_ts_text"))),
     )
-    flat = F.forall(F.map_values("_attr_map"), is_scalar)
-    has_attributes = kind(F.col("_attributes")).isNotNull()
-    ts = F.col("timestamp")
+    not_flat = F.col("_attr_map").isNull() | ~F.forall(F.map_values("_attr_map"), is_scalar)
+    ts_text, ts = F.col("_ts_text"), F.col("timestamp")
+    level, service, message = F.col("level"), F.col("service"), F.col("message")
     reason = (
-        F.when(
-            F.col("_ts_text").isNull(),
-            F.when(is_object(entry), F.lit(fixed.REASON_TIMESTAMP_MISSING)).otherwise(F.lit(fixed.REASON_ENTRY)),
-        )
-        .when(ts.isNull(), _quoted(fixed.REASON_TIMESTAMP_INVALID, F.col("_ts_text")))
+        F.when(F.col("_refused").isNotNull(), F.col("_refused"))
+        .when(ts_text.isNull() & ~F.col("_is_object"), F.lit(fixed.REASON_ENTRY))
+        .when(ts_text.isNull(), F.lit(fixed.REASON_TIMESTAMP_MISSING))
+        .when(ts.isNull(), _quoted(fixed.REASON_TIMESTAMP_INVALID, ts_text))
+        .when(ts > now + F.make_dt_interval(secs=F.lit(fixed.MAX_FUTURE_SECONDS)), _quoted(fixed.REASON_TIMESTAMP_FUTURE, ts_text))
         .when(
-            ts > now + F.make_dt_interval(secs=F.lit(fixed.MAX_FUTURE_SECONDS)),
-            _quoted(fixed.REASON_TIMESTAMP_FUTURE, F.col("_ts_text")),
+            level.isNull() | ~level.isin(*fixed.LEVELS),
+            _quoted(fixed.REASON_LEVEL, _rarely(displayed, F.col("_level"))),
         )
-        .when(
-            F.col("level").isNull() | ~F.col("level").isin(*fixed.LEVELS),
-            _quoted(fixed.REASON_LEVEL, displayed(F.col("_level"))),
-        )
-        .when(F.col("service").isNull(), F.lit(fixed.REASON_SERVICE_MISSING))
-        .when(_bad_length(F.col("service"), fixed.MAX_SERVICE_LENGTH), F.lit(fixed.REASON_SERVICE_EMPTY))
-        .when(F.col("message").isNull(), F.lit(fixed.REASON_MESSAGE_MISSING))
-        .when(_bad_length(F.col("message"), fixed.MAX_MESSAGE_LENGTH), F.lit(fixed.REASON_MESSAGE_EMPTY))
-        .when(has_attributes & (F.col("_attr_map").isNull() | ~flat), F.lit(fixed.REASON_ATTRIBUTES))
+        .when(service.isNull(), F.lit(fixed.REASON_SERVICE_MISSING))
+        .when(_bad_length(service, fixed.MAX_SERVICE_LENGTH), F.lit(fixed.REASON_SERVICE_EMPTY))
+        .when(message.isNull(), F.lit(fixed.REASON_MESSAGE_MISSING))
+        .when(_bad_length(message, fixed.MAX_MESSAGE_LENGTH), F.lit(fixed.REASON_MESSAGE_EMPTY))
+        .when(F.col("_attributes").isNotNull() & not_flat, F.lit(fixed.REASON_ATTRIBUTES))
     )
-    if "reason" in entries.columns:
-        reason = F.when(F.col("entry").isNull(), F.col("reason")).otherwise(reason)
-    carried = [c for c in entries.columns if c not in ("entry", "reason")]
-    verdict = texts.select("*", reason.alias("_verdict"))
+    verdict = parsed.select("*", reason.alias("_verdict"))
     accepted = F.col("_verdict").isNull()
-    return verdict.select(
-        *carried,
+    result = F.struct(
         F.col("_verdict").alias("reason"),
         *[F.when(accepted, F.col(c)).alias(c) for c in ("timestamp", "level", "service", "message")],
         F.when(accepted, F.coalesce(F.to_json("_attributes"), F.lit("{}"))).alias("attributes"),
@@ -95,6 +110,9 @@ def check_entries(entries: DataFrame, now: Column | None = None) -> DataFrame:
             F.coalesce(attribute_text(F.col("_attr_map")), F.create_map().cast("map<string,string>")),
         ).alias("attr_text"),
     )
+    # A generator is where predicate pushdown stops: a filter on ``reason`` would otherwise be rewritten in terms of
+    # the raw entry and decide everything a second time.
+    return verdict.select(*carried, F.inline(F.array(result)))
 
 
 def split_checked(checked: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -85,11 +85,9 @@ def explode_envelopes(envelopes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``(entries, refused)``: ``(envelope_id, index, entry VARIANT)`` and ``(envelope_id, reason)``.
 
     Entries are not looked at here; a document that is no object with a non-empty ``logs`` array is refused whole.
+    Both sides filter what the explosion made, so a document is parsed once and not again in a filter below it.
     """
-    prepare(envelopes.sparkSession)
-    parsed = _parsed(envelopes)
-    entries = parsed.select("envelope_id", F.posexplode("_logs").alias("index", "entry"))
-    refused = parsed.where(F.coalesce(F.size("_logs"), F.lit(0)) < 1).select(
-        "envelope_id", F.lit(REASON_ENVELOPE).alias("reason")
-    )
+    exploded = explode_all(envelopes)
+    entries = exploded.where(F.col("index").isNotNull()).select("envelope_id", "index", "entry")
+    refused = exploded.where(F.col("index").isNull()).select("envelope_id", F.lit(REASON_ENVELOPE).alias("reason"))
     return entries, refused

@@ -68,7 +68,7 @@ def events_as_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(envelope_id, index, entry_json)``: 100 consecutive events per envelope."""
     logs = events_as_logs(spark, sf_dir)
     return logs.select(
-        F.floor(F.col("id") / 100).cast("long").alias("envelope_id"),
+        F.expr("id div 100").alias("envelope_id"),
         (F.col("id") % 100).cast("int").alias("index"),
         _entry_json(logs).alias("entry_json"),
     )

@@ -46,10 +46,12 @@ def flush_batch(envelopes: DataFrame, root: str, batch_id: int) -> None:
     spark, base = envelopes.sparkSession, root.rstrip("/")
     kept = check_batch(envelopes).persist(StorageLevel.MEMORY_AND_DISK)
     try:
+        # The count over the splits fills the cache that the writes then share.
         numbered = assign_ids_by_split(kept, batch_id, SPLIT_COLUMNS, ARRIVAL)
-        append_logs(numbered.where(F.col("reason").isNull()), f"{base}/logs", batch_id)
-        append_rollup(rollup_batch(kept.where(F.col("reason").isNull())), f"{base}/rollup", batch_id)
-        append_rejected(kept.where(F.col("reason").isNotNull()), f"{base}/rejected", batch_id)
+        accepted, rejected = F.col("reason").isNull(), F.col("reason").isNotNull()
+        append_logs(numbered.where(accepted), f"{base}/logs", batch_id)
+        append_rollup(rollup_batch(kept.where(accepted)), f"{base}/rollup", batch_id)
+        append_rejected(kept.where(rejected), f"{base}/rejected", batch_id)
         append_summary(summarise(kept), f"{base}/summary", batch_id)
         _commit(spark, base, batch_id)
     finally:
