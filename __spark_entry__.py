@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 from collections.abc import Callable
 from datetime import date
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +13,7 @@ from pyspark.sql import types as T
 
 from emberlog.functions.cursors import decode_cursor, encode_cursor
 from emberlog.functions.timestamps import iso_millis
+from emberlog.functions.variants import as_map, attribute_text
 from emberlog.operators.aggregate import (
     aggregate_logs,
     aggregate_rollup,
@@ -33,7 +35,6 @@ from emberlog.session import prepare, scratch_path
 from emberlog.sources.envelopes import explode_envelopes
 from emberlog.sources.events import events_as_entries, events_as_envelopes, events_as_logs
 from emberlog.sources.tables import read_logs, read_rejected, read_rollup, read_summary
-from emberlog.functions.variants import attribute_text, as_map
 from emberlog.streaming.ingest import start_ingest
 from emberlog.streaming.live_rollup import stream_rollup
 
@@ -85,7 +86,19 @@ def _more_attributes(logs: DataFrame) -> DataFrame:
 # --- stored tables -----------------------------------------------------------------------------------------------
 
 
+@cache
 def _stored(spark: SparkSession, sf_dir: str) -> str:
+    """The table shared by the queries that only read it, written once per session."""
+    return _store(spark, sf_dir)
+
+
+@cache
+def _ingested(spark: SparkSession, sf_dir: str) -> str:
+    """The same for the queries over what the stream wrote."""
+    return _ingest(spark, sf_dir)
+
+
+def _store(spark: SparkSession, sf_dir: str) -> str:
     """The whole events table stored as three batches of logs and rollup deltas; returns the root folder."""
     logs = events_as_logs(spark, sf_dir)
     stored = logs.withColumn(
@@ -122,20 +135,20 @@ def _day_totals(logs: DataFrame) -> DataFrame:
 
 
 def _compacted_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = f"{_stored(spark, sf_dir)}/logs"
+    path = f"{_store(spark, sf_dir)}/logs"
     compact_day(spark, path, COMPACTED_DAY, 1)
     return _day_totals(read_logs(spark, path))
 
 
 def _compacted_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = f"{_stored(spark, sf_dir)}/rollup"
+    path = f"{_store(spark, sf_dir)}/rollup"
     compact_rollup(spark, path, 2)
     # Compacted on every day, so the stored rows are the merged ones.
     return _naive(read_rollup(spark, path).select("bucket_start", "service", "level", "count"))
 
 
 def _retained(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = f"{_stored(spark, sf_dir)}/logs"
+    path = f"{_store(spark, sf_dir)}/logs"
     run_retention(spark, path, KEEP_DAYS, TODAY)
     return _day_totals(read_logs(spark, path))
 
@@ -209,7 +222,7 @@ def _envelope_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _ingested(spark: SparkSession, sf_dir: str) -> str:
+def _ingest(spark: SparkSession, sf_dir: str) -> str:
     """The whole events table sent through the ingestion stream; returns the root folder."""
     source, root = scratch_path(spark, "incoming"), scratch_path(spark, "ingested")
     events_as_envelopes(spark, sf_dir).select("value").write.text(source)

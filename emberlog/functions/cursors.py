@@ -13,6 +13,7 @@ from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from emberlog.fixed_values import CURSOR_ID_PATTERN, ERROR_CURSOR, QUERY_TIMESTAMP_PATTERN
+from emberlog.functions.text import matches
 from emberlog.functions.timestamps import iso_micros
 from emberlog.functions.variants import as_string, field, is_string
 
@@ -36,8 +37,8 @@ def decode_cursor(token: Column) -> Column:
     valid = (
         is_string(ts)
         & is_string(row_id)
-        & ts_text.rlike(QUERY_TIMESTAMP_PATTERN)
-        & id_text.rlike(CURSOR_ID_PATTERN)
+        & matches(ts_text, QUERY_TIMESTAMP_PATTERN)
+        & matches(id_text, CURSOR_ID_PATTERN)
         & instant.isNotNull()
         & number.isNotNull()
     )

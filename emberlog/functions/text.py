@@ -15,6 +15,11 @@ def trim_white_space(text: Column) -> Column:
     return F.btrim(text, F.lit(WHITE_SPACE))
 
 
+def matches(text: Column, pattern: str) -> Column:
+    """Match of the whole string. Java's ``$`` would also match before a final line break."""
+    return text.rlike(pattern.removesuffix("$") + r"\z")
+
+
 def utf16_length(text: Column) -> Column:
     """Length in UTF-16 units. Pure ASCII, the common case, is answered without re-encoding."""
     wide = (F.octet_length(F.encode(text, "UTF-16BE")) / 2).cast("int")

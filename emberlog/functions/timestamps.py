@@ -51,7 +51,7 @@ def request_instant(value: str | datetime, name: str) -> datetime:
     if isinstance(value, datetime):
         return value.replace(tzinfo=timezone.utc) if value.tzinfo is None else value.astimezone(timezone.utc)
     message = f"{name} must be a valid ISO 8601 timestamp"
-    if not isinstance(value, str) or not re.match(QUERY_TIMESTAMP_PATTERN, value):
+    if not isinstance(value, str) or not re.fullmatch(QUERY_TIMESTAMP_PATTERN, value, re.ASCII):
         raise ValueError(message)
     try:
         return datetime.fromisoformat(value)

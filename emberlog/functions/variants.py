@@ -102,9 +102,9 @@ def _double_with_text(text: str) -> float | None:
     return number if plain == text else None
 
 
-def displayed(value: Column, depth: int = 1) -> Column:
+def displayed(value: Column, depth: int = 3) -> Column:
     """A rejected value as it reads when put into a message: absent ``undefined``, null ``null``, objects
-    ``[object Object]``, arrays their elements joined by commas (nested ones down to ``depth``)."""
+    ``[object Object]``, arrays their elements joined by commas (to ``depth`` levels)."""
     name = kind(value)
     text = as_string(value)
     exponent = F.regexp_replace(F.regexp_replace(text, r"\.0E", "E"), r"E(?=\d)", "E+")

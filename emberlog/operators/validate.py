@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from emberlog import fixed_values as fixed
-from emberlog.functions.text import trim_white_space, utf16_length
+from emberlog.functions.text import matches, trim_white_space, utf16_length
 from emberlog.functions.timestamps import parse_instant
 from emberlog.functions.variants import (
     as_map,
@@ -75,9 +75,9 @@ def check_entries(entries: DataFrame, now: Column | None = None) -> DataFrame:
     )
     parsed = texts.select(
         "*",
-        F.when(F.col("_ts_text").rlike(fixed.ENTRY_TIMESTAMP_PATTERN), parse_instant(F.col("_ts_text"))).alias(
-            "timestamp"
-        ),
+        F.when(
+            matches(F.col("_ts_text"), fixed.ENTRY_TIMESTAMP_PATTERN), parse_instant(F.col("_ts_text"))
+        ).alias("timestamp"),
         as_map(F.col("_attributes")).alias("_attr_map"),
     )
     not_flat = F.col("_attr_map").isNull() | ~F.forall(F.map_values("_attr_map"), is_scalar)

@@ -63,12 +63,13 @@ def append_rollup(counts: DataFrame, path: str, batch_id: int) -> None:
 
 def append_rejected(df: DataFrame, path: str, batch_id: int) -> None:
     rows = _stamp(df.select("envelope_id", "index", "reason"), batch_id)
-    _write(rows.hint("rebalance"), path, "batch_id")
+    # By key rather than round robin, which would have to sort every task's rows first.
+    _write(rows.hint("rebalance", "envelope_id"), path, "batch_id")
 
 
 def append_summary(df: DataFrame, path: str, batch_id: int) -> None:
     rows = _stamp(df.select("envelope_id", "accepted", "rejected", "status"), batch_id)
-    _write(rows.hint("rebalance"), path, "batch_id")
+    _write(rows, path, "batch_id")
 
 
 def _publish(path: str, covered: DataFrame) -> None:

@@ -33,7 +33,7 @@ def number_envelopes(envelopes: DataFrame) -> DataFrame:
 
 def read_envelopes(spark: SparkSession, path: str, *, whole_files: bool = False) -> DataFrame:
     """``(envelope_id, value)`` and its origin for every document below ``path``."""
-    return number_envelopes(_with_origin(prepare(spark).read.option("wholetext", whole_files).text(path)))
+    return number_envelopes(_with_origin(prepare(spark).read.text(path, wholetext=whole_files)))
 
 
 def stream_envelopes(
@@ -44,10 +44,10 @@ def stream_envelopes(
     ``max_files`` bounds a micro-batch; the backlog waits in the source. ``received_at`` is fixed for a micro-batch
     and restored when it is replayed.
     """
-    reader = prepare(spark).readStream.option("wholetext", whole_files)
+    reader = prepare(spark).readStream
     if max_files is not None:
         reader = reader.option("maxFilesPerTrigger", max_files)
-    return _with_origin(reader.text(path))
+    return _with_origin(reader.text(path, wholetext=whole_files))
 
 
 def _parsed(envelopes: DataFrame) -> DataFrame:
