@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 
 from emberlog.functions.cursors import decode_cursor, encode_cursor
 from emberlog.functions.timestamps import iso_millis
-from emberlog.functions.variants import as_map, attribute_text
+from emberlog.functions.variants import attribute_text_of_json
 from emberlog.operators.aggregate import (
     aggregate_logs,
     aggregate_rollup,
@@ -102,7 +102,7 @@ def _store(spark: SparkSession, sf_dir: str) -> str:
     """The whole events table stored as three batches of logs and rollup deltas; returns the root folder."""
     logs = events_as_logs(spark, sf_dir)
     stored = logs.withColumn(
-        "attr_text", attribute_text(as_map(F.try_parse_json("attributes")))
+        "attr_text", attribute_text_of_json("attributes")
     ).withColumn("_batch", F.expr("id div 1000 % 3"))
     root = scratch_path(spark, "table")
     for batch in range(3):

@@ -37,46 +37,6 @@ def as_map(value: Column) -> Column:
     return F.try_variant_get(value, "$", "map<string,variant>")
 
 
-def is_scalar(value: Column) -> Column:
-    """String, number or boolean."""
-    name = kind(value)
-    return ~(
-        (name == "VOID") | F.startswith(name, F.lit("OBJECT<")) | F.startswith(name, F.lit("ARRAY<"))
-    )
-
-
-def plain_number(text: Column) -> Column:
-    """Rewrite a JVM number text as a plain decimal: no exponent, no trailing zeros, no minus zero."""
-    sign = F.when(F.startswith(text, F.lit("-")), F.lit("-")).otherwise(F.lit(""))
-    body = F.ltrim(text, F.lit("-"))
-    mantissa = F.substring_index(body, "E", 1)
-    power = F.substring_index(body, "E", -1).try_cast("int")
-    digits = F.rtrim(F.replace(mantissa, F.lit("."), F.lit("")), F.lit("0"))
-    # The mantissa has one digit before its point, so the value's point sits after 1 + power digits.
-    large = F.concat(
-        F.rpad(F.substr(digits, F.lit(1), power + 1), power + 1, F.lit("0")),
-        F.when(F.length(digits) > power + 1, F.concat(F.lit("."), F.substr(digits, power + 2))).otherwise(F.lit("")),
-    )
-    small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -power - 1), digits)
-    expanded = F.when(power >= 0, large).otherwise(small)
-    fixed = F.when(F.contains(body, F.lit(".")), F.rtrim(F.rtrim(body, F.lit("0")), F.lit("."))).otherwise(body)
-    magnitude = F.when(F.contains(body, F.lit("E")), expanded).otherwise(fixed)
-    return F.when(magnitude == "0", F.lit("0")).otherwise(F.concat(sign, magnitude))
-
-
-def scalar_text(value: Column) -> Column:
-    """A value as the text attribute filters compare: numbers canonical, strings bare, JSON null NULL."""
-    name = kind(value)
-    text = as_string(value)
-    number = (name == "DOUBLE") & ~text.isin("Infinity", "-Infinity", "NaN")
-    return F.when(number, plain_number(text)).otherwise(text)
-
-
-def attribute_text(attributes: Column) -> Column:
-    """``map<string,variant>`` → ``map<string,string>`` of canonical texts."""
-    return F.transform_values(attributes, lambda _, value: scalar_text(value))
-
-
 def attribute_equals(attributes_json: Column, key: str, text: str) -> Column:
     """Whether an attribute of a JSON object column, as canonical text, equals ``text``.
 
@@ -102,35 +62,61 @@ def _double_with_text(text: str) -> float | None:
     return number if plain == text else None
 
 
-def displayed(value: Column, depth: int = 3) -> Column:
+# The longer expressions below are SQL text: one parsed string costs the driver far less than a hundred column calls,
+# and a micro-batch builds them every time. Arguments and results are SQL expressions.
+
+
+def _plain_number(text: str) -> str:
+    """A double as the JVM prints it, rewritten as a plain decimal: no exponent, no trailing zeros, no minus zero."""
+    body = f"TRIM(LEADING '-' FROM {text})"
+    power = f"try_cast(substring_index({body}, 'E', -1) AS INT)"
+    digits = f"TRIM(TRAILING '0' FROM replace(substring_index({body}, 'E', 1), '.', ''))"
+    # The mantissa has one digit before its point, so the value's point sits after 1 + power digits.
+    large = (
+        f"concat(rpad(substr({digits}, 1, {power} + 1), {power} + 1, '0'),"
+        f" if(length({digits}) > {power} + 1, concat('.', substr({digits}, {power} + 2)), ''))"
+    )
+    small = f"concat('0.', repeat('0', -{power} - 1), {digits})"
+    return f"""CASE
+      WHEN {text} IN ('0.0', '-0.0') THEN '0'
+      WHEN NOT contains({text}, 'E') THEN TRIM(TRAILING '.' FROM TRIM(TRAILING '0' FROM {text}))
+      ELSE concat(if(startswith({text}, '-'), '-', ''), if({power} >= 0, {large}, {small})) END"""
+
+
+def _scalar_text(value: str) -> str:
+    """A value as the text attribute filters compare: numbers canonical, strings bare, JSON null NULL."""
+    text = f"try_variant_get({value}, '$', 'string')"
+    return f"""CASE WHEN schema_of_variant({value}) <> 'DOUBLE' OR {text} IN ('Infinity', '-Infinity', 'NaN') THEN {text}
+      ELSE {_plain_number(text)} END"""
+
+
+def attribute_text(attributes: str) -> Column:
+    """``map<string,variant>`` → ``map<string,string>`` of canonical texts."""
+    return F.expr(f"transform_values({attributes}, (name, value) -> {_scalar_text('value')})")
+
+
+def attribute_text_of_json(column: str) -> Column:
+    """The same for a column of JSON objects."""
+    return attribute_text(f"try_variant_get(try_parse_json({column}), '$', 'map<string,variant>')")
+
+
+def displayed(value: str, depth: int = 3) -> str:
     """A rejected value as it reads when put into a message: absent ``undefined``, null ``null``, objects
     ``[object Object]``, arrays their elements joined by commas (to ``depth`` levels)."""
-    name = kind(value)
-    text = as_string(value)
-    exponent = F.regexp_replace(F.regexp_replace(text, r"\.0E", "E"), r"E(?=\d)", "E+")
-    magnitude = F.abs(F.try_variant_get(value, "$", "double"))
-    double_text = F.when(
-        (magnitude >= 1e21) | ((magnitude < 1e-6) & (magnitude > 0)), F.lower(exponent)
-    ).otherwise(plain_number(text))
-    double_text = F.when(text.isin("Infinity", "-Infinity"), text).otherwise(double_text)
+    kind_of = f"schema_of_variant({value})"
+    text = f"try_variant_get({value}, '$', 'string')"
+    items = text
     if depth > 0:
-        items = F.try_variant_get(value, "$", "array<variant>")
-        array_text = F.array_join(
-            F.transform(
-                items,
-                lambda item: F.when(item.isNull() | (kind(item) == "VOID"), F.lit("")).otherwise(
-                    displayed(item, depth - 1)
-                ),
-            ),
-            ",",
-        )
-    else:
-        array_text = text
-    return (
-        F.when(name.isNull(), F.lit("undefined"))
-        .when(name == "VOID", F.lit("null"))
-        .when(F.startswith(name, F.lit("OBJECT<")), F.lit("[object Object]"))
-        .when(F.startswith(name, F.lit("ARRAY<")), array_text)
-        .when(name == "DOUBLE", double_text)
-        .otherwise(text)
-    )
+        item = f"item{depth}"
+        shown = f"if(coalesce(schema_of_variant({item}), 'VOID') = 'VOID', '', {displayed(item, depth - 1)})"
+        items = f"array_join(transform(try_variant_get({value}, '$', 'array<variant>'), {item} -> {shown}), ',')"
+    size = f"abs(try_variant_get({value}, '$', 'double'))"
+    return f"""CASE
+      WHEN {kind_of} IS NULL THEN 'undefined'
+      WHEN {kind_of} = 'VOID' THEN 'null'
+      WHEN startswith({kind_of}, 'OBJECT<') THEN '[object Object]'
+      WHEN startswith({kind_of}, 'ARRAY<') THEN {items}
+      WHEN {kind_of} <> 'DOUBLE' OR {text} IN ('Infinity', '-Infinity') THEN {text}
+      WHEN {size} >= 1e21 OR ({size} < 1e-6 AND {size} > 0) THEN
+        regexp_replace(lower(replace({text}, '.0E', 'E')), 'e([0-9])', 'e+$1')
+      ELSE {_plain_number(text)} END"""

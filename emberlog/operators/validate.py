@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,7 +15,6 @@ from emberlog.functions.variants import (
     displayed,
     field,
     is_object,
-    is_scalar,
     is_string,
 )
 
@@ -31,39 +28,50 @@ def _string(value: Column) -> Column:
     return F.when(is_string(value), as_string(value))
 
 
-def _quoted(prefix: str, value: Column) -> Column:
-    return F.concat(F.lit(prefix), value, F.lit("'"))
-
-
-def _bad_length(trimmed: Column, longest: int) -> Column:
-    length = utf16_length(trimmed)
-    return (length < 1) | (length > longest)
-
-
-def _rarely(build: Callable[[Column], Column], value: Column) -> Column:
-    """``build(value)`` as a lambda body: a large expression needed for few rows then stays out of the generated
-    code of the hot path, which must remain small enough for the JIT compiler."""
-    return F.element_at(F.transform(F.array(value), lambda v: build(v)), 1)
+def _text(value: str) -> str:
+    """SQL string literal."""
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+# The first rule that fails names the reason; NULL means accepted. A NULL text stands for a missing value or one of
+# another type. The level is rendered in a lambda, which keeps a large expression needed for few rows out of the
+# generated code: that of the hot path must remain small enough for the JIT compiler.
+_REASON = f"""CASE
+  WHEN _refused IS NOT NULL THEN _refused
+  WHEN _ts_text IS NULL AND NOT _is_object THEN {_text(fixed.REASON_ENTRY)}
+  WHEN _ts_text IS NULL THEN {_text(fixed.REASON_TIMESTAMP_MISSING)}
+  WHEN timestamp IS NULL THEN concat({_text(fixed.REASON_TIMESTAMP_INVALID)}, _ts_text, {_text("'")})
+  WHEN timestamp > _now + INTERVAL {fixed.MAX_FUTURE_SECONDS} SECONDS THEN
+    concat({_text(fixed.REASON_TIMESTAMP_FUTURE)}, _ts_text, {_text("'")})
+  WHEN level IS NULL OR level NOT IN ({", ".join(map(_text, fixed.LEVELS))}) THEN
+    concat({_text(fixed.REASON_LEVEL)}, element_at(transform(array(_level), v -> {displayed("v")}), 1), {_text("'")})
+  WHEN service IS NULL THEN {_text(fixed.REASON_SERVICE_MISSING)}
+  WHEN _service_length NOT BETWEEN 1 AND {fixed.MAX_SERVICE_LENGTH} THEN {_text(fixed.REASON_SERVICE_EMPTY)}
+  WHEN message IS NULL THEN {_text(fixed.REASON_MESSAGE_MISSING)}
+  WHEN _message_length NOT BETWEEN 1 AND {fixed.MAX_MESSAGE_LENGTH} THEN {_text(fixed.REASON_MESSAGE_EMPTY)}
+  WHEN _attributes IS NOT NULL AND (_attr_map IS NULL OR NOT forall(map_values(_attr_map),
+    v -> NOT schema_of_variant(v) RLIKE '^(VOID|OBJECT<|ARRAY<)')) THEN {_text(fixed.REASON_ATTRIBUTES)}
+END"""
 
 
 def check_entries(entries: DataFrame, now: Column | None = None) -> DataFrame:
     """Replace ``entry VARIANT`` by ``reason`` (NULL: accepted) and the accepted columns.
 
-    One ``CASE`` decides, so the first failing rule names the reason. ``now`` is read once per query. Rows whose
-    ``entry`` is absent altogether (a refused envelope) keep the reason they came with.
+    ``now`` is read once per query. Rows whose ``entry`` is absent altogether (a refused envelope) keep the reason
+    they came with.
     """
-    now = F.current_timestamp() if now is None else now
     carried = [c for c in entries.columns if c not in ("entry", "reason")]
     refused = F.col("reason") if "reason" in entries.columns else F.lit(None).cast("string")
     fields = entries.select(
         *carried,
         "entry",
+        (F.current_timestamp() if now is None else now).alias("_now"),
         F.when(F.col("entry").isNull(), refused).alias("_refused"),
         *[field(F.col("entry"), name).alias(f"_{name}") for name in _FIELDS],
     )
-    # Only strings get past this step, so a NULL text below means missing or of another type.
     texts = fields.select(
         *carried,
+        "_now",
         "_refused",
         "_level",
         "_attributes",
@@ -73,41 +81,22 @@ def check_entries(entries: DataFrame, now: Column | None = None) -> DataFrame:
         trim_white_space(_string(F.col("_service"))).alias("service"),
         trim_white_space(_string(F.col("_message"))).alias("message"),
     )
+    ts_text = F.col("_ts_text")
     parsed = texts.select(
         "*",
-        F.when(
-            matches(F.col("_ts_text"), fixed.ENTRY_TIMESTAMP_PATTERN), parse_instant(F.col("_ts_text"))
-        ).alias("timestamp"),
+        F.when(matches(ts_text, fixed.ENTRY_TIMESTAMP_PATTERN), parse_instant(ts_text)).alias("timestamp"),
         as_map(F.col("_attributes")).alias("_attr_map"),
+        utf16_length(F.col("service")).alias("_service_length"),
+        utf16_length(F.col("message")).alias("_message_length"),
     )
-    not_flat = F.col("_attr_map").isNull() | ~F.forall(F.map_values("_attr_map"), is_scalar)
-    ts_text, ts = F.col("_ts_text"), F.col("timestamp")
-    level, service, message = F.col("level"), F.col("service"), F.col("message")
-    reason = (
-        F.when(F.col("_refused").isNotNull(), F.col("_refused"))
-        .when(ts_text.isNull() & ~F.col("_is_object"), F.lit(fixed.REASON_ENTRY))
-        .when(ts_text.isNull(), F.lit(fixed.REASON_TIMESTAMP_MISSING))
-        .when(ts.isNull(), _quoted(fixed.REASON_TIMESTAMP_INVALID, ts_text))
-        .when(ts > now + F.make_dt_interval(secs=F.lit(fixed.MAX_FUTURE_SECONDS)), _quoted(fixed.REASON_TIMESTAMP_FUTURE, ts_text))
-        .when(
-            level.isNull() | ~level.isin(*fixed.LEVELS),
-            _quoted(fixed.REASON_LEVEL, _rarely(displayed, F.col("_level"))),
-        )
-        .when(service.isNull(), F.lit(fixed.REASON_SERVICE_MISSING))
-        .when(_bad_length(service, fixed.MAX_SERVICE_LENGTH), F.lit(fixed.REASON_SERVICE_EMPTY))
-        .when(message.isNull(), F.lit(fixed.REASON_MESSAGE_MISSING))
-        .when(_bad_length(message, fixed.MAX_MESSAGE_LENGTH), F.lit(fixed.REASON_MESSAGE_EMPTY))
-        .when(F.col("_attributes").isNotNull() & not_flat, F.lit(fixed.REASON_ATTRIBUTES))
-    )
-    verdict = parsed.select("*", reason.alias("_verdict"))
+    verdict = parsed.select("*", F.expr(_REASON).alias("_verdict"))
     accepted = F.col("_verdict").isNull()
     result = F.struct(
         F.col("_verdict").alias("reason"),
         *[F.when(accepted, F.col(c)).alias(c) for c in ("timestamp", "level", "service", "message")],
         F.when(accepted, F.coalesce(F.to_json("_attributes"), F.lit("{}"))).alias("attributes"),
         F.when(
-            accepted,
-            F.coalesce(attribute_text(F.col("_attr_map")), F.create_map().cast("map<string,string>")),
+            accepted, F.coalesce(attribute_text("_attr_map"), F.create_map().cast("map<string,string>"))
         ).alias("attr_text"),
     )
     # A generator is where predicate pushdown stops: a filter on ``reason`` would otherwise be rewritten in terms of

@@ -18,7 +18,7 @@ from emberlog.sources.files import delete
 from emberlog.sources.tables import compacted_batch, covered_path, read_logs, read_rollup
 
 #: Compacted log files aim at this many bytes.
-TARGET_FILE_BYTES = 256 << 20
+TARGET_FILE_BYTES = 128 << 20
 
 
 def with_event_date(df: DataFrame) -> DataFrame:

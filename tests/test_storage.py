@@ -4,7 +4,7 @@ import pytest
 from conftest import row_set
 from pyspark.sql import functions as F
 
-from emberlog.functions.variants import as_map, attribute_text
+from emberlog.functions.variants import attribute_text_of_json
 from emberlog.operators.aggregate import merge_rollup, rollup_batch
 from emberlog.operators.identity import INDEX_BITS, assign_ids, dense_index
 from emberlog.operators.paging import log_page
@@ -27,7 +27,7 @@ def batches(make_logs):
             for i in range(30)
         ]
         logs = make_logs(rows).withColumn("id", F.col("id") + F.lit(offset << INDEX_BITS))
-        return logs.withColumn("attr_text", attribute_text(as_map(F.try_parse_json("attributes"))))
+        return logs.withColumn("attr_text", attribute_text_of_json("attributes"))
 
     return [batch(n) for n in range(3)]
 

@@ -3,7 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from emberlog.functions.variants import attribute_text, as_map
+from emberlog.functions.variants import attribute_text_of_json
 from emberlog.operators.validate import check_entries, ingest_summary, validate_entries
 from emberlog.sources.envelopes import explode_envelopes
 
@@ -231,7 +231,7 @@ def test_instants(spark, text, instant):
 )
 def test_attribute_text(spark, raw, text):
     df = spark.createDataFrame([(f'{{"v":{raw}}}',)], "a string")
-    assert df.select(attribute_text(as_map(F.try_parse_json("a"))).alias("m")).first().m == {"v": text}
+    assert df.select(attribute_text_of_json("a").alias("m")).first().m == {"v": text}
 
 
 def test_summary(spark):
