@@ -26,7 +26,7 @@ from emberlog.operators.filters import apply_filters
 from emberlog.operators.identity import assign_ids
 from emberlog.operators.paging import log_page, number_pages
 from emberlog.operators.search import format_logs, search_logs
-from emberlog.operators.validate import ingest_summary, validate_entries
+from emberlog.operators.validate import check_entries, summarise, validate_entries
 from emberlog.plans.auto_aggregate import aggregate_auto, aggregate_table
 from emberlog.plans.recent_search import search_days
 from emberlog.plans.retention import expired_days, list_log_days, run_retention
@@ -190,7 +190,7 @@ def _accepted(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    summary = ingest_summary(*validate_entries(_entries(spark, sf_dir)))
+    summary = summarise(check_entries(_entries(spark, sf_dir)))
     return summary.withColumn("rejected", F.to_json("rejected"))
 
 

@@ -26,15 +26,27 @@ def utf16_length(text: Column) -> Column:
     return F.when(F.octet_length(text) == F.length(text), F.length(text)).otherwise(wide)
 
 
-def contains_pattern(q: str) -> str:
-    """``%q%`` as an ILIKE pattern.
+def contains_pattern(text: Column, q: str) -> Column:
+    """``text ILIKE '%q%'``: ``%``, ``_`` and backslash inside ``q`` stay active on purpose, and a backslash before
+    any other character means that character.
 
-    ``%``, ``_`` and backslash inside ``q`` stay active on purpose. A backslash before any other character
-    means that character, which Spark refuses to parse, so the backslash is dropped there.
+    A plain word becomes a substring test. Anything else is matched piece by piece between the ``%``: a piece has a
+    fixed length, so its leftmost match is always the right one, and an atomic group says so. Spark's own LIKE would
+    try every combination, which takes quadratic time on long texts.
     """
-    return re.sub(
-        r"\\(.)",
-        lambda m: m.group(0) if m.group(1) in "%_\\" else m.group(1),
-        f"%{q}%",
-        flags=re.DOTALL,
-    )
+    pieces = [""]
+    for escaped, char in re.findall(r"(\\)?(.)", f"%{q}%", flags=re.DOTALL):
+        if char == "%" and not escaped:
+            pieces.append("")
+        elif char == "_" and not escaped:
+            pieces[-1] += "."
+        else:
+            pieces[-1] += char if char.isalnum() else "\\" + char
+    # The pattern starts with a wildcard; it ends with one unless ``q`` ends in a backslash that turns it literal.
+    inner, end = [piece for piece in pieces[1:-1] if piece], pieces[-1]
+    folded = F.lower(text)
+    if not end and len(inner) == 1 and "." not in inner[0].replace("\\.", ""):
+        return F.contains(folded, F.lower(F.lit(re.sub(r"\\(.)", r"\1", inner[0], flags=re.DOTALL))))
+    # All the syntax used is lower case already, so the pattern can be folded as a whole, as the text is.
+    pattern = "(?s)^" + "".join(f"(?>.*?{piece})" for piece in inner) + (f".*{end}\\z" if end else "")
+    return F.rlike(folded, F.lower(F.lit(pattern)))

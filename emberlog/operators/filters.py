@@ -115,7 +115,7 @@ def predicates(df: DataFrame, filters: Filters) -> list[Column]:
     if filters.level is not None:
         out.append(F.col("level") == filters.level)
     if filters.q is not None:
-        out.append(F.col("message").ilike(contains_pattern(filters.q)))
+        out.append(contains_pattern(F.col("message"), filters.q))
     out.extend(attribute_predicate(df, key, value) for key, value in filters.attrs.items())
     return out
 

@@ -121,7 +121,10 @@ def validate_entries(entries: DataFrame, now: Column | None = None) -> tuple[Dat
 
 
 def ingest_summary(accepted: DataFrame, rejected: DataFrame) -> DataFrame:
-    """Per envelope: accepted count, rejected entries by index, and 200 if any entry was accepted, else 400."""
+    """Per envelope: accepted count, rejected entries by index, and 200 if any entry was accepted, else 400.
+
+    For the two halves as stored; over entries just checked :func:`summarise` needs only one pass.
+    """
     verdicts = accepted.select("envelope_id", "index", F.lit(None).cast("string").alias("reason")).unionByName(
         rejected.select("envelope_id", "index", "reason")
     )

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
+
+from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -38,7 +41,7 @@ def check_batch(envelopes: DataFrame) -> DataFrame:
 
 
 def flush_batch(envelopes: DataFrame, root: str, batch_id: int) -> None:
-    """Write one batch: rows, then their rollup, then rejections and summaries, then the commit mark.
+    """Write one batch: rows, rollup, rejections and summaries side by side, then the commit mark.
 
     The verdicts are kept for the four writes (a lost block is recomputed from the source). A batch that fails
     half-way is written again in full under the same number and replaces what it left.
@@ -49,15 +52,26 @@ def flush_batch(envelopes: DataFrame, root: str, batch_id: int) -> None:
         # The count over the splits fills the cache that the writes then share.
         numbered = assign_ids_by_split(kept, batch_id, SPLIT_COLUMNS, ARRIVAL)
         accepted, rejected = F.col("reason").isNull(), F.col("reason").isNotNull()
-        append_logs(numbered.where(accepted), f"{base}/logs", batch_id)
-        append_rollup(rollup_batch(kept.where(accepted)), f"{base}/rollup", batch_id)
-        append_rejected(kept.where(rejected), f"{base}/rejected", batch_id)
-        append_summary(summarise(kept), f"{base}/summary", batch_id)
+        _side_by_side(
+            spark,
+            lambda: append_logs(numbered.where(accepted), f"{base}/logs", batch_id),
+            lambda: append_rollup(rollup_batch(kept.where(accepted)), f"{base}/rollup", batch_id),
+            lambda: append_rejected(kept.where(rejected), f"{base}/rejected", batch_id),
+            lambda: append_summary(summarise(kept), f"{base}/summary", batch_id),
+        )
         _commit(spark, base, batch_id)
     finally:
         kept.unpersist()
 
 
+def _side_by_side(spark: SparkSession, *writes: Callable[[], None]) -> None:
+    """Run independent jobs at once: a short batch is mostly their planning and commits. Fails if any of them does."""
+    with ThreadPoolExecutor(len(writes)) as pool:
+        running = [pool.submit(inheritable_thread_target(spark)(write)) for write in writes]
+    for job in running:
+        job.result()
+
+
 def _commit(spark: SparkSession, base: str, batch_id: int) -> None:
     touch(spark, f"{base}/{COMMITS}/{batch_id}")
     marks = sorted((int(n) for n in child_names(spark, f"{base}/{COMMITS}") if n.isdigit()), reverse=True)
