@@ -24,7 +24,9 @@ from emberlog.sources.tables import committed_batch, read_logs, read_rollup
 _MINUTE = timedelta(minutes=1)
 
 
-def can_use_rollup(bucket: str, q: str | None = None, attrs: Mapping | None = None, *, any_bucket: bool = False) -> bool:
+def can_use_rollup(
+    bucket: str, q: str | None = None, attrs: Mapping | None = None, *, any_bucket: bool = False
+) -> bool:
     """The rollup knows minute, service and level only. Minute counts add up, so ``any_bucket`` may widen it."""
     return (bucket == "1m" or any_bucket) and q is None and not attrs
 

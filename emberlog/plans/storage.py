@@ -15,7 +15,7 @@ from emberlog.functions.timestamps import event_date
 from emberlog.operators.aggregate import merge_rollup
 from emberlog.schema import LOG_TABLE_SCHEMA, ROLLUP_TABLE_SCHEMA
 from emberlog.sources.files import delete
-from emberlog.sources.tables import compacted_batch, covered_path, read_logs, read_rollup
+from emberlog.sources.tables import compacted_batch, covered_path, day_folders, read_logs, read_rollup
 
 #: Compacted log files aim at this many bytes.
 TARGET_FILE_BYTES = 128 << 20
@@ -79,21 +79,22 @@ def _publish(path: str, covered: DataFrame) -> None:
 
 def _drop_replaced(spark: SparkSession, path: str, days: list[date], upto: int) -> None:
     """Delete the partition folders of these days that the compacted ones now stand in for."""
-    files = table_files(spark, path).where(F.col("event_date").isin(days))
+    files = table_files(spark, path, days)
     old = files.where((F.col("batch_id") <= upto) & (F.col("batch_id") != compacted_batch(upto)))
     for row in old.select("event_date", "batch_id").distinct().collect():
         delete(spark, f"{path.rstrip('/')}/event_date={row.event_date.isoformat()}/batch_id={row.batch_id}")
 
 
-def table_files(spark: SparkSession, path: str) -> DataFrame:
-    """``(event_date, batch_id, path, length)``, one row per data file, from the file listing alone."""
-    listing = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(path)
-    return listing.select(
+def table_files(spark: SparkSession, path: str, days: list[date] | None = None) -> DataFrame:
+    """``(event_date, batch_id, path, length)``, one row per data file (of these days), from the listing alone."""
+    reader = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").option("basePath", path)
+    files = reader.load(day_folders(spark, path, days)).select(
         F.col("event_date").cast("string").try_cast("date").alias("event_date"),
         F.col("batch_id").cast("long").alias("batch_id"),
         "path",
         "length",
-    ).where(F.col("event_date").isNotNull())
+    )
+    return files.where(F.col("event_date").isNotNull() if days is None else F.col("event_date").isin(days))
 
 
 def compact_day(spark: SparkSession, path: str, day: date, upto_batch: int) -> None:
@@ -103,8 +104,8 @@ def compact_day(spark: SparkSession, path: str, day: date, upto_batch: int) -> N
     covered days names the new partition; whatever was replaced is deleted after that, so a failure at any point
     leaves the same rows visible and the job can simply run again.
     """
-    rows = read_logs(spark, path, upto_batch).where(F.col("event_date") == F.lit(day))
-    size = table_files(spark, path).where(F.col("event_date") == F.lit(day)).agg(F.sum("length")).first()[0] or 0
+    rows = read_logs(spark, path, upto_batch, [day])
+    size = table_files(spark, path, [day]).agg(F.sum("length")).first()[0] or 0
     parts = max(1, -(-size // TARGET_FILE_BYTES))
     # By instant and id, so neither a hot day nor a hot instant ends up in one task.
     merged = _stamp(rows.drop("batch_id"), compacted_batch(upto_batch)).select(*LOG_TABLE_SCHEMA.names)
@@ -123,7 +124,7 @@ def compact_rollup(spark: SparkSession, path: str, upto_batch: int) -> None:
     days = [row.event_date for row in fresh.select("event_date").distinct().collect()]
     if not days:
         return
-    deltas = read_rollup(spark, path, upto_batch).where(F.col("event_date").isin(days))
+    deltas = read_rollup(spark, path, upto_batch, days)
     append_rollup(merge_rollup(deltas), path, compacted_batch(upto_batch))
     listed = spark.createDataFrame(pa.table({"event_date": pa.array(days, pa.date32())}))
     _publish(path, listed.select("event_date", F.lit(upto_batch).cast("long").alias("upto")))

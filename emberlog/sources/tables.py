@@ -8,6 +8,7 @@ originals. Both conditions are on partition columns, so files that were replaced
 from __future__ import annotations
 
 import json
+from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,8 +40,20 @@ def _covered(spark: SparkSession, path: str) -> dict[str, int]:
     return {row.event_date.isoformat(): row.upto for row in days.collect()}
 
 
-def _scan(spark: SparkSession, path: str, schema: T.StructType, upto_batch: int | None) -> DataFrame:
-    df = prepare(spark).read.schema(schema).parquet(path)
+def day_folders(spark: SparkSession, path: str, days: list[date] | None) -> list[str]:
+    """Folders to list for these days, those without one left out; the whole table if no days are named."""
+    base = path.rstrip("/")
+    folders = [f"{base}/event_date={day.isoformat()}" for day in days or []]
+    return [folder for folder in folders if exists(spark, folder)] or [base]
+
+
+def _scan(
+    spark: SparkSession, path: str, schema: T.StructType, upto_batch: int | None, days: list[date] | None
+) -> DataFrame:
+    folders = day_folders(spark, path, days)
+    df = prepare(spark).read.schema(schema).option("basePath", path).parquet(*folders)
+    if days is not None:
+        df = df.where(F.col("event_date").isin(days))
     covered = _covered(spark, path)
     if covered:
         days = F.from_json(F.lit(json.dumps(covered)), "map<string,bigint>")
@@ -54,14 +67,21 @@ def _scan(spark: SparkSession, path: str, schema: T.StructType, upto_batch: int
     return df
 
 
-def read_logs(spark: SparkSession, path: str, upto_batch: int | None = None) -> DataFrame:
-    """Stored logs: the six log columns, ``attr_text`` and the partition columns."""
-    return _scan(spark, path, LOG_TABLE_SCHEMA, upto_batch)
+def read_logs(
+    spark: SparkSession, path: str, upto_batch: int | None = None, days: list[date] | None = None
+) -> DataFrame:
+    """Stored logs: the six log columns, ``attr_text`` and the partition columns.
+
+    Filters prune partitions without help; ``days`` also saves listing the folders of all other days.
+    """
+    return _scan(spark, path, LOG_TABLE_SCHEMA, upto_batch, days)
 
 
-def read_rollup(spark: SparkSession, path: str, upto_batch: int | None = None) -> DataFrame:
+def read_rollup(
+    spark: SparkSession, path: str, upto_batch: int | None = None, days: list[date] | None = None
+) -> DataFrame:
     """Stored one-minute deltas; sum ``count`` over equal keys."""
-    return _scan(spark, path, ROLLUP_TABLE_SCHEMA, upto_batch)
+    return _scan(spark, path, ROLLUP_TABLE_SCHEMA, upto_batch, days)
 
 
 def read_rejected(spark: SparkSession, path: str) -> DataFrame:

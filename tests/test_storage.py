@@ -67,6 +67,14 @@ def test_day_pruning(spark, table):
     assert all(r.timestamp.day == 3 for r in logs.collect())
 
 
+def test_named_days(spark, table):
+    assert row_set(read_logs(spark, table, days=[date(2026, 8, 3), date(2030, 1, 1)]).drop("attr_text")) == row_set(
+        read_logs(spark, table).where("event_date = DATE'2026-08-03'").drop("attr_text")
+    )
+    assert read_logs(spark, table, days=[date(2030, 1, 1)]).count() == 0
+    assert read_logs(spark, table, days=[date(2026, 8, 3)]).inputFiles()[0].count("event_date=2026-08-03") == 1
+
+
 def test_upto_batch(spark, table):
     assert len(contents(spark, table, 1)) == 60
 
