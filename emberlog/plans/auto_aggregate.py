@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
-from datetime import datetime, timedelta
+from datetime import date, datetime, timedelta
 from functools import reduce
 from operator import and_
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberlog.functions.timestamps import bucket_start
+from emberlog.functions.timestamps import bucket_start, request_instant
 from emberlog.operators.aggregate import (
     aggregate_logs,
     check_aggregate,
@@ -84,9 +84,22 @@ def aggregate_auto(
 
 
 def aggregate_table(spark: SparkSession, root: str, since, until, bucket: str, **params) -> DataFrame:
-    """:func:`aggregate_auto` over an ingested table, on batches whose logs and rollup are both complete."""
+    """:func:`aggregate_auto` over an ingested table, on batches whose logs and rollup are both complete.
+
+    For a short range only the folders of its days are listed.
+    """
     upto = committed_batch(spark, root)
     upto = -1 if upto is None else upto
-    base = root.rstrip("/")
-    logs = read_logs(spark, f"{base}/logs", upto)
-    return aggregate_auto(logs, read_rollup(spark, f"{base}/rollup", upto), since, until, bucket, **params)
+    base, days = root.rstrip("/"), named_days(since, until)
+    logs = read_logs(spark, f"{base}/logs", upto, days)
+    rollup = read_rollup(spark, f"{base}/rollup", upto, days)
+    return aggregate_auto(logs, rollup, since, until, bucket, **params)
+
+
+def named_days(since, until, most: int = 31) -> list[date] | None:
+    """The days a valid range touches, or ``None`` where listing the whole table is the better choice."""
+    if since is None or until is None:
+        return None
+    first, last = request_instant(since, "since").date(), request_instant(until, "until").date()
+    count = (last - first).days + 1
+    return [first + timedelta(days=n) for n in range(count)] if 0 < count <= most else None

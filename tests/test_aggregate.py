@@ -1,5 +1,5 @@
 import random
-from datetime import datetime, timedelta, timezone
+from datetime import date, datetime, timedelta, timezone
 
 import pytest
 from conftest import buckets, row_set
@@ -13,7 +13,7 @@ from emberlog.operators.aggregate import (
     merge_rollup,
     rollup_batch,
 )
-from emberlog.plans.auto_aggregate import aggregate_auto, can_use_rollup, whole_minutes
+from emberlog.plans.auto_aggregate import aggregate_auto, can_use_rollup, named_days, whole_minutes
 
 
 def at(time: str) -> str:
@@ -156,6 +156,13 @@ def test_whole_minutes():
     assert start > end
 
 
+def test_named_days():
+    assert named_days(at("12:00"), "2026-08-03T00:00:00Z") == [date(2026, 8, 2), date(2026, 8, 3)]
+    assert named_days(at("12:00"), "2027-08-03T00:00:00Z") is None
+    assert named_days(at("12:00"), "2026-08-01T00:00:00Z") is None
+    assert named_days(None, at("12:00")) is None
+
+
 @pytest.mark.parametrize("seed", range(6))
 def test_auto_equals_raw_on_random_ranges(make_logs, seed):
     rng = random.Random(seed)
