@@ -6,6 +6,7 @@ import base64
 from collections.abc import Callable
 from datetime import date
 from functools import cache
+from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -321,7 +322,33 @@ def entry(spark: SparkSession) -> DataFrame:
     return _naive(aggregate_logs(logs, "2024-01-10T00:00:00Z", "2024-01-11T00:00:00Z", "5m", group_by="service"))
 
 
+def _optional() -> tuple[dict[str, Query], dict[str, str]]:
+    """Queries and SQL of the subpackage ``llm`` and of the corpus pipeline, as far as they are there."""
+    found: dict[str, Query] = {}
+    sql: dict[str, str] = {}
+    for module, names in (("emberlog.llm.queries", {"emberlog.llm", "emberlog.llm.queries"}), ("corpus_pipeline", {"corpus_pipeline"})):
+        try:
+            added = import_module(module)
+        except ModuleNotFoundError as missing:
+            if missing.name not in names:
+                raise
+        else:
+            found |= added.QUERIES
+            sql |= added.ORACLE_SQL if isinstance(added.ORACLE_SQL, dict) else {}
+    return found, sql
+
+
 def queries() -> dict[str, Query]:
+    """Every registered query."""
+    return core_queries() | _optional()[0]
+
+
+def oracle_sql() -> dict[str, str]:
+    """The DuckDB counterparts; a query without one is tested against brute force."""
+    return core_oracle_sql() | _optional()[1]
+
+
+def core_queries() -> dict[str, Query]:
     """One entry per operator; every one reads its whole table."""
     return {
         "search_all": _search(),
@@ -464,7 +491,7 @@ _TOTALS_SQL = """SELECT CAST("timestamp" AS DATE) AS event_date, count(*) AS cou
   count(DISTINCT attributes) AS kinds FROM logs"""
 
 
-def oracle_sql() -> dict[str, str]:
+def core_oracle_sql() -> dict[str, str]:
     """The same results in DuckDB SQL."""
     return {
         "search_all": _search_sql(),

@@ -26,13 +26,13 @@ def in_name_order(names, rows):
 
 
 def test_every_query_has_a_counterpart():
-    assert registered.queries().keys() == registered.oracle_sql().keys()
+    assert registered.core_queries().keys() == registered.core_oracle_sql().keys()
 
 
-@pytest.mark.parametrize("name", registered.queries())
+@pytest.mark.parametrize("name", registered.core_queries())
 def test_query(spark, database, name):
-    found = registered.queries()[name](spark, str(TABLES))
-    expected = database.execute(registered.oracle_sql()[name])
+    found = registered.core_queries()[name](spark, str(TABLES))
+    expected = database.execute(registered.core_oracle_sql()[name])
     names = [column[0] for column in expected.description]
     assert sorted(found.columns) == sorted(names)
     assert in_name_order(found.columns, found.collect()) == in_name_order(names, expected.fetchall())
