@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberlog.llm import mixing, token_files
+from emberlog.llm import mixing, quality_rules, secrets, token_files
 from emberlog.llm.common import table
 from emberlog.session import scratch_path
 
@@ -35,6 +35,14 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix.select(F.col("row.doc_id").alias("doc_id"), "size", "source_size", "target", "taken")
 
 
+def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan_secrets(table(spark, sf_dir, "documents"))
+
+
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judge_quality(table(spark, sf_dir, "documents"))
+
+
 OP6_SQL = """
 WITH hashed AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS size,
@@ -72,6 +80,8 @@ JOIN groups ON hashed.source IS NOT DISTINCT FROM groups.source AND hashed.hash
 QUERIES: dict[str, Query] = {
     "op2_token_files": op2_token_files,
     "op6_mixing": op6_mixing,
+    "op7_secrets": op7_secrets,
+    "op8_quality_rules": op8_quality_rules,
 }
 
 ORACLE_SQL: dict[str, str] = {"op6_mixing": OP6_SQL}

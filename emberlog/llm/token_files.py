@@ -21,6 +21,7 @@ import os
 import zlib
 from collections.abc import Iterator
 from itertools import chain
+from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +36,7 @@ BLOCK_IDS = 1 << 16
 END_ID = 2
 
 #: Words whose ids a worker remembers; it starts afresh when they are more.
-REMEMBERED = 300_000
+REMEMBERED = 800_000
 
 _BLOCK = (
     "shard int, block int, ids_before long, doc_ids array<long>, n_ids long, ids binary, "
@@ -57,10 +58,15 @@ _BLOCK_ARROW = pa.schema(
 )
 
 
+#: ASCII symbols that never join a letter or digit before them: they make a token run of their own.
+_TAIL = ".,!?*$&%#;:"
+
+
 class _Encoder:
-    """Encodes texts word by word and remembers the words.
+    """Encodes texts word by word and remembers the words' ids as bytes.
 
-    The tokenizer drops white space and never joins across it, so a text's ids are those of its blank-separated parts.
+    The tokenizer drops white space and never joins across it, so a text's ids are those of its blank-separated parts;
+    and a part that ends in symbols after a letter or digit has the ids of its head and of its tail.
     """
 
     def __init__(self, tokenizer_path: str) -> None:
@@ -68,23 +74,71 @@ class _Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
-        self.known: dict[str, list[int]] = {}
+        self.known: dict[str, bytes] = {}
 
     def ids(self, texts: list[str | None]) -> list[np.ndarray]:
         parts = [(t or "").replace("\n", " ").replace("\t", " ").split(" ") for t in texts]
         if len(self.known) > REMEMBERED:
             self.known.clear()
-        new = [w for w in set(chain.from_iterable(parts)) if w not in self.known]
-        for start in range(0, len(new), 10_000):
-            some = new[start : start + 10_000]
-            for word, code in zip(some, self.tokenizer.encode_batch(some, add_special_tokens=False)):
-                self.known[word] = code.ids
+        self._learn([w for w in set(chain.from_iterable(parts)) if w not in self.known])
         find = self.known.__getitem__
-        return [np.array([*chain.from_iterable(map(find, part)), END_ID], dtype="<u4") for part in parts]
+        end = END_ID.to_bytes(4, "little")
+        return [np.frombuffer(b"".join(map(find, part)) + end, dtype="<u4") for part in parts]
+
+    def _learn(self, new: list[str]) -> None:
+        known, cut = self.known, []
+        plain: set[str] = set()
+        other: set[str] = set()
+        for word in new:
+            head = word.rstrip(_TAIL)
+            if head and head[-1].isalnum() and is_normalized("NFC", head[-1]):
+                small = head.lower() if head.isascii() and head.isalpha() else head
+                tail = word[len(head) :]
+                if small != word:
+                    cut.append((word, small, tail))
+                    if tail and tail not in known:
+                        other.add(tail)
+            else:
+                small = word
+            if small not in known:
+                (plain if small.isalpha() else other).add(small)
+        self._encode_letters(list(plain))
+        self._encode_one_by_one(list(other))
+        for word, small, tail in cut:
+            known[word] = known[small] + known[tail] if tail else known[small]
+
+    def _encode_one_by_one(self, parts: list[str]) -> None:
+        for part, code in zip(parts, self.tokenizer.encode_batch(parts, add_special_tokens=False)):
+            self.known[part] = np.array(code.ids, dtype="<u4").tobytes()
+
+    def _encode_letters(self, parts: list[str], together: int = 500) -> None:
+        """Runs of letters are one word each to the tokenizer, so many are encoded as one text."""
+        for start in range(0, len(parts), together):
+            some = parts[start : start + together]
+            code = self.tokenizer.encode(" ".join(some), add_special_tokens=False)
+            places = np.array(code.word_ids, dtype=np.int64)
+            if not len(places) or places[-1] + 1 != len(some):  # normalization split a run
+                self._encode_one_by_one(some)
+                continue
+            ids = np.array(code.ids, dtype="<u4")
+            cuts = np.searchsorted(places, np.arange(len(some) + 1)).tolist()
+            data = ids.tobytes()
+            for i, part in enumerate(some):
+                self.known[part] = data[4 * cuts[i] : 4 * cuts[i + 1]]
+
+
+_ENCODERS: dict[str, _Encoder] = {}
+
+
+def _encoder(tokenizer_path: str) -> _Encoder:
+    """One for each worker process, so that later tasks find the words of earlier ones."""
+    if tokenizer_path not in _ENCODERS:
+        _ENCODERS[tokenizer_path] = _Encoder(tokenizer_path)
+    return _ENCODERS[tokenizer_path]
 
 
 def _blocks(texts: Iterator[pa.RecordBatch], tokenizer_path: str) -> Iterator[tuple]:
-    encoder, shard = _Encoder(tokenizer_path), TaskContext.get().partitionId()
+    encoder, shard = _encoder(tokenizer_path), TaskContext.get().partitionId()
     held: list[np.ndarray] = []
     names: list[int | None] = []
     block = before = waiting = 0
