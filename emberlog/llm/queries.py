@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberlog.llm import mixing, quality_rules, secrets, token_files
+from emberlog.llm import mixing, ngram_join, quality_rules, secrets, site_templates, token_files
 from emberlog.llm.common import table
 from emberlog.session import scratch_path
 
@@ -43,6 +43,14 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge_quality(table(spark, sf_dir, "documents"))
 
 
+def op9_site_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return site_templates.extract_main_text(table(spark, sf_dir, "pages"))
+
+
+def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 OP6_SQL = """
 WITH hashed AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS size,
@@ -82,6 +90,8 @@ QUERIES: dict[str, Query] = {
     "op6_mixing": op6_mixing,
     "op7_secrets": op7_secrets,
     "op8_quality_rules": op8_quality_rules,
+    "op9_site_templates": op9_site_templates,
+    "op10_ngram_join": op10_ngram_join,
 }
 
 ORACLE_SQL: dict[str, str] = {"op6_mixing": OP6_SQL}
