@@ -14,14 +14,17 @@ one part per feature; a partner was met before if it had enough parts itself, an
 The order puts parts with many features first, and parts made only of widespread shingles last, so that passages which
 many documents share do not make signatures while there are others. Any order is correct; this one is cheap.
 
-*From signatures to links.* Equal sets are one node. In each group of equal signatures every node is compared with the
-first and with the one before it, by size; the true links make components; then all pairs of the group that are still in
-different components are compared too, except where the known distances to the group's first node rule a link out
-(Jaccard distance is a metric). So large groups of copies cost one comparison a member and not all pairs.
+*From signatures to links.* Equal sets are one node. Each group of equal signatures is cut into classes of like size
+(within a factor of 4/3); every node is compared with the first of its class and the first of the class below; the true
+links make components; then all pairs of the group that are still in different components are compared too, except where
+the known distances to those first nodes rule a link out (Jaccard distance is a metric). So large groups of copies cost
+a comparison or two a member and not all pairs. A pair is compared by 256 counts of features first, whose differences are
+a lower bound of the sets' difference, and by the texts if that does not rule the link out.
 """
 
 from __future__ import annotations
 
+import math
 from collections import OrderedDict
 from collections.abc import Iterator
 
@@ -43,8 +46,11 @@ LEVELS = 6
 
 #: A shingle is widespread if this share of the documents has it. At most MOST_WIDESPREAD of them, the commonest, count
 #: as such; that bounds what is broadcast (8 bytes each) and changes no result.
-WIDESPREAD_SHARE = 1 / 500
-MOST_WIDESPREAD = 1 << 17
+WIDESPREAD_SHARE = 1 / 5_000
+MOST_WIDESPREAD = 1 << 18
+
+#: Cells of the feature counts that are compared before the texts.
+CELLS = 256
 
 _HELD = 400_000
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -70,10 +76,9 @@ _WORDS = _WordHashes()
 
 def shingles(text: str | bytes | None) -> np.ndarray:
     """The sorted distinct shingle hashes; a shorter text is one shingle; none without words. A-Z count as a-z."""
-    tokens = words(text)
+    tokens = words((text.encode("utf-8", "surrogatepass") if isinstance(text, str) else text or b"").lower())
     if not tokens:
         return np.zeros(0, np.uint64)
-    tokens = b" ".join(tokens).lower().split(b" ")
     n = len(tokens)
     hashes = np.fromiter(map(_WORDS.__getitem__, tokens), np.uint64, n)
     width = min(n, SHINGLE_WORDS)
@@ -122,8 +127,11 @@ def signatures(features: np.ndarray, widespread: np.ndarray) -> np.ndarray:
             made = _mixed(sums + part[order][starts] * _ODD + np.uint64(band * 64 + level))
             if len(made) > d:
                 all_common = np.add.reduceat(common[order], starts) == sizes
-                first = np.lexsort((made, -sizes, all_common))[: d + 1]
-                found.append(made[first])
+                # The order of the signatures: widespread content last, large parts first, then by hash.
+                turn = all_common.astype(np.uint64) << np.uint64(63)
+                turn |= (np.uint64(127) - np.minimum(sizes, 127).astype(np.uint64)) << np.uint64(56)
+                turn |= made >> np.uint64(8)
+                found.append(made[np.argpartition(turn, d)[: d + 1]])
                 break
             found.append(made)
     return np.concatenate(found)
@@ -133,40 +141,46 @@ def _signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
-_PROFILE = "tag int, doc_id long, key long, n long, place long"
-_PROFILE_ARROW = pa.schema([("tag", pa.int32()), *((c, pa.int64()) for c in ("doc_id", "key", "n", "place"))])
+def cell_counts(features: np.ndarray) -> bytes:
+    """Features by cell. Cut off at 255, which keeps the differences a lower bound."""
+    counts = np.bincount((features >> np.uint64(24)).astype(np.int64) % CELLS, minlength=CELLS)
+    return np.minimum(counts, 255).astype(np.uint8).tobytes()
+
+
+_PROFILE = "tag int, doc_id long, key long, n long, place long, cells binary"
+_PROFILE_ARROW = pa.schema([("tag", pa.int32()), *((c, pa.int64()) for c in ("doc_id", "key", "n", "place")), ("cells", pa.binary())])
 _DOCUMENT, _COUNT = 0, 1
 
 
 def _profiles(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of each document its set's key and size (tag 0), and of each shingle that is frequent here its count (tag 1).
+    """Of each document its set's key, size and cell counts (tag 0), and of each shingle that is frequent here its count (tag 1).
 
-    A worker counts shingles in rounds and hands on those with at least :data:`_LEAST` documents of the round: what is
-    rarer in every round is not widespread.
+    A worker counts shingles in rounds of about four million and hands on those with three documents of the round; what
+    is rarer in every round is not widespread.
     """
     held: list[np.ndarray] = []
     waiting = 0
 
     def counted() -> pa.RecordBatch:
         values, counts = np.unique(np.concatenate(held), return_counts=True)
-        often = counts >= max(4, len(held) // 1_000)
+        often = counts >= 3
         values, counts = _signed(values[often]), counts[often]
         empty = pa.nulls(len(values), pa.int64())
         return pa.RecordBatch.from_arrays(
-            [pa.array(np.full(len(values), _COUNT, np.int32)), empty, pa.array(values), pa.array(counts), empty], schema=_PROFILE_ARROW
+            [pa.array(np.full(len(values), _COUNT, np.int32)), empty, pa.array(values), pa.array(counts), empty, pa.nulls(len(values), pa.binary())],
+            schema=_PROFILE_ARROW,
         )
 
     for batch in rows:
         sets = [shingles(text) for text in batch.column(1).to_pylist()]
-        keys = [_set_key(s) if len(s) else None for s in sets]
-        size = len(sets)
         yield pa.RecordBatch.from_arrays(
             [
-                pa.array(np.full(size, _DOCUMENT, np.int32)),
+                pa.array(np.full(len(sets), _DOCUMENT, np.int32)),
                 batch.column(0),
-                pa.array(keys, pa.int64()),
+                pa.array([_set_key(s) if len(s) else None for s in sets], pa.int64()),
                 pa.array([len(s) for s in sets], pa.int64()),
                 batch.column(2),
+                pa.array([cell_counts(s) if len(s) else None for s in sets], pa.binary()),
             ],
             schema=_PROFILE_ARROW,
         )
@@ -196,7 +210,7 @@ def _signature_rows(widespread) -> callable:
                 own = signatures(features, common)
                 made.append(own)
                 keys.append(np.full(len(own), key))
-                sizes.append(np.full(len(own), len(features), np.int64))
+                sizes.append(np.full(len(own), len(features), np.int32))
             if made:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(_signed(np.concatenate(made))), pa.array(np.concatenate(keys)), pa.array(np.concatenate(sizes))],
@@ -230,19 +244,35 @@ def _compared(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(shared, pa.int64())], schema=_PAIR_ARROW)
 
 
-def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs with the number of shingles they share, from the texts themselves."""
-    own = [F.col("key"), F.col("n"), F.col("text")]
-    a = texts.select(*(c.alias(f"a_{name}") for c, name in zip(own, ("key", "n", "text"))))
-    b = texts.select(*(c.alias(f"b_{name}") for c, name in zip(own, ("key", "n", "text"))))
-    both = pairs.join(b, ["b_key", "b_n"]).join(a, ["a_key", "a_n"])
-    found = both.select("a_key", "a_n", "b_key", "b_n", "a_text", "b_text").mapInArrow(_compared, _PAIR)
-    return materialise(found, "jaccard-pairs")
+def _cell_differences(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in rows:
+        a, b = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, CELLS).astype(np.int16) for i in (4, 5))
+        differ = np.abs(a - b).sum(axis=1, dtype=np.int64)
+        yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(differ)], schema=_PAIR_ARROW)
+
+
+def _tested(pairs: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs, bounds of their Jaccard distance (equal if the texts were compared), and whether they are linked."""
+
+    def side(table: DataFrame, name: str, column: str) -> DataFrame:
+        return table.select(F.col("key").alias(f"{name}_key"), F.col("n").alias(f"{name}_n"), F.col(column).alias(f"{name}_{column}"))
 
+    def both(of: DataFrame, table: DataFrame, column: str) -> DataFrame:
+        joined = of.join(side(table, "b", column), ["b_key", "b_n"]).join(side(table, "a", column), ["a_key", "a_n"])
+        return joined.select("a_key", "a_n", "b_key", "b_n", f"a_{column}", f"b_{column}")
 
-def _links(compared: DataFrame) -> DataFrame:
-    """``100 * shared >= 75 * union``."""
-    return compared.filter(100 * F.col("shared") >= 75 * (F.col("a_n") + F.col("b_n") - F.col("shared")))
+    total, shared = F.col("a_n") + F.col("b_n"), F.col("shared")
+    rough = materialise(both(pairs, nodes, "cells").mapInArrow(_cell_differences, _PAIR), "rough-pairs")
+    # Here ``shared`` holds the least difference; similar sets differ in a seventh of their sizes' sum at most.
+    out = rough.filter(7 * shared > total).select(
+        "a_key", "a_n", "b_key", "b_n", (2 * shared / (total + shared)).alias("least"), F.lit(1.0).alias("most"), F.lit(False).alias("linked")
+    )
+    exact = both(rough.filter(7 * shared <= total), texts, "text").mapInArrow(_compared, _PAIR)
+    distance = 1 - shared / (total - shared)
+    close = exact.select(
+        "a_key", "a_n", "b_key", "b_n", distance.alias("least"), distance.alias("most"), (100 * shared >= 75 * (total - shared)).alias("linked")
+    )
+    return materialise(close.union(out), "tested-pairs")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -303,27 +333,37 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     nodes = (
         documents.filter("n > 0")
         .groupBy("key", "n")
-        .agg(F.min("doc_id").alias("least_id"), F.min_by("place", F.struct("doc_id", "place")).alias("place"))
+        .agg(
+            F.min("doc_id").alias("least_id"),
+            F.min_by("place", F.struct("doc_id", "place")).alias("place"),
+            F.first("cells").alias("cells"),
+        )
         .withColumn("node", F.coalesce("least_id", F.lit(_NO_ID) + F.pmod("key", F.lit(1 << 61))))
     )
     nodes = materialise(nodes, "shingle-sets")
 
-    # Groups of equal signatures, each member beside the first and the one before it.
-    rows = docs.select("text").mapInArrow(_signature_rows(widespread), "sig long, key long, n long")
-    group = Window.partitionBy("sig").orderBy("n", "key")
+    # Groups of equal signatures; each member beside the first of its size class and the first of the class below.
+    rows = docs.select("text").mapInArrow(_signature_rows(widespread), "sig long, key long, n int")
+    rows = rows.withColumn("size_class", F.floor(F.log("n") / math.log(4 / 3)).cast("int"))
+    group = Window.partitionBy("sig").orderBy("size_class", "n", "key")
+    alike = Window.partitionBy("sig", "size_class").orderBy("n", "key")
     near = rows.select(
         "*",
-        F.lag("n").over(group).alias("prev_n"),
-        F.lag("key").over(group).alias("prev_key"),
+        F.lag(F.struct("n", "key")).over(group).alias("prev"),
         F.lead("n").over(group).alias("next_n"),
-        F.first(F.struct("n", "key")).over(group.rowsBetween(Window.unboundedPreceding, 0)).alias("hub"),
+        F.first(F.struct("n", "key")).over(alike).alias("hub"),
     )
-    again = F.col("prev_n").eqNullSafe(F.col("n")) & F.col("prev_key").eqNullSafe(F.col("key"))
-    near = near.filter(F.col("prev_n").isNotNull() | F.col("next_n").isNotNull()).filter(~again)
+    near = near.withColumn("before", F.lag("hub").over(group)).withColumn("below", F.first(F.struct("before")).over(alike)["before"])
+    again = F.col("prev.n").eqNullSafe(F.col("n")) & F.col("prev.key").eqNullSafe(F.col("key"))
+    near = near.filter(F.col("prev").isNotNull() | F.col("next_n").isNotNull()).filter(~again)
     groups = materialise(
-        near.select("sig", "key", "n", F.col("hub.key").alias("hub_key"), F.col("hub.n").alias("hub_n"), "prev_key", "prev_n"),
+        near.select(
+            "sig", "size_class", "key", F.col("n").cast("long"),
+            F.col("hub.key").alias("hub_key"), F.col("hub.n").cast("long").alias("hub_n"),
+            F.col("below.key").alias("below_key"), F.col("below.n").cast("long").alias("below_n"),
+        ),
         "signature-groups",
-    )
+    )
 
     def pairs_with(key: str, n: str) -> DataFrame:
         other = groups.filter(F.col(n).isNotNull() & ~((F.col(key) == F.col("key")) & (F.col(n) == F.col("n"))))
@@ -331,7 +371,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
             F.col(key).alias("a_key"), F.col(n).alias("a_n"), F.col("key").alias("b_key"), F.col("n").alias("b_n")
         )
 
-    first = materialise(pairs_with("hub_key", "hub_n").union(pairs_with("prev_key", "prev_n")).distinct(), "pairs")
+    first = materialise(pairs_with("hub_key", "hub_n").union(pairs_with("below_key", "below_n")).distinct(), "pairs")
     # The texts of the sets that share a signature with another.
     wanted = groups.select("key", "n").distinct().join(nodes, ["key", "n"]).select("key", "n", F.col("least_id").alias("doc_id"), "place")
     found = plain.withColumnRenamed("doc_id", "own_id").join(
@@ -339,37 +379,48 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     )
     texts = materialise(found.groupBy("key", "n").agg(F.first("text").alias("text")), "candidate-texts")
 
-    tested = _verified(first, texts)
-    parts = materialise(components(_named(_links(tested), nodes)), "components")
+    tested = _tested(first, nodes, texts)
+    parts = materialise(components(_named(tested.filter("linked"), nodes)), "components")
 
-    # Pairs of a group that are still apart, unless the distances to its first node rule a link out.
+    # Pairs of a group that are still apart, unless the distances to a first node rule a link out.
     labels = nodes.join(parts, F.col("id") == F.col("node"), "left").select(
         "key", "n", F.coalesce("component", "node").alias("part")
     )
-    split = groups.select("sig", "key", "n", "hub_key", "hub_n").join(labels, ["key", "n"])
+    split = groups.join(labels, ["key", "n"])
     apart = split.groupBy("sig").agg(F.min("part").alias("low"), F.max("part").alias("high")).filter("low < high").select("sig")
-    distance = 1 - F.col("shared") / (F.col("a_n") + F.col("b_n") - F.col("shared"))
-    known = tested.select(
-        F.col("a_key").alias("hub_key"), F.col("a_n").alias("hub_n"), F.col("b_key").alias("key"), F.col("b_n").alias("n"), distance.alias("away")
-    )
-    itself = (F.col("key") == F.col("hub_key")) & (F.col("n") == F.col("hub_n"))
+
+    def known(name: str) -> DataFrame:
+        return tested.select(
+            F.col("a_key").alias(f"{name}_key"), F.col("a_n").alias(f"{name}_n"), F.col("b_key").alias("key"), F.col("b_n").alias("n"),
+            F.col("least").alias(f"{name}_least"), F.col("most").alias(f"{name}_most"),
+        )
+
+    is_hub = (F.col("key") == F.col("hub_key")) & (F.col("n") == F.col("hub_n"))
     members = materialise(
-        split.join(apart, "sig")
-        .join(known, ["hub_key", "hub_n", "key", "n"], "left")
-        .select("sig", "key", "n", "part", F.when(itself, 0.0).otherwise(F.col("away")).alias("away")),
+        split.join(apart, "sig", "left_semi")
+        .join(known("hub"), ["hub_key", "hub_n", "key", "n"], "left")
+        .join(known("below"), ["below_key", "below_n", "key", "n"], "left")
+        .select(
+            "sig", "size_class", "key", "n", "part",
+            F.when(is_hub, 0.0).otherwise(F.coalesce("hub_least", F.lit(0.0))).alias("least"),
+            F.when(is_hub, 0.0).otherwise(F.coalesce("hub_most", F.lit(1.0))).alias("most"),
+            F.coalesce("below_least", F.lit(0.0)).alias("below_least"), F.coalesce("below_most", F.lit(1.0)).alias("below_most"),
+        ),
         "split-groups",
-    )
-    a = members.select("sig", *(F.col(c).alias(f"a_{c}") for c in ("key", "n", "part", "away")))
-    b = members.select("sig", *(F.col(c).alias(f"b_{c}") for c in ("key", "n", "part", "away")))
-    may_link = F.coalesce(F.abs(F.col("a_away") - F.col("b_away")) <= 0.25 + 1e-9, F.lit(True))
+    )
+    a, b = (members.select("sig", *(F.col(c).alias(f"{side}_{c}") for c in members.columns if c != "sig")) for side in "ab")
+    # The smaller set's first node is the larger one's own, or that of the class below it.
+    same = F.col("a_size_class") == F.col("b_size_class")
+    b_least = F.when(same, F.col("b_least")).otherwise(F.col("b_below_least"))
+    b_most = F.when(same, F.col("b_most")).otherwise(F.col("b_below_most"))
+    too_far = (F.col("a_least") - b_most > 0.25 + 1e-9) | (b_least - F.col("a_most") > 0.25 + 1e-9)
     in_order = (F.col("a_n") < F.col("b_n")) | ((F.col("a_n") == F.col("b_n")) & (F.col("a_key") < F.col("b_key")))
     rest = a.join(b, "sig").filter(
-        (F.col("a_part") != F.col("b_part")) & in_order & (4 * F.col("a_n") >= 3 * F.col("b_n")) & may_link
+        (F.col("a_part") != F.col("b_part")) & in_order & (4 * F.col("a_n") >= 3 * F.col("b_n")) & ~too_far
     )
     pair = ["a_key", "a_n", "b_key", "b_n"]
     second = rest.select(*pair).distinct().join(first, pair, "left_anti")
-    compared = tested.union(_verified(second, texts))
-    links = materialise(_links(compared).select(*pair), "links")
+    links = materialise(tested.union(_tested(second, nodes, texts)).filter("linked").select(*pair), "links")
     parts = materialise(components(_named(links, nodes)), "components")
 
     ends = links.select(F.col("a_key").alias("key"), F.col("a_n").alias("n")).union(links.select("b_key", "b_n"))

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberlog.llm import mixing, ngram_join, quality_rules, secrets, site_templates, token_files
+from emberlog.llm import mixing, ngram_join, packing, pii, quality_rules, secrets, site_templates, token_files
 from emberlog.llm.common import table
 from emberlog.session import scratch_path
 
@@ -24,12 +24,20 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_personal_data(table(spark, sf_dir, "documents"))
+
+
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "token-files")
     token_files.write_token_files(table(spark, sf_dir, "documents"), path, tokenizer_path())
     return token_files.read_token_files(spark, path)
 
 
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"))
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mix = mixing.mix_sources(table(spark, sf_dir, "documents"))
     return mix.select(F.col("row.doc_id").alias("doc_id"), "size", "source_size", "target", "taken")
@@ -86,7 +94,9 @@ JOIN groups ON hashed.source IS NOT DISTINCT FROM groups.source AND hashed.hash
 """
 
 QUERIES: dict[str, Query] = {
+    "op1_pii": op1_pii,
     "op2_token_files": op2_token_files,
+    "op4_packing": op4_packing,
     "op6_mixing": op6_mixing,
     "op7_secrets": op7_secrets,
     "op8_quality_rules": op8_quality_rules,
