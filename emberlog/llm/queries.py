@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberlog.llm import mixing, ngram_join, packing, pii, quality_rules, secrets, site_templates, token_files
+from emberlog.llm import kneser_ney, learned_partitions, mixing, ngram_join, packing, pii, quality_rules, secrets, site_templates, token_files
 from emberlog.llm.common import table
 from emberlog.session import scratch_path
 
@@ -34,10 +34,18 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_token_files(spark, path)
 
 
+def op3_learned_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return learned_partitions.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op5_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kneser_ney.judge_perplexity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mix = mixing.mix_sources(table(spark, sf_dir, "documents"))
     return mix.select(F.col("row.doc_id").alias("doc_id"), "size", "source_size", "target", "taken")
@@ -96,7 +104,9 @@ JOIN groups ON hashed.source IS NOT DISTINCT FROM groups.source AND hashed.hash
 QUERIES: dict[str, Query] = {
     "op1_pii": op1_pii,
     "op2_token_files": op2_token_files,
+    "op3_learned_partitions": op3_learned_partitions,
     "op4_packing": op4_packing,
+    "op5_kneser_ney": op5_kneser_ney,
     "op6_mixing": op6_mixing,
     "op7_secrets": op7_secrets,
     "op8_quality_rules": op8_quality_rules,
