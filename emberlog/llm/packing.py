@@ -13,7 +13,8 @@ from __future__ import annotations
 
 from bisect import bisect_left, insort
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -78,7 +79,7 @@ def pack(sizes: list[int], lengths: tuple[int, ...] = LENGTHS, row_cost: int = R
     counts: dict[int, int] = {}
     for size in sizes:
         counts[size] = counts.get(size, 0) + 1
-    rising = sorted(counts)
+    rising = sorted(size for size in counts if size)
     in_bin, offset, capacity, used = [0] * len(sizes), [0] * len(sizes), [], []
     room = _Room()
     for i in order:
@@ -139,25 +140,19 @@ def pack_documents(docs: DataFrame, lengths: tuple[int, ...] = LENGTHS, row_cost
     # The number of a piece is part of the hash, so the pieces of one document, or of copies in one place, spread.
     dealt = cut.withColumn("shard", F.pmod(F.xxhash64("mark", "piece"), F.lit(shards)))
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["n_tokens", "doc_id", "mark", "piece"], ascending=[False, True, True, True], na_position="first")
-        in_bin, offset, length = pack(rows["n_tokens"].tolist(), lengths, row_cost)
-        made = pd.DataFrame({"bin": in_bin, "size": rows["n_tokens"].to_numpy()})
-        used = made.groupby("bin")["size"].sum()
-        return pd.DataFrame(
-            {
-                "doc_id": rows["doc_id"].array,
-                "piece": rows["piece"].array,
-                "start": rows["start"].array,
-                "n_tokens": rows["n_tokens"].array,
-                "bin_id": [int(rows["shard"].iloc[0]) * SHARD_TOKENS * 2 + b for b in in_bin],
-                "bin_length": [length[b] for b in in_bin],
-                "bin_offset": offset,
-                "bin_used": [int(used[b]) for b in in_bin],
-            }
-        )
-
-    return dealt.groupBy("shard").applyInPandas(run, _PACKED)
+    def run(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by([("n_tokens", "descending"), ("doc_id", "ascending"), ("mark", "ascending"), ("piece", "ascending")])
+        in_bin, offset, length = pack(rows["n_tokens"].to_pylist(), lengths, row_cost)
+        bins = np.array(in_bin)
+        used = np.bincount(bins, weights=rows["n_tokens"].to_numpy()).astype(np.int64)
+        first = rows["shard"][0].as_py() * SHARD_TOKENS * 2
+        own = rows.select(["doc_id", "piece", "start", "n_tokens"])
+        added = {"bin_id": first + bins, "bin_length": np.array(length)[bins], "bin_offset": np.array(offset), "bin_used": used[bins]}
+        for name, values in added.items():
+            own = own.append_column(name, pa.array(values.astype(np.int64)))
+        return own
+
+    return dealt.groupBy("shard").applyInArrow(run, _PACKED)
 
 
 def packed_sequences(packing: DataFrame) -> DataFrame:
