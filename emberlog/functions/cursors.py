@@ -7,6 +7,7 @@ skipped at a page edge. Tokens with milliseconds are read as well.
 from __future__ import annotations
 
 from datetime import datetime, timezone
+from uuid import uuid4
 
 import pyarrow as pa
 from pyspark.sql import Column, SparkSession
@@ -29,7 +30,12 @@ def decode_cursor(token: Column) -> Column:
     # Both base64 alphabets are read, padding and foreign characters ignored.
     symbols = F.regexp_replace(F.translate(F.substring_index(token, "=", 1), "-_", "+/"), "[^A-Za-z0-9+/]", "")
     padded = F.concat(symbols, F.repeat(F.lit("="), F.pmod(-F.length(symbols), F.lit(4))))
-    body = F.try_parse_json(F.try_validate_utf8(F.try_to_binary(padded, F.lit("base64")).cast("string")))
+    text = F.try_validate_utf8(F.try_to_binary(padded, F.lit("base64")).cast("string"))
+    # The parser ignores what follows a complete value, so the token must be the whole first of two elements.
+    end = uuid4().hex
+    both = F.try_parse_json(F.concat(F.lit("["), text, F.lit(f',"{end}"]')))
+    whole = F.try_variant_get(both, "$[1]", "string").eqNullSafe(F.lit(end)) & F.try_variant_get(both, "$[2]", "variant").isNull()
+    body = F.when(whole, F.try_variant_get(both, "$[0]", "variant"))
     ts, row_id = field(body, "timestamp"), field(body, "id")
     ts_text, id_text = as_string(ts), as_string(row_id)
     with_seconds = F.regexp_replace(ts_text, r"T(\d{2}:\d{2})Z$", "T$1:00Z")

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping
 from dataclasses import dataclass, field
 from datetime import datetime
+from decimal import Decimal
 from functools import reduce
 from operator import and_
 
@@ -40,7 +42,14 @@ def _text(value: str | None, name: str) -> str | None:
 
 
 def _attribute_text(value: object) -> str:
-    return str(value).lower() if isinstance(value, bool) else str(value)
+    if isinstance(value, bool):
+        return str(value).lower()
+    if isinstance(value, (float, Decimal)):
+        # Stored numbers are canonical: 2.0 is kept as 2.
+        if not math.isfinite(value):
+            raise ValueError("attribute values must be finite")
+        return format(Decimal(str(value)).normalize() + 0, "f")
+    return str(value)
 
 
 def check_filters(

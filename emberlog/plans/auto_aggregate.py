@@ -86,7 +86,7 @@ def aggregate_auto(
 def aggregate_table(spark: SparkSession, root: str, since, until, bucket: str, **params) -> DataFrame:
     """:func:`aggregate_auto` over an ingested table, on batches whose logs and rollup are both complete.
 
-    For a short range only the folders of its days are listed.
+    Only the folders of the days in the range are listed. Before the first batch the result is empty.
     """
     upto = committed_batch(spark, root)
     upto = -1 if upto is None else upto
@@ -96,10 +96,10 @@ def aggregate_table(spark: SparkSession, root: str, since, until, bucket: str, *
     return aggregate_auto(logs, rollup, since, until, bucket, **params)
 
 
-def named_days(since, until, most: int = 31) -> list[date] | None:
-    """The days a valid range touches, or ``None`` where listing the whole table is the better choice."""
+def named_days(since, until) -> list[date] | None:
+    """The days a valid range touches; ``None`` without one, which the aggregate then refuses."""
     if since is None or until is None:
         return None
     first, last = request_instant(since, "since").date(), request_instant(until, "until").date()
     count = (last - first).days + 1
-    return [first + timedelta(days=n) for n in range(count)] if 0 < count <= most else None
+    return [first + timedelta(days=n) for n in range(count)] if count > 0 else None

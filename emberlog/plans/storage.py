@@ -1,6 +1,7 @@
 """Sinks, table layout and compaction.
 
-Every sink overwrites exactly the partitions of its batch, so repeating a batch changes nothing.
+Every sink overwrites the partitions of its batch; :func:`drop_batch` removes what an earlier attempt at it left.
+Compaction only moves forward: a day covered up to a batch takes no batch up to it any more and no lower bound.
 """
 
 from __future__ import annotations
@@ -14,8 +15,16 @@ from pyspark.sql import functions as F
 from emberlog.functions.timestamps import event_date
 from emberlog.operators.aggregate import merge_rollup
 from emberlog.schema import LOG_TABLE_SCHEMA, ROLLUP_TABLE_SCHEMA
-from emberlog.sources.files import delete
-from emberlog.sources.tables import compacted_batch, covered_path, day_folders, read_logs, read_rollup
+from emberlog.sources.files import child_names, delete
+from emberlog.sources.tables import (
+    committed_batch,
+    compacted_batch,
+    covered_bounds,
+    covered_path,
+    day_folders,
+    read_logs,
+    read_rollup,
+)
 
 #: Compacted log files aim at this many bytes.
 TARGET_FILE_BYTES = 128 << 20
@@ -39,12 +48,33 @@ def _stamp(df: DataFrame, batch_id: int) -> DataFrame:
     return df.withColumn("batch_id", F.lit(batch_id).cast("long"))
 
 
+def _refuse_covered(spark: SparkSession, path: str, batch_id: int) -> None:
+    """A batch that compaction has covered would never be seen, so it is not written."""
+    bound = max(covered_bounds(spark, path).values(), default=-1)
+    if 0 <= batch_id <= bound:
+        raise ValueError(f"batch {batch_id} comes too late: compaction has covered all batches up to {bound}")
+
+
+def drop_batch(spark: SparkSession, root: str, batch_id: int) -> None:
+    """Remove every row of a batch from the four tables below ``root``."""
+    base = root.rstrip("/")
+    for table in ("logs", "rollup"):
+        _refuse_covered(spark, f"{base}/{table}", batch_id)
+    for table in ("logs", "rollup"):
+        for name in child_names(spark, f"{base}/{table}"):
+            if name.startswith("event_date="):
+                delete(spark, f"{base}/{table}/{name}/batch_id={batch_id}")
+    for table in ("rejected", "summary"):
+        delete(spark, f"{base}/{table}/batch_id={batch_id}")
+
+
 def append_logs(df: DataFrame, path: str, batch_id: int) -> None:
     """Append a batch under its days.
 
     Rebalancing by day gives few files per day, splits a day that dominates the batch over several tasks and merges
     small ones. Rows are ordered by instant within a file for tight row-group statistics.
     """
+    _refuse_covered(df.sparkSession, path, batch_id)
     rows = _stamp(with_event_date(df), batch_id).select(*LOG_TABLE_SCHEMA.names)
     ordered = rows.hint("rebalance", "event_date").sortWithinPartitions("event_date", "batch_id", "timestamp", "id")
     _write(ordered, path, "event_date", "batch_id")
@@ -52,6 +82,7 @@ def append_logs(df: DataFrame, path: str, batch_id: int) -> None:
 
 def append_rollup(counts: DataFrame, path: str, batch_id: int) -> None:
     """Append the batch's one-minute counts as deltas: a new key is its first delta, a known key gains one."""
+    _refuse_covered(counts.sparkSession, path, batch_id)
     rows = _stamp(counts, batch_id).withColumn("event_date", event_date(F.col("bucket_start")))
     ordered = (
         rows.select(*ROLLUP_TABLE_SCHEMA.names)
@@ -87,8 +118,11 @@ def _drop_replaced(spark: SparkSession, path: str, days: list[date], upto: int)
 
 def table_files(spark: SparkSession, path: str, days: list[date] | None = None) -> DataFrame:
     """``(event_date, batch_id, path, length)``, one row per data file (of these days), from the listing alone."""
+    folders = day_folders(spark, path, days)
+    if not folders:
+        return spark.createDataFrame([], "event_date date, batch_id long, path string, length long")
     reader = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").option("basePath", path)
-    files = reader.load(day_folders(spark, path, days)).select(
+    files = reader.load(folders).select(
         F.col("event_date").cast("string").try_cast("date").alias("event_date"),
         F.col("batch_id").cast("long").alias("batch_id"),
         "path",
@@ -97,13 +131,26 @@ def table_files(spark: SparkSession, path: str, days: list[date] | None = None)
     return files.where(F.col("event_date").isNotNull() if days is None else F.col("event_date").isin(days))
 
 
+def _refuse_uncommitted(spark: SparkSession, path: str, upto_batch: int) -> None:
+    """Of an ingested table, only batches with a commit mark are final."""
+    last = committed_batch(spark, path.rstrip("/").rpartition("/")[0])
+    if last is not None and upto_batch > last:
+        raise ValueError(f"batches up to {upto_batch} cannot be compacted: only those up to {last} are committed")
+
+
 def compact_day(spark: SparkSession, path: str, day: date, upto_batch: int) -> None:
     """Merge the small files of one day, batches up to ``upto_batch``, into large ones sorted by instant.
 
-    Only batches that can no longer be replayed may be given. Readers keep seeing the originals until the list of
-    covered days names the new partition; whatever was replaced is deleted after that, so a failure at any point
-    leaves the same rows visible and the job can simply run again.
+    Only committed batches may be given. Readers keep seeing the originals until the list of covered days names the new
+    partition; whatever was replaced is deleted after that, so a failure at any point leaves the same rows visible and
+    the job can simply run again. A published partition is never written again: the bound of a day only rises, a lower
+    one changes nothing, and the same one only deletes what is left over.
     """
+    _refuse_uncommitted(spark, path, upto_batch)
+    bound = covered_bounds(spark, path).get(day.isoformat(), -1)
+    if upto_batch <= bound:
+        _drop_replaced(spark, path, [day], bound)
+        return
     rows = read_logs(spark, path, upto_batch, [day])
     size = table_files(spark, path, [day]).agg(F.sum("length")).first()[0] or 0
     parts = max(1, -(-size // TARGET_FILE_BYTES))
@@ -120,8 +167,14 @@ def compact_day(spark: SparkSession, path: str, day: date, upto_batch: int) -> N
 
 def compact_rollup(spark: SparkSession, path: str, upto_batch: int) -> None:
     """Fold the deltas of all batches up to ``upto_batch`` into one row per key, on every day that got new ones."""
+    _refuse_uncommitted(spark, path, upto_batch)
+    bounds = covered_bounds(spark, path)
     fresh = table_files(spark, path).where(F.col("batch_id").between(0, upto_batch))
-    days = [row.event_date for row in fresh.select("event_date").distinct().collect()]
+    newest = fresh.groupBy("event_date").agg(F.max("batch_id").alias("newest")).collect()
+    days = [row.event_date for row in newest if row.newest > bounds.get(row.event_date.isoformat(), -1)]
+    for row in newest:
+        if row.event_date not in days:
+            _drop_replaced(spark, path, [row.event_date], bounds[row.event_date.isoformat()])
     if not days:
         return
     deltas = read_rollup(spark, path, upto_batch, days)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from uuid import uuid4
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,13 +53,18 @@ def stream_envelopes(
 
 
 def _parsed(envelopes: DataFrame) -> DataFrame:
-    """Add ``_logs``. Read as the only element of an array, a document followed by anything else is refused."""
+    """Add ``_logs``. The parser ignores what follows a complete value, so the document is read as the first of two
+    elements, and a document is refused unless the second one is the end mark of this query."""
+    end = uuid4().hex
     document = F.from_json(
-        F.concat(F.lit("["), F.col("value"), F.lit("]")), "array<struct<logs:array<variant>>>", _STRICT_JSON
+        F.concat(F.lit("["), F.col("value"), F.lit(f',{{"end":"{end}"}}]')),
+        "array<struct<logs:array<variant>,end:string>>",
+        _STRICT_JSON,
     )
+    whole = (F.size("_doc") == 2) & F.try_element_at("_doc", F.lit(2))["end"].eqNullSafe(F.lit(end))
     carried = [c for c in envelopes.columns if c != "value"]
     return envelopes.select(*carried, document.alias("_doc")).select(
-        *carried, F.when(F.size("_doc") == 1, F.try_element_at("_doc", F.lit(1))["logs"]).alias("_logs")
+        *carried, F.when(whole, F.try_element_at("_doc", F.lit(1))["logs"]).alias("_logs")
     )
 
 

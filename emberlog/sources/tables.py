@@ -40,17 +40,29 @@ def _covered(spark: SparkSession, path: str) -> dict[str, int]:
     return {row.event_date.isoformat(): row.upto for row in days.collect()}
 
 
+def covered_bounds(spark: SparkSession, path: str) -> dict[str, int]:
+    """Up to which batch each compacted day (ISO text) is covered."""
+    return _covered(spark, path)
+
+
 def day_folders(spark: SparkSession, path: str, days: list[date] | None) -> list[str]:
-    """Folders to list for these days, those without one left out; the whole table if no days are named."""
+    """Folders to list for these days, those without one left out; the whole table if no days are named.
+
+    One listing of the table's folder, whatever the number of days. Empty if there is nothing to read.
+    """
     base = path.rstrip("/")
-    folders = [f"{base}/event_date={day.isoformat()}" for day in days or []]
-    return [folder for folder in folders if exists(spark, folder)] or [base]
+    there = {name for name in child_names(spark, base) if name.startswith("event_date=")}
+    if days is None:
+        return [base] if there else []
+    return [f"{base}/{name}" for name in (f"event_date={day.isoformat()}" for day in days) if name in there]
 
 
 def _scan(
     spark: SparkSession, path: str, schema: T.StructType, upto_batch: int | None, days: list[date] | None
 ) -> DataFrame:
     folders = day_folders(spark, path, days)
+    if not folders:
+        return prepare(spark).createDataFrame([], schema)
     df = prepare(spark).read.schema(schema).option("basePath", path).parquet(*folders)
     if days is not None:
         df = df.where(F.col("event_date").isin(days))
@@ -84,12 +96,19 @@ def read_rollup(
     return _scan(spark, path, ROLLUP_TABLE_SCHEMA, upto_batch, days)
 
 
+def _whole(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """The whole table; empty before its first batch."""
+    if not exists(spark, path):
+        return prepare(spark).createDataFrame([], schema)
+    return prepare(spark).read.schema(schema).parquet(path)
+
+
 def read_rejected(spark: SparkSession, path: str) -> DataFrame:
-    return prepare(spark).read.schema(REJECTED_TABLE_SCHEMA).parquet(path)
+    return _whole(spark, path, REJECTED_TABLE_SCHEMA)
 
 
 def read_summary(spark: SparkSession, path: str) -> DataFrame:
-    return prepare(spark).read.schema(SUMMARY_TABLE_SCHEMA).parquet(path)
+    return _whole(spark, path, SUMMARY_TABLE_SCHEMA)
 
 
 def committed_batch(spark: SparkSession, root: str) -> int | None:

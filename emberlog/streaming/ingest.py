@@ -14,7 +14,7 @@ from emberlog.fixed_values import FLUSH_INTERVAL
 from emberlog.operators.aggregate import rollup_batch
 from emberlog.operators.identity import assign_ids_by_split
 from emberlog.operators.validate import check_entries, summarise
-from emberlog.plans.storage import append_logs, append_rejected, append_rollup, append_summary
+from emberlog.plans.storage import append_logs, append_rejected, append_rollup, append_summary, drop_batch
 from emberlog.sources.envelopes import (
     ARRIVAL,
     SPLIT_COLUMNS,
@@ -24,11 +24,13 @@ from emberlog.sources.envelopes import (
     read_envelopes,
     stream_envelopes,
 )
-from emberlog.sources.files import child_names, delete, touch
+from emberlog.sources.files import child_names, delete, exists, touch
 from emberlog.sources.tables import COMMITS, committed_batch
 
 #: Commit marks kept; only the newest is read.
 _KEPT_COMMITS = 16
+#: Marks of batches that were begun; one that is there already belongs to a batch that is being replayed.
+_BEGUN = "begun"
 
 
 def check_batch(envelopes: DataFrame) -> DataFrame:
@@ -44,9 +46,13 @@ def flush_batch(envelopes: DataFrame, root: str, batch_id: int) -> None:
     """Write one batch: rows, rollup, rejections and summaries side by side, then the commit mark.
 
     The verdicts are kept for the four writes (a lost block is recomputed from the source). A batch that fails
-    half-way is written again in full under the same number and replaces what it left.
+    half-way is written again in full under the same number; what it left is removed first, whatever days it was in.
     """
     spark, base = envelopes.sparkSession, root.rstrip("/")
+    begun = f"{base}/{_BEGUN}/{batch_id}"
+    if exists(spark, begun):
+        drop_batch(spark, base, batch_id)
+    touch(spark, begun)
     kept = check_batch(envelopes).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         # The count over the splits fills the cache that the writes then share.
@@ -77,10 +83,19 @@ def _commit(spark: SparkSession, base: str, batch_id: int) -> None:
     marks = sorted((int(n) for n in child_names(spark, f"{base}/{COMMITS}") if n.isdigit()), reverse=True)
     for old in marks[_KEPT_COMMITS:]:
         delete(spark, f"{base}/{COMMITS}/{old}")
+        delete(spark, f"{base}/{_BEGUN}/{old}")
 
 
-def ingest_files(spark: SparkSession, in_path: str, root: str, batch_id: int) -> None:
-    """One bounded batch without a stream."""
+def ingest_files(spark: SparkSession, in_path: str, root: str, batch_id: int, *, replace: bool = False) -> None:
+    """One bounded batch without a stream.
+
+    A number up to the last committed batch is refused unless ``replace`` says that its rows are to go.
+    """
+    last = committed_batch(spark, root)
+    if last is not None and batch_id <= last:
+        if not replace:
+            raise ValueError(f"batch {batch_id} may be there already: pass {last + 1} or more, or replace=True")
+        drop_batch(spark, root, batch_id)
     flush_batch(read_envelopes(spark, in_path), root, batch_id)
 
 

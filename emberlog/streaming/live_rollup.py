@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def stream_rollup(df: DataFrame, watermark: str = "10 minutes") -> DataFrame:
-    """Rows per minute, service and level; state older than the watermark is dropped.
+def stream_rollup(df: DataFrame, watermark: str) -> DataFrame:
+    """Rows per minute, service and level; rows and state older than the watermark are dropped,
+    so the caller states it.
 
     The stored rollup has no such bound: there a late row simply adds a delta.
     """

@@ -56,3 +56,10 @@ def test_lenient_base64(spark):
 def test_malformed(spark, bad):
     with pytest.raises(ValueError, match="^invalid cursor$"):
         read_token(spark, bad)
+
+
+@pytest.mark.parametrize("after", [" junk", ",1", "]", '],["', " {}"])
+def test_text_after_the_token_is_refused(spark, after):
+    body = '{"timestamp":"2026-08-02T12:00:00.000Z","id":"42"}' + after
+    with pytest.raises(ValueError):
+        read_token(spark, base64.urlsafe_b64encode(body.encode()).decode().rstrip("="))

@@ -162,3 +162,27 @@ def test_ids_are_dense_batch_monotonic_and_repeatable(spark):
     again = assign_ids(df.repartition(8), 3, [F.asc("arrival")])
     assert row_set(first) == row_set(again)
     assert first.where(F.col("id") != F.lit(3 << INDEX_BITS) + F.col("arrival")).count() == 0
+
+
+def _one_row(make_logs, time):
+    return make_logs([(time, "info", "a", "m", {})]).withColumn("attr_text", attribute_text_of_json("attributes"))
+
+
+def test_compaction_only_moves_forward(spark, make_logs, tmp_path):
+    path, day = str(tmp_path / "logs"), date(2026, 8, 2)
+    for batch in range(4):
+        append_logs(_one_row(make_logs, f"12:0{batch}:00"), path, batch)
+    compact_day(spark, path, day, 3)
+    compact_day(spark, path, day, 1)
+    compact_day(spark, path, day, 3)
+    assert read_logs(spark, path).count() == 4
+    with pytest.raises(ValueError, match="too late"):
+        append_logs(_one_row(make_logs, "12:09:00"), path, 2)
+    append_logs(_one_row(make_logs, "12:09:00"), path, 4)
+    compact_day(spark, path, day, 4)
+    assert read_logs(spark, path).count() == 5
+
+
+def test_nothing_to_read_before_the_first_batch(spark, tmp_path):
+    assert read_logs(spark, str(tmp_path / "none")).collect() == []
+    assert read_rollup(spark, str(tmp_path / "none"), days=[date(2026, 8, 2)]).collect() == []
