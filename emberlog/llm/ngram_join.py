@@ -348,14 +348,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     group = Window.partitionBy("sig").orderBy("size_class", "n", "key")
     alike = Window.partitionBy("sig", "size_class").orderBy("n", "key")
     near = rows.select(
-        "*",
-        F.lag(F.struct("n", "key")).over(group).alias("prev"),
-        F.lead("n").over(group).alias("next_n"),
-        F.first(F.struct("n", "key")).over(alike).alias("hub"),
+        "*", F.lag("n").over(group).alias("prev_n"), F.lag("key").over(group).alias("prev_key"), F.lead("n").over(group).alias("next_n")
     )
-    near = near.withColumn("before", F.lag("hub").over(group)).withColumn("below", F.first(F.struct("before")).over(alike)["before"])
-    again = F.col("prev.n").eqNullSafe(F.col("n")) & F.col("prev.key").eqNullSafe(F.col("key"))
-    near = near.filter(F.col("prev").isNotNull() | F.col("next_n").isNotNull()).filter(~again)
+    # Most signatures occur once; they go before the further windows, which find the rows sorted already.
+    near = near.filter(F.col("prev_n").isNotNull() | F.col("next_n").isNotNull())
+    near = near.withColumn("hub", F.first(F.struct("n", "key")).over(alike)).withColumn("before", F.lag("hub").over(group))
+    near = near.withColumn("below", F.first(F.struct("before")).over(alike)["before"])
+    near = near.filter(~(F.col("prev_n").eqNullSafe(F.col("n")) & F.col("prev_key").eqNullSafe(F.col("key"))))
     groups = materialise(
         near.select(
             "sig", "size_class", "key", F.col("n").cast("long"),
