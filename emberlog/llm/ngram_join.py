@@ -16,9 +16,9 @@ many documents share do not make signatures while there are others. Any order is
 
 *From signatures to links.* Equal sets are one node. Each group of equal signatures is cut into classes of like size
 (within a factor of 4/3); every node is compared with the first of its class and the first of the class below; the true
-links make components; then all pairs of the group that are still in different components are compared too, except where
-the known distances to those first nodes rule a link out (Jaccard distance is a metric). So large groups of copies cost
-a comparison or two a member and not all pairs. A pair is compared by 256 counts of features first, whose differences are
+links make components. The sets of groups that still have several components meet once more, by single shingles, rarest
+first (see ``_rare_features``), and pairs in different components are compared too. So large groups of copies cost a
+comparison or two a member and not all pairs, and neither do large groups that only share a passage. A pair is compared by 256 counts of features first, whose differences are
 a lower bound of the sets' difference, and by the texts if that does not rule the link out.
 """
 
@@ -31,7 +31,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from emberlog.llm.common import packed, ready, words
@@ -85,7 +85,16 @@ def shingles(text: str | bytes | None) -> np.ndarray:
     total = np.full(n - width + 1, np.uint64(width))
     for i in range(width):
         total = total * _ODD + hashes[i : n - width + 1 + i]
-    return np.unique(_mixed(total))
+    total = _mixed(total)
+    total.sort()
+    return total[_changes(total)]
+
+
+def _changes(x: np.ndarray) -> np.ndarray:
+    """Where a value differs from the one before; true at the first."""
+    out = np.ones(len(x), bool)
+    np.not_equal(x[1:], x[:-1], out=out[1:])
+    return out
 
 
 def _set_key(features: np.ndarray) -> int:
@@ -106,31 +115,33 @@ def _bands(n: int) -> list[tuple[int, int]]:
 def signatures(features: np.ndarray, widespread: np.ndarray) -> np.ndarray:
     """All signatures of a set, as 64-bit hashes."""
     n = len(features)
+    common = None
     if len(widespread):
         places = np.minimum(np.searchsorted(widespread, features), len(widespread) - 1)
-        common = (widespread[places] == features).astype(np.int64)
-    else:
-        common = np.zeros(n, np.int64)
+        common = widespread[places] == features
+        common = common.astype(np.int64) if common.any() else None
     content = _mixed(features + _ODD)
     found = []
     for band, d in _bands(n):
         for level in range(LEVELS + 1):
             if level < LEVELS:
+                # The hash range in equal parts: sorted features lie in sorted parts.
                 parts = max(1, round((1 << band) / LOAD)) << level
-                part = (features >> np.uint64(8)) % np.uint64(parts)
+                part = ((features >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
             else:
                 part = features
-            order = np.argsort(part, kind="stable")
-            starts = np.flatnonzero(np.r_[True, part[order][1:] != part[order][:-1]])
-            sizes = np.diff(np.r_[starts, n])
-            sums = np.add.reduceat(content[order], starts)
-            made = _mixed(sums + part[order][starts] * _ODD + np.uint64(band * 64 + level))
+            starts = np.flatnonzero(_changes(part))
+            sums = np.add.reduceat(content, starts)
+            made = _mixed(sums + part[starts] * _ODD + np.uint64(band * 64 + level))
             if len(made) > d:
-                all_common = np.add.reduceat(common[order], starts) == sizes
+                sizes = np.empty(len(starts), np.int64)
+                np.subtract(starts[1:], starts[:-1], out=sizes[:-1])
+                sizes[-1] = n - starts[-1]
                 # The order of the signatures: widespread content last, large parts first, then by hash.
-                turn = all_common.astype(np.uint64) << np.uint64(63)
-                turn |= (np.uint64(127) - np.minimum(sizes, 127).astype(np.uint64)) << np.uint64(56)
+                turn = (np.uint64(127) - np.minimum(sizes, 127).astype(np.uint64)) << np.uint64(56)
                 turn |= made >> np.uint64(8)
+                if common is not None:
+                    turn |= (np.add.reduceat(common, starts) == sizes).astype(np.uint64) << np.uint64(63)
                 found.append(made[np.argpartition(turn, d)[: d + 1]])
                 break
             found.append(made)
@@ -252,7 +263,7 @@ def _cell_differences(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 
 def _tested(pairs: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs, bounds of their Jaccard distance (equal if the texts were compared), and whether they are linked."""
+    """Those of the pairs that are linked."""
 
     def side(table: DataFrame, name: str, column: str) -> DataFrame:
         return table.select(F.col("key").alias(f"{name}_key"), F.col("n").alias(f"{name}_n"), F.col(column).alias(f"{name}_{column}"))
@@ -262,17 +273,63 @@ def _tested(pairs: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
         return joined.select("a_key", "a_n", "b_key", "b_n", f"a_{column}", f"b_{column}")
 
     total, shared = F.col("a_n") + F.col("b_n"), F.col("shared")
-    rough = materialise(both(pairs, nodes, "cells").mapInArrow(_cell_differences, _PAIR), "rough-pairs")
     # Here ``shared`` holds the least difference; similar sets differ in a seventh of their sizes' sum at most.
-    out = rough.filter(7 * shared > total).select(
-        "a_key", "a_n", "b_key", "b_n", (2 * shared / (total + shared)).alias("least"), F.lit(1.0).alias("most"), F.lit(False).alias("linked")
-    )
-    exact = both(rough.filter(7 * shared <= total), texts, "text").mapInArrow(_compared, _PAIR)
-    distance = 1 - shared / (total - shared)
-    close = exact.select(
-        "a_key", "a_n", "b_key", "b_n", distance.alias("least"), distance.alias("most"), (100 * shared >= 75 * (total - shared)).alias("linked")
-    )
-    return materialise(close.union(out), "tested-pairs")
+    rough = both(pairs, nodes, "cells").mapInArrow(_cell_differences, _PAIR).filter(7 * shared <= total).drop("shared")
+    exact = both(materialise(rough, "rough-pairs"), texts, "text").mapInArrow(_compared, _PAIR)
+    return materialise(exact.filter(100 * shared >= 75 * (total - shared)).drop("shared"), "tested-pairs")
+
+
+def _feature_rows(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in rows:
+        keys, sizes, parts, texts = (batch.column(i).to_pylist() for i in range(4))
+        for key, n, part, text in zip(keys, sizes, parts, texts):
+            own = _signed(shingles(text))
+            same = [pa.array(np.full(len(own), x, np.int64)) for x in (key, n, part)]
+            yield pa.RecordBatch.from_arrays([pa.array(own), *same], names=["feature", "key", "n", "part"])
+
+
+def _rare_features(sets: DataFrame) -> DataFrame:
+    """``(feature, key, n, part, place)``: the shingles of ``sets`` (key, n, part, text) that a link may be met by.
+
+    Shingles are ordered by how many of these sets have them. The first one that two linked sets share stands in the first
+    quarter of both, so that enough are left for the overlap of a link.
+    """
+    features = materialise(sets.select("key", "n", "part", "text").mapInArrow(_feature_rows, "feature long, key long, n long, part long"), "features")
+    counts = features.groupBy("feature").agg(F.count("*").alias("held")).filter("held > 1")
+    own = Window.partitionBy("key", "n")
+    shared = features.join(counts, "feature")
+    # What only one set has stands before all others.
+    place = F.col("n") - F.count("*").over(own) + F.row_number().over(own.orderBy("held", "feature"))
+    early = shared.select("feature", "key", "n", "part", place.alias("place")).filter("4 * (n - place + 1) >= 3 * n")
+    return materialise(early, "rare-features")
+
+
+def _met(a: DataFrame, b: DataFrame, *, once: Column) -> DataFrame:
+    """The distinct pairs of rows with one feature that may be linked, from different parts, the smaller set first."""
+    a, b = (t.select("feature", *(F.col(c).alias(f"{x}_{c}") for c in t.columns if c != "feature")) for x, t in (("a", a), ("b", b)))
+    left = F.least(F.col("a_n") - F.col("a_place"), F.col("b_n") - F.col("b_place")) + 1
+    close = (F.col("a_part") != F.col("b_part")) & once & (7 * left >= 3 * (F.col("a_n") + F.col("b_n")))
+    x, y = (F.struct(F.col(f"{s}_n").alias("n"), F.col(f"{s}_key").alias("key")) for s in "ab")
+    small, large = F.least(x, y), F.greatest(x, y)
+    return a.join(b, "feature").filter(close).select(
+        small["key"].alias("a_key"), small["n"].alias("a_n"), large["key"].alias("b_key"), large["n"].alias("b_n")
+    ).distinct()
+
+
+def _star_pairs(early: DataFrame) -> DataFrame:
+    """Each set beside one, drawn by hash, of those that have a feature too."""
+    drawn = F.min_by(F.struct("key", "n", "part", "place"), F.struct(F.xxhash64("feature", "key", "n"), "key", "n"))
+    hubs = early.groupBy("feature").agg(drawn.alias("hub"), F.min("part").alias("low"), F.max("part").alias("high"))
+    return _met(early, hubs.filter("low < high").select("feature", "hub.*"), once=F.lit(True))
+
+
+def _rare_pairs(early: DataFrame) -> DataFrame:
+    """All pairs of different parts that share one of the features: one of the two is outside the feature's commonest part."""
+    by_part = early.groupBy("feature", "part").agg(F.count("*").alias("held")).groupBy("feature")
+    usual = by_part.agg(F.max_by("part", F.struct("held", "part")).alias("usual"), F.count("*").alias("parts")).filter("parts > 1")
+    early = early.join(usual.drop("parts"), "feature")
+    once = (F.col("b_part") == F.col("b_usual")) | (F.struct("a_n", "a_key") < F.struct("b_n", "b_key"))
+    return _met(early.filter("part <> usual"), early, once=once)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -344,22 +401,25 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     # Groups of equal signatures; each member beside the first of its size class and the first of the class below.
     rows = docs.select("text").mapInArrow(_signature_rows(widespread), "sig long, key long, n int")
+    # Most signatures occur once: they go before members are put in order.
+    rows = rows.withColumn("copies", F.count("*").over(Window.partitionBy("sig"))).filter("copies > 1")
     rows = rows.withColumn("size_class", F.floor(F.log("n") / math.log(4 / 3)).cast("int"))
-    group = Window.partitionBy("sig").orderBy("size_class", "n", "key")
+    whole = Window.partitionBy("sig")
+    group = whole.orderBy("size_class", "n", "key")
     alike = Window.partitionBy("sig", "size_class").orderBy("n", "key")
-    near = rows.select(
-        "*", F.lag("n").over(group).alias("prev_n"), F.lag("key").over(group).alias("prev_key"), F.lead("n").over(group).alias("next_n")
-    )
-    # Most signatures occur once; they go before the further windows, which find the rows sorted already.
-    near = near.filter(F.col("prev_n").isNotNull() | F.col("next_n").isNotNull())
-    near = near.withColumn("hub", F.first(F.struct("n", "key")).over(alike)).withColumn("before", F.lag("hub").over(group))
-    near = near.withColumn("below", F.first(F.struct("before")).over(alike)["before"])
+    near = rows.withColumn("prev_n", F.lag("n").over(group)).withColumn("prev_key", F.lag("key").over(group))
     near = near.filter(~(F.col("prev_n").eqNullSafe(F.col("n")) & F.col("prev_key").eqNullSafe(F.col("key"))))
+    near = near.withColumn("hub", F.first(F.struct("n", "key")).over(alike)).withColumn("before", F.lag("hub").over(group))
+    near = near.select(
+        "size_class", "key", F.col("n").cast("long"), "hub", F.first(F.struct("before")).over(alike)["before"].alias("below"),
+        F.count("*").over(whole).alias("members"),
+        F.expr("bit_xor(xxhash64(n, key))").over(whole).alias("mark"), F.expr("bit_xor(xxhash64(key, n))").over(whole).alias("mark2"),
+    ).filter("members > 1")
+    # Signatures with the same members ask for the same comparisons: such groups become one, named by its members.
     groups = materialise(
-        near.select(
-            "sig", "size_class", "key", F.col("n").cast("long"),
-            F.col("hub.key").alias("hub_key"), F.col("hub.n").cast("long").alias("hub_n"),
-            F.col("below.key").alias("below_key"), F.col("below.n").cast("long").alias("below_n"),
+        near.groupBy(F.struct("members", "mark", "mark2").alias("sig"), "size_class", "key", "n").agg(
+            F.first("hub.key").alias("hub_key"), F.first("hub.n").cast("long").alias("hub_n"),
+            F.first("below.key").alias("below_key"), F.first("below.n").cast("long").alias("below_n"),
         ),
         "signature-groups",
     )
@@ -378,48 +438,24 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     )
     texts = materialise(found.groupBy("key", "n").agg(F.first("text").alias("text")), "candidate-texts")
 
+    pair = ["a_key", "a_n", "b_key", "b_n"]
     tested = _tested(first, nodes, texts)
-    parts = materialise(components(_named(tested.filter("linked"), nodes)), "components")
 
-    # Pairs of a group that are still apart, unless the distances to a first node rule a link out.
-    labels = nodes.join(parts, F.col("id") == F.col("node"), "left").select(
-        "key", "n", F.coalesce("component", "node").alias("part")
-    )
-    split = groups.join(labels, ["key", "n"])
-    apart = split.groupBy("sig").agg(F.min("part").alias("low"), F.max("part").alias("high")).filter("low < high").select("sig")
+    def labelled(linked: DataFrame) -> DataFrame:
+        """The component of every set."""
+        parts = materialise(components(_named(linked, nodes)), "components")
+        return nodes.join(parts, F.col("id") == F.col("node"), "left").select("key", "n", F.coalesce("component", "node").alias("part"))
 
-    def known(name: str) -> DataFrame:
-        return tested.select(
-            F.col("a_key").alias(f"{name}_key"), F.col("a_n").alias(f"{name}_n"), F.col("b_key").alias("key"), F.col("b_n").alias("n"),
-            F.col("least").alias(f"{name}_least"), F.col("most").alias(f"{name}_most"),
-        )
-
-    is_hub = (F.col("key") == F.col("hub_key")) & (F.col("n") == F.col("hub_n"))
-    members = materialise(
-        split.join(apart, "sig", "left_semi")
-        .join(known("hub"), ["hub_key", "hub_n", "key", "n"], "left")
-        .join(known("below"), ["below_key", "below_n", "key", "n"], "left")
-        .select(
-            "sig", "size_class", "key", "n", "part",
-            F.when(is_hub, 0.0).otherwise(F.coalesce("hub_least", F.lit(0.0))).alias("least"),
-            F.when(is_hub, 0.0).otherwise(F.coalesce("hub_most", F.lit(1.0))).alias("most"),
-            F.coalesce("below_least", F.lit(0.0)).alias("below_least"), F.coalesce("below_most", F.lit(1.0)).alias("below_most"),
-        ),
-        "split-groups",
-    )
-    a, b = (members.select("sig", *(F.col(c).alias(f"{side}_{c}") for c in members.columns if c != "sig")) for side in "ab")
-    # The smaller set's first node is the larger one's own, or that of the class below it.
-    same = F.col("a_size_class") == F.col("b_size_class")
-    b_least = F.when(same, F.col("b_least")).otherwise(F.col("b_below_least"))
-    b_most = F.when(same, F.col("b_most")).otherwise(F.col("b_below_most"))
-    too_far = (F.col("a_least") - b_most > 0.25 + 1e-9) | (b_least - F.col("a_most") > 0.25 + 1e-9)
-    in_order = (F.col("a_n") < F.col("b_n")) | ((F.col("a_n") == F.col("b_n")) & (F.col("a_key") < F.col("b_key")))
-    rest = a.join(b, "sig").filter(
-        (F.col("a_part") != F.col("b_part")) & in_order & (4 * F.col("a_n") >= 3 * F.col("b_n")) & ~too_far
-    )
-    pair = ["a_key", "a_n", "b_key", "b_n"]
-    second = rest.select(*pair).distinct().join(first, pair, "left_anti")
-    links = materialise(tested.union(_tested(second, nodes, texts)).filter("linked").select(*pair), "links")
+    # Sets of groups whose members are still in different components meet once more, by their rarest shingles: each beside
+    # one set that has the shingle too, then whatever is in different components still.
+    split = groups.select("sig", "key", "n").join(labelled(tested), ["key", "n"])
+    apart = split.groupBy("sig").agg(F.min("part").alias("low"), F.max("part").alias("high")).filter("low < high").select("sig")
+    still = split.join(apart, "sig", "left_semi").select("key", "n", "part").distinct()
+    early = _rare_features(still.join(texts, ["key", "n"]))
+    stars = materialise(_star_pairs(early).join(first, pair, "left_anti"), "star-pairs")
+    tested = tested.union(_tested(stars, nodes, texts))
+    second = _rare_pairs(early.drop("part").join(labelled(tested), ["key", "n"])).join(first.union(stars), pair, "left_anti")
+    links = materialise(tested.union(_tested(second, nodes, texts)), "links")
     parts = materialise(components(_named(links, nodes)), "components")
 
     ends = links.select(F.col("a_key").alias("key"), F.col("a_n").alias("n")).union(links.select("b_key", "b_n"))
