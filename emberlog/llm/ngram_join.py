@@ -279,29 +279,53 @@ def _tested(pairs: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
     return materialise(exact.filter(100 * shared >= 75 * (total - shared)).drop("shared"), "tested-pairs")
 
 
-def _feature_rows(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+#: Shingles are counted by bucket of their hash, for their order only: the table is of this size whatever the input.
+BUCKETS = 1 << 20
+
+
+def _buckets(features: np.ndarray) -> np.ndarray:
+    return (features & np.uint64(BUCKETS - 1)).astype(np.int64)
+
+
+def _bucket_counts(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total = np.zeros(BUCKETS, np.int64)
     for batch in rows:
-        keys, sizes, parts, texts = (batch.column(i).to_pylist() for i in range(4))
-        for key, n, part, text in zip(keys, sizes, parts, texts):
-            own = _signed(shingles(text))
-            same = [pa.array(np.full(len(own), x, np.int64)) for x in (key, n, part)]
-            yield pa.RecordBatch.from_arrays([pa.array(own), *same], names=["feature", "key", "n", "part"])
+        for text in batch.column(0).to_pylist():
+            np.add.at(total, _buckets(shingles(text)), 1)
+    found = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(found.astype(np.int32)), pa.array(total[found])], names=["bucket", "held"])
+
+
+def _rare_rows(held) -> callable:
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in rows:
+            for key, n, part, text in zip(*(batch.column(i).to_pylist() for i in range(4))):
+                features = shingles(text)
+                order = np.lexsort((features, held.value[_buckets(features)]))[: n - (3 * n + 3) // 4 + 1]
+                same = [pa.array(np.full(len(order), x, np.int64)) for x in (key, n, part)]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(_signed(features[order])), *same, pa.array(np.arange(1, len(order) + 1))],
+                    names=["feature", "key", "n", "part", "place"],
+                )
+
+    return run
 
 
 def _rare_features(sets: DataFrame) -> DataFrame:
     """``(feature, key, n, part, place)``: the shingles of ``sets`` (key, n, part, text) that a link may be met by.
 
-    Shingles are ordered by how many of these sets have them. The first one that two linked sets share stands in the first
-    quarter of both, so that enough are left for the overlap of a link.
+    Shingles are ordered by how many of these sets have one of their bucket. The first one that two linked sets share
+    stands in the first quarter of both, so that enough are left for the overlap of a link; any common order will do.
     """
-    features = materialise(sets.select("key", "n", "part", "text").mapInArrow(_feature_rows, "feature long, key long, n long, part long"), "features")
-    counts = features.groupBy("feature").agg(F.count("*").alias("held")).filter("held > 1")
-    own = Window.partitionBy("key", "n")
-    shared = features.join(counts, "feature")
-    # What only one set has stands before all others.
-    place = F.col("n") - F.count("*").over(own) + F.row_number().over(own.orderBy("held", "feature"))
-    early = shared.select("feature", "key", "n", "part", place.alias("place")).filter("4 * (n - place + 1) >= 3 * n")
-    return materialise(early, "rare-features")
+    counts = sets.select("text").mapInArrow(_bucket_counts, "bucket int, held long").groupBy("bucket").agg(F.sum("held").alias("held"))
+    counted = counts.toArrow()
+    held = np.zeros(BUCKETS, np.int64)
+    held[counted["bucket"].to_numpy()] = counted["held"].to_numpy()
+    held = sets.sparkSession.sparkContext.broadcast(np.minimum(held, np.iinfo(np.int32).max).astype(np.int32))
+    rows = sets.select("key", "n", "part", "text").mapInArrow(_rare_rows(held), "feature long, key long, n long, part long, place long")
+    # What only one set has meets nothing.
+    shared = rows.withColumn("copies", F.count("*").over(Window.partitionBy("feature"))).filter("copies > 1").drop("copies")
+    return materialise(shared, "rare-features")
 
 
 def _met(a: DataFrame, b: DataFrame, *, once: Column) -> DataFrame:
@@ -451,7 +475,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     split = groups.select("sig", "key", "n").join(labelled(tested), ["key", "n"])
     apart = split.groupBy("sig").agg(F.min("part").alias("low"), F.max("part").alias("high")).filter("low < high").select("sig")
     still = split.join(apart, "sig", "left_semi").select("key", "n", "part").distinct()
-    early = _rare_features(still.join(texts, ["key", "n"]))
+    early = _rare_features(materialise(still.join(texts, ["key", "n"]), "open-sets"))
     stars = materialise(_star_pairs(early).join(first, pair, "left_anti"), "star-pairs")
     tested = tested.union(_tested(stars, nodes, texts))
     second = _rare_pairs(early.drop("part").join(labelled(tested), ["key", "n"])).join(first.union(stars), pair, "left_anti")
