@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from emberlog.llm.common import packed, ready, words
+from emberlog.llm.common import packed, ready
 from emberlog.session import materialise
 
 SHINGLE_WORDS = 5
@@ -52,7 +52,9 @@ MOST_WIDESPREAD = 1 << 18
 #: Cells of the feature counts that are compared before the texts.
 CELLS = 256
 
-_HELD = 400_000
+#: Bytes of a text that are hashed at once.
+_PIECE = 1 << 20
+
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -63,24 +65,58 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-class _WordHashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > _HELD:
-            self.clear()
-        self[word] = value = xxhash.xxh3_64_intdigest(word)
-        return value
+#: A random number for each byte of a word; blanks count nothing.
+_BYTES = _mixed(np.arange(1, 257, dtype=np.uint64) * _ODD)
+_BLANK = np.zeros(256, bool)
+_BLANK[[0x20, *range(0x09, 0x0E)]] = True
+_BYTES[_BLANK] = 0
+_ODD_INVERSE = np.uint64(pow(int(_ODD), -1, 1 << 64))
+
+
+class _Powers:
+    """Powers of ``_ODD`` and of its inverse modulo 2^64, as many as have been asked for."""
+
+    def __init__(self) -> None:
+        self.up = self.down = np.ones(1, np.uint64)
 
+    def reach(self, n: int) -> None:
+        if len(self.up) < n:
+            size = max(n, 2 * len(self.up))
+            self.up, self.down = (np.cumprod(np.r_[np.uint64(1), np.full(size - 1, x)]) for x in (_ODD, _ODD_INVERSE))
 
-_WORDS = _WordHashes()
+
+_POWERS = _Powers()
+
+
+def word_hashes(text: bytes) -> np.ndarray:
+    """A 64-bit hash of each word, in order: a polynomial over its bytes, mixed. Works in pieces cut at blanks."""
+    data, made, start = np.frombuffer(text, np.uint8), [], 0
+    while start < len(data):
+        end = start + _PIECE
+        while end < len(data):
+            gap = np.flatnonzero(_BLANK[data[end : end + _PIECE]])
+            if len(gap):
+                end += int(gap[0])
+                break
+            end += _PIECE
+        piece = data[start:end]
+        inside = ~_BLANK[piece]
+        inside[1:] &= ~inside[:-1]
+        first = np.flatnonzero(inside)
+        if len(first):
+            _POWERS.reach(len(piece))
+            sums = np.add.reduceat(_BYTES[piece] * _POWERS.up[: len(piece)], first)
+            made.append(_mixed(sums * _POWERS.down[first]))
+        start = end
+    return np.concatenate(made) if made else np.zeros(0, np.uint64)
 
 
 def shingles(text: str | bytes | None) -> np.ndarray:
     """The sorted distinct shingle hashes; a shorter text is one shingle; none without words. A-Z count as a-z."""
-    tokens = words((text.encode("utf-8", "surrogatepass") if isinstance(text, str) else text or b"").lower())
-    if not tokens:
-        return np.zeros(0, np.uint64)
-    n = len(tokens)
-    hashes = np.fromiter(map(_WORDS.__getitem__, tokens), np.uint64, n)
+    hashes = word_hashes((text.encode("utf-8", "surrogatepass") if isinstance(text, str) else text or b"").lower())
+    n = len(hashes)
+    if not n:
+        return hashes
     width = min(n, SHINGLE_WORDS)
     total = np.full(n - width + 1, np.uint64(width))
     for i in range(width):

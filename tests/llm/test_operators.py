@@ -409,3 +409,16 @@ def test_perplexity_against_a_plain_model(spark):
         tokens = ["<s>", *texts[i].split()]
         logs = [np.log(p(v, w)) for v, w in zip(tokens, tokens[1:])]
         assert found[i] == pytest.approx(np.exp(-np.mean(logs)), rel=1e-6)
+
+
+def test_word_hashes_in_pieces(monkeypatch):
+    text = "".join(w + " " * (1 + i % 3) for i, w in enumerate(["ab", "c", "é", "x" * 40, "ab", "tab\tline\nend", "c"] * 30)).encode()
+    whole = ngram_join.word_hashes(text)
+    names = {}
+    for word, value in zip(text.split(), whole, strict=True):
+        assert names.setdefault(word, value) == value
+    assert len(set(names.values())) == len(names)
+    for size in (1, 7, 97):
+        monkeypatch.setattr(ngram_join, "_PIECE", size)
+        assert ngram_join.word_hashes(text).tolist() == whole.tolist()
+    assert len(ngram_join.word_hashes(b"")) == len(ngram_join.word_hashes(b" \t\n ")) == 0
