@@ -38,16 +38,22 @@ def read_envelopes(spark: SparkSession, path: str, *, whole_files: bool = False)
     return number_envelopes(_with_origin(prepare(spark).read.text(path, wholetext=whole_files)))
 
 
+#: Input of a micro-batch unless the caller counts files: far fewer entries than a batch has ids for.
+BATCH_BYTES = 1 << 30
+
+
 def stream_envelopes(
     spark: SparkSession, path: str, max_files: int | None = None, *, whole_files: bool = False
 ) -> DataFrame:
     """Streaming form, numbered per micro-batch with :func:`number_envelopes`.
 
-    ``max_files`` bounds a micro-batch; the backlog waits in the source. ``received_at`` is fixed for a micro-batch
-    and restored when it is replayed.
+    A micro-batch takes ``max_files`` files, or :data:`BATCH_BYTES` bytes of files if no number is given, one file at
+    least; the backlog waits in the source. ``received_at`` is fixed for a micro-batch and restored when it is replayed.
     """
     reader = prepare(spark).readStream
-    if max_files is not None:
+    if max_files is None:
+        reader = reader.option("maxBytesPerTrigger", BATCH_BYTES)
+    else:
         reader = reader.option("maxFilesPerTrigger", max_files)
     return _with_origin(reader.text(path, wholetext=whole_files))
 

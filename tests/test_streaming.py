@@ -92,6 +92,15 @@ def test_micro_batches(spark, arriving, tmp_path):
     assert row_set(merge_rollup(read_rollup(spark, f"{root}/rollup"))) == row_set(rollup_batch(logs))
 
 
+def test_a_backlog_is_cut_by_bytes_without_a_number_of_files(spark, arriving, tmp_path, monkeypatch):
+    for n in range(3):
+        folder = arriving(entries(f"{n}-", 6))
+    monkeypatch.setattr("emberlog.sources.envelopes.BATCH_BYTES", 1)
+    root = run(spark, folder, tmp_path)
+    logs = read_logs(spark, f"{root}/logs")
+    assert logs.count() == 18 and logs.select("batch_id").distinct().count() == 3
+
+
 def test_refused_envelope_is_reported(spark, arriving, tmp_path):
     root = run(spark, arriving('{"logs":[]}', entries("a", 1)), tmp_path)
     rejected = read_rejected(spark, f"{root}/rejected").select("index", "reason").collect()
