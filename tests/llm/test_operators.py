@@ -422,3 +422,30 @@ def test_word_hashes_in_pieces(monkeypatch):
         monkeypatch.setattr(ngram_join, "_PIECE", size)
         assert ngram_join.word_hashes(text).tolist() == whole.tolist()
     assert len(ngram_join.word_hashes(b"")) == len(ngram_join.word_hashes(b" \t\n ")) == 0
+
+
+def _prose(rng, words, n):
+    return " ".join(words[min(int(rng.expovariate(0.02)), len(words) - 1)] for _ in range(n))
+
+
+def test_junk_and_unseen_words_are_dear(spark):
+    rng = random.Random(11)
+    syllables = ["ka", "to", "mi", "re", "su", "no", "la", "ve"]
+    words = sorted({"".join(rng.choices(syllables, k=rng.randrange(2, 5))) for _ in range(400)})
+    good = [_prose(rng, words, 80) for _ in range(150)]
+    junk = [" ".join("".join(rng.choices("qwxzjpfgbd", k=8)) for _ in range(80)) for _ in range(5)]
+    unseen = [" ".join("".join(rng.choices("bcdfgh", k=6)) for _ in range(80)) for _ in range(5)]
+    docs = documents(spark, good + junk + unseen)
+    labels = docs.filter("doc_id < 150").select("doc_id", F.lit(1).alias("quality"))
+    found = {r["doc_id"]: r for r in kneser_ney.judge_perplexity(docs, labels).collect()}
+    assert sum(found[i]["kept"] for i in range(150)) >= 145
+    assert not any(found[i]["kept"] for i in range(150, 160))
+    assert min(found[i]["perplexity"] for i in range(150, 160)) > max(found[i]["perplexity"] for i in range(150))
+
+
+def test_spelling_sums_to_one_at_every_context():
+    keys, counts = np.unique(kneser_ney._trigrams([b"abc", b"abd", b"ba", b"\xc3\xa9"])[0], return_counts=True)
+    spelling = kneser_ney.Spelling(keys, counts)
+    for a, b in ((256, 256), (256, ord("a")), (ord("a"), ord("b")), (1, 2)):
+        assert spelling._at((a * 257 + b) * 257 + np.arange(257), 3).sum() == pytest.approx(1.0)
+    assert spelling.log_prob([b"abc", b"zzz"])[0] > spelling.log_prob([b"zzz"])[0]
