@@ -449,3 +449,19 @@ def test_spelling_sums_to_one_at_every_context():
     for a, b in ((256, 256), (256, ord("a")), (ord("a"), ord("b")), (1, 2)):
         assert spelling._at((a * 257 + b) * 257 + np.arange(257), 3).sum() == pytest.approx(1.0)
     assert spelling.log_prob([b"abc", b"zzz"])[0] > spelling.log_prob([b"zzz"])[0]
+
+
+def test_small_languages_have_thresholds(spark):
+    rng = random.Random(12)
+    words = sorted({"".join(rng.choices(["ka", "to", "mi", "re", "su", "no"], k=rng.randrange(2, 5))) for _ in range(200)})
+    junk = " ".join("".join(rng.choices("qwxzjpfgbd", k=8)) for _ in range(80))
+    rows = []
+    for lang, count in (("en", 150), ("fr", 12), (None, 12), ("de", 0)):
+        rows += [(_prose(rng, words, 80), lang, 1) for _ in range(count)] + [(junk, lang, 0)]
+    docs = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "doc_id long, text string, lang string, quality int")
+    found = {r["doc_id"]: r for r in kneser_ney.judge_perplexity(docs, docs.select("doc_id", "quality")).collect()}
+    for lang, count in (("en", 150), ("fr", 12), (None, 12)):
+        own = [i for i, r in enumerate(rows) if r[1] == lang]
+        assert all(found[i]["threshold"] is not None for i in own) and not found[own[-1]]["kept"]
+        assert sum(found[i]["kept"] for i in own) >= 0.9 * count
+    assert found[len(rows) - 1]["threshold"] is None and found[len(rows) - 1]["kept"]
