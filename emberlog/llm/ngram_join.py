@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from emberlog.llm.common import packed, ready
+from emberlog.llm.common import WORD, packed, ready
 from emberlog.session import materialise
 
 SHINGLE_WORDS = 5
@@ -418,24 +418,17 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def _named(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Links between sets as edges between the ids of their nodes."""
+    """Links between sets as edges between their nodes."""
     ids = nodes.select("key", "n", "node")
     a = ids.select(F.col("key").alias("a_key"), F.col("n").alias("a_n"), F.col("node").alias("u"))
     b = ids.select(F.col("key").alias("b_key"), F.col("n").alias("b_n"), F.col("node").alias("v"))
     return pairs.join(a, ["a_key", "a_n"]).join(b, ["b_key", "b_n"]).select("u", "v")
 
 
-#: Stands for a missing doc_id within components; larger than any id that occurs.
-_NO_ID = 1 << 62
+def _linked(docs: DataFrame) -> DataFrame:
+    """``(doc_id, place, n, part, component, n_links)``, one row per row of ``docs``.
 
-
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """``(doc_id, n_shingles, component_id, n_links)``, one row per row of ``docs`` (doc_id, text).
-
-    ``component_id`` is the smallest doc_id reachable by links (itself included) and ``n_links`` the number of found
-    links of the document's text to different texts. A text without words, or null, has no shingles and no links.
-    Repeated rows give repeated rows. A null doc_id takes part; a component of such rows alone has a null id. An empty
-    table gives an empty result; further columns are left out.
+    ``place`` is the text's hash, ``part`` tells the components apart and ``component`` is the smallest doc_id in one.
     """
     spark = ready(docs.sparkSession)
     plain = docs.select("doc_id", "text", F.xxhash64("text").alias("place"))
@@ -455,7 +448,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
             F.min_by("place", F.struct("doc_id", "place")).alias("place"),
             F.first("cells").alias("cells"),
         )
-        .withColumn("node", F.coalesce("least_id", F.lit(_NO_ID) + F.pmod("key", F.lit(1 << 61))))
+        .withColumn("node", F.xxhash64("key", "n"))
     )
     nodes = materialise(nodes, "shingle-sets")
 
@@ -523,21 +516,40 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     labels = (
         nodes.join(parts, F.col("id") == F.col("node"), "left")
         .join(degrees, ["key", "n"], "left")
-        .select("key", "n", F.coalesce("component", "node").alias("part"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+        .select("key", "n", "least_id", F.coalesce("component", "node").alias("part"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
     )
-    named = documents.select("doc_id", "key", "n").join(labels, ["key", "n"], "left")
-    component = F.when(F.col("n") == 0, F.col("doc_id")).when(F.col("part") < _NO_ID, F.col("part"))
-    return named.select(
+    # Components have names of their own, as rows with one doc_id may have different texts, or no doc_id at all.
+    ids = labels.groupBy("part").agg(F.min("least_id").alias("component"))
+    labels = labels.drop("least_id").join(ids, "part")
+    return documents.select("doc_id", "place", "key", "n").join(labels, ["key", "n"], "left").drop("key")
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """``(doc_id, n_shingles, component_id, n_links)``, one row per row of ``docs`` (doc_id, text).
+
+    ``component_id`` is the smallest doc_id reachable by links (itself included) and ``n_links`` the number of found
+    links of the document's text to different texts. A text without words, or null, has no shingles and no links.
+    Repeated rows give repeated rows. A null doc_id takes part; a component of such rows alone has a null id. An empty
+    table gives an empty result; further columns are left out.
+    """
+    component = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component"))
+    return _linked(docs).select(
         "doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")
     )
 
 
 def without_near_duplicates(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is the smallest of its component; of rows equal in that id, one.
+    """One row of each component: that with the smallest doc_id, null last; of several texts with that id, or rows with
+    that id and text, one by hash.
 
-    Texts without words are linked with nothing and stay.
+    Texts without words are linked with nothing and stay, every row of them.
     """
-    found = near_duplicates(docs)
-    kept = found.filter(F.col("component_id").eqNullSafe(F.col("doc_id"))).select("doc_id").distinct()
-    rows = packed(docs, id=docs["doc_id"])
-    return rows.join(kept, F.col("id").eqNullSafe(F.col("doc_id")), "left_semi").select("row.*")
+    first = F.struct(F.col("doc_id").isNull(), "doc_id", "place")
+    kept = _linked(docs).filter("n > 0").groupBy("part").agg(F.min_by(F.xxhash64("doc_id", "place"), first).alias("kept"))
+    hashable = [docs[f"`{name}`"] for name, kind in docs.dtypes if "map<" not in kind and "variant" not in kind]
+    mark = F.xxhash64(docs["doc_id"], F.xxhash64(docs["text"]))
+    rows = packed(docs, mark=mark, turn=F.xxhash64(*hashable), worded=F.coalesce(docs["text"].cast("string"), F.lit("")).rlike(WORD))
+    # Repeated rows become one before they are dealt out.
+    single = rows.filter("worded").groupBy("mark").agg(F.min_by("row", "turn").alias("row"))
+    worded = single.join(kept, F.col("mark") == F.col("kept"), "left_semi").select("row")
+    return worded.union(rows.filter("NOT worded").select("row")).select("row.*")

@@ -360,6 +360,34 @@ def test_join_against_all_pairs(spark):
     assert kept == sorted(set(part))
 
 
+def test_one_row_of_each_component(spark):
+    rng = random.Random(13)
+    base = [rng.choices([f"w{i}" for i in range(300)], k=60) for _ in range(6)]
+    near = [[*b[:-1], "other"] for b in base]
+    rows = [(1, base[0])] * 4 + [(2, near[0])] * 3 + [(None, base[1])] * 4 + [(None, near[1])] * 2 + [(3, base[2]), (None, near[2]), (None, near[2])]
+    rows += [(7, base[3]), (7, base[4]), (6, near[4]), (None, base[5]), (8, []), (8, []), (None, [])]
+    docs = spark.createDataFrame([(i, " ".join(w), "en", "s", 1, 1, 1, 1) for i, w in rows], DOCUMENTS).repartition(3)
+
+    sets, part = [_sets(" ".join(w)) for _, w in rows], list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            shared = len(sets[i] & sets[j])
+            if shared and 100 * shared >= 75 * len(sets[i] | sets[j]):
+                part = [part[j] if p == part[i] else p for p in part]
+    groups = {}
+    for i, p in enumerate(part):
+        groups.setdefault(p, []).append(i)
+    expected = sorted(min((rows[i][0] is None, rows[i][0] or 0) for i in g) for g in groups.values())
+    kept = ngram_join.without_near_duplicates(docs).collect()
+    assert sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in kept) == expected
+    by_set = {frozenset(s): p for s, p in zip(sets, part) if s}
+    worded = [by_set[frozenset(_sets(r["text"]))] for r in kept if r["text"]]
+    assert len(worded) == len(set(worded)) == len(set(by_set.values()))
+    component = {(rows[i][0], " ".join(rows[i][1])): min((rows[j][0] for j in groups[part[i]] if rows[j][0] is not None), default=None) for i in range(len(rows))}
+    found = sorted(((r["doc_id"] or -1), (r["component_id"] or -1)) for r in ngram_join.near_duplicates(docs).collect())
+    assert found == sorted(((i or -1), (component[i, " ".join(w)] or -1)) for i, w in rows)
+
+
 def test_any_order_of_signatures_finds_similar_sets():
     rng = np.random.default_rng(9)
     for _ in range(400):
