@@ -426,7 +426,7 @@ def _named(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def _linked(docs: DataFrame) -> DataFrame:
-    """``(doc_id, place, n, part, component, n_links)``, one row per row of ``docs``.
+    """``(doc_id, place, n, part, component)``, one row per row of ``docs``.
 
     ``place`` is the text's hash, ``part`` tells the components apart and ``component`` is the smallest doc_id in one.
     """
@@ -511,13 +511,7 @@ def _linked(docs: DataFrame) -> DataFrame:
     links = materialise(tested.union(_tested(second, nodes, texts)), "links")
     parts = materialise(components(_named(links, nodes)), "components")
 
-    ends = links.select(F.col("a_key").alias("key"), F.col("a_n").alias("n")).union(links.select("b_key", "b_n"))
-    degrees = ends.groupBy("key", "n").agg(F.count("*").alias("n_links"))
-    labels = (
-        nodes.join(parts, F.col("id") == F.col("node"), "left")
-        .join(degrees, ["key", "n"], "left")
-        .select("key", "n", "least_id", F.coalesce("component", "node").alias("part"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    )
+    labels = nodes.join(parts, F.col("id") == F.col("node"), "left").select("key", "n", "least_id", F.coalesce("component", "node").alias("part"))
     # Components have names of their own, as rows with one doc_id may have different texts, or no doc_id at all.
     ids = labels.groupBy("part").agg(F.min("least_id").alias("component"))
     labels = labels.drop("least_id").join(ids, "part")
@@ -525,17 +519,15 @@ def _linked(docs: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """``(doc_id, n_shingles, component_id, n_links)``, one row per row of ``docs`` (doc_id, text).
+    """``(doc_id, n_shingles, component_id)``, one row per row of ``docs`` (doc_id, text).
 
-    ``component_id`` is the smallest doc_id reachable by links (itself included) and ``n_links`` the number of found
-    links of the document's text to different texts. A text without words, or null, has no shingles and no links.
+    ``component_id`` is the smallest doc_id reachable by links (itself included). Only as many links are tested as it
+    takes to know the components, so links are not counted. A text without words, or null, has no shingles and no links.
     Repeated rows give repeated rows. A null doc_id takes part; a component of such rows alone has a null id. An empty
     table gives an empty result; further columns are left out.
     """
     component = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component"))
-    return _linked(docs).select(
-        "doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")
-    )
+    return _linked(docs).select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
 
 
 def without_near_duplicates(docs: DataFrame) -> DataFrame:

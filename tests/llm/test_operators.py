@@ -388,6 +388,14 @@ def test_one_row_of_each_component(spark):
     assert found == sorted(((i or -1), (component[i, " ".join(w)] or -1)) for i, w in rows)
 
 
+def test_join_returns_only_what_is_exact(spark):
+    base = [f"w{i}" for i in range(60)]
+    texts = [" ".join(base), " ".join([*base[:-1], "x"]), " ".join(["y", *base[1:]]), "apart"]
+    found = ngram_join.near_duplicates(documents(spark, texts))
+    assert found.columns == ["doc_id", "n_shingles", "component_id"]
+    assert [r["component_id"] for r in found.orderBy("doc_id").collect()] == [0, 0, 0, 3]
+
+
 def test_any_order_of_signatures_finds_similar_sets():
     rng = np.random.default_rng(9)
     for _ in range(400):
