@@ -12,12 +12,15 @@ from __future__ import annotations
 import base64
 import binascii
 import bz2
+import codecs
 import lzma
 import re
 import zlib
+from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
 from hashlib import sha256
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +37,12 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{24,}")
 _PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})")
 _ESCAPE = re.compile(r"(?:\\u[0-9A-Fa-f]{4})+")
-_BASE64 = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{16,}={0,2}")
+#: A run, over line ends if it goes on at the start of the next line, as encoders wrap long ones.
+_BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}(?:\r?\n[\x20\t]*[A-Za-z0-9+/_-]+)*={0,2}")
+_LEAST_RUN = 16
+_PIECE = re.compile(r"[A-Za-z0-9+/_-]+")
+_SEPARATOR = re.compile(r"[/_-]")
+_CONTROL = re.compile(r"[\x00-\x08\x0b\x0c\x0e-\x1f]")
 _CLUES = ("password", "passwd", "secret", "token", "api")
 
 #: What an encoded run may unfold to. Longer output is no text that was pasted into a document but a decompression bomb;
@@ -120,6 +128,11 @@ def _utf8(data: bytes) -> str | None:
         return None
 
 
+def _is_compressed(head: bytes) -> bool:
+    zlib_mark = head[:1] == b"\x78" and len(head) > 1 and int.from_bytes(head[:2], "big") % 31 == 0
+    return zlib_mark or head.startswith((b"\x1f\x8b", b"BZh", b"\xfd7zXZ"))
+
+
 def _inflated(data: bytes) -> bytes | None:
     """One compressed layer removed; the data itself if it has no known mark; None if broken or beyond the bound."""
     if data[:2] == b"\x1f\x8b":
@@ -157,9 +170,70 @@ def _decoded_base64(run: str) -> str | None:
         if (data := _inflated(data)) is None:
             return None
     text = _utf8(data)
-    if not text or any(ord(c) < 32 and c not in "\t\n\r" for c in text):
-        return None
-    return text
+    return None if not text or _CONTROL.search(text) else text
+
+
+def _standard(chars: str) -> str:
+    return chars.replace("-", "+").replace("_", "/")
+
+
+def _readable(chars: str, at: int) -> int:
+    """Where the characters from ``at`` on stop to decode to readable text, to within four."""
+    decoder, size = codecs.getincrementaldecoder("utf-8")(), 32
+    while len(chars) - at >= 4:
+        block = chars[at : at + size]
+        block = block[: len(block) // 4 * 4]
+        waiting = len(decoder.getstate()[0])
+        try:
+            text = decoder.decode(base64.b64decode(_standard(block)))
+        except UnicodeDecodeError as error:
+            text = error.object[: error.start].decode()
+            bad = _CONTROL.search(text)
+            return at + (len(text[: bad.start()].encode() if bad else text.encode()) - waiting) * 4 // 3
+        if bad := _CONTROL.search(text):
+            return at + (len(text[: bad.start()].encode()) - waiting) * 4 // 3
+        at, size = at + len(block), 4096
+    return len(chars)
+
+
+def _base64_parts(run: str) -> Iterator[tuple[int, int, str]]:
+    """``(start, end, text)`` of what can be read in a run: all of it, or else stretches between separators and line ends.
+
+    From each possible start the longest stretch is taken, and the search goes on behind it.
+    """
+    pieces = [m.span() for m in _PIECE.finditer(run)]
+    joined = "".join(run[a:b] for a, b in pieces)
+    if text := _decoded_base64(joined):
+        yield 0, len(run), text
+        return
+    sizes = list(accumulate(b - a for a, b in pieces))
+    cuts = {m.start() for m in _SEPARATOR.finditer(joined)}
+    starts = sorted({0, *(c + 1 for c in cuts), *sizes[:-1]})
+    ends = sorted({*cuts, *sizes})
+
+    def place(at: int) -> int:
+        k = bisect_right(sizes, at) if at < sizes[-1] else len(sizes) - 1
+        return pieces[k][0] + at - (sizes[k - 1] if k else 0)
+
+    behind = 0
+    for start in starts:
+        if start < behind or len(joined) - start < _LEAST_RUN:
+            continue
+        head = base64.b64decode(_standard(joined[start : start + 8]))
+        # One character more than whole bytes take is none of them.
+        whole = len(joined) - ((len(joined) - start) % 4 == 1)
+        if _is_compressed(head) and (text := _decoded_base64(joined[start:whole])):
+            yield place(start), len(run), text
+            return
+        limit = _readable(joined, start) + 4
+        for k in range(bisect_right(ends, limit) - 1, -1, -1):
+            if ends[k] - start < _LEAST_RUN:
+                break
+            if text := _decoded_base64(joined[start : ends[k]]):
+                # The padding belongs to the last stretch.
+                behind = ends[k]
+                yield place(start), len(run) if behind == len(joined) else place(behind - 1) + 1, text
+                break
 
 
 def _unwrapped(layer: _Layer) -> Iterator[_Layer]:
@@ -169,8 +243,8 @@ def _unwrapped(layer: _Layer) -> Iterator[_Layer]:
     if "\\u" in text and (one := _escapes_removed(layer, _ESCAPE, _unicode_decoded)):
         yield one
     for run in _BASE64.finditer(text):
-        if inner := _decoded_base64(run.group()):
-            start, end = layer.span(*run.span())
+        for begin, stop, inner in _base64_parts(run.group()):
+            start, end = layer.span(run.start() + begin, run.start() + stop)
             yield _Layer(inner, np.full(len(inner), start), np.full(len(inner), end))
 
 

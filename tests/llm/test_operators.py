@@ -266,6 +266,32 @@ def test_secrets_in_layers(hidden):
     assert set(base) <= set(spans)
 
 
+_PLAIN = base64.b64encode(SECRET.encode()).decode()
+_LONG = " ".join(hashlib.sha256(bytes([i])).hexdigest()[:9] for i in range(40)) + " " + SECRET
+
+
+@pytest.mark.parametrize(
+    "hidden",
+    [
+        "payload=" + _PLAIN.rstrip("="),
+        "http://a.example/?q=" + _PLAIN,
+        "/files/" + _PLAIN,
+        "/files/" + _PLAIN.rstrip("=") + "/raw-data",
+        "ref-" + _PLAIN,
+        "some_name_" + _b64(gzip.compress(SECRET.encode(), mtime=0)),
+        base64.encodebytes(gzip.compress(_LONG.encode(), mtime=0)).decode().strip(),
+        base64.encodebytes(_LONG.encode()).decode().strip().replace("\n", "\r\n"),
+        base64.encodebytes(("x" * 45 + SECRET).encode()).decode().strip(),
+        "-----BEGIN CERTIFICATE-----\n" + base64.encodebytes(_LONG.encode()).decode() + "-----END CERTIFICATE-----",
+    ],
+)
+def test_encoded_runs_beside_other_characters(hidden):
+    text = f"é before {hidden} after"
+    start, end = len("é before "), len("é before ") + len(hidden)
+    assert any(kind == "assign" and start <= s < e <= end for kind, s, e in secrets.find_secrets(text)[1])
+    assert _PLAIN[:20] not in secrets.redacted(text) and secrets.redacted(text).endswith(" after")
+
+
 def test_secrets_of_the_text_itself():
     text = "PassWord: hunter22 token=abc AKIA" + "A" * 16 + " " + "0f" * 12 + " AKIA1 " + "0f" * 11 + " %zz \\u12"
     base, spans = secrets.find_secrets(text)
