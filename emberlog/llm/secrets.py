@@ -20,7 +20,7 @@ from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
 from hashlib import sha256
-from itertools import accumulate
+from itertools import accumulate, chain
 
 import numpy as np
 import pyarrow as pa
@@ -45,9 +45,13 @@ _SEPARATOR = re.compile(r"[/_-]")
 _CONTROL = re.compile(r"[\x00-\x08\x0b\x0c\x0e-\x1f]")
 _CLUES = ("password", "passwd", "secret", "token", "api")
 
-#: What an encoded run may unfold to. Longer output is no text that was pasted into a document but a decompression bomb;
-#: such a run is left alone, as it would be if it were broken.
-MOST_INFLATED = 1 << 24
+#: What compressed data unfolds to is read in blocks of about BLOCK bytes, cut at a blank and overlapping by OVERLAP, so that
+#: memory is bounded. A block grows until there is a blank to cut at, to LARGEST_BLOCK at most: only an encoded run inside
+#: that is longer may be cut.
+BLOCK = 1 << 22
+LARGEST_BLOCK = 1 << 24
+OVERLAP = 1 << 10
+_STEP = 1 << 16
 
 
 def scan(text: str) -> list[tuple[str, int, int]]:
@@ -64,18 +68,23 @@ def scan(text: str) -> list[tuple[str, int, int]]:
 
 @dataclass
 class _Layer:
-    """A text and, unless it is the document itself, where each of its characters begins and ends in the document."""
+    """A text and, unless it is the document itself, where each of its characters begins and ends in the document, or all do."""
 
     text: str
     starts: np.ndarray | None = None
     ends: np.ndarray | None = None
+    fixed: tuple[int, int] | None = None
 
     def span(self, start: int, end: int) -> tuple[int, int]:
+        if self.fixed:
+            return self.fixed
         if self.starts is None:
             return start, end
         return int(self.starts[start]), int(self.ends[end - 1])
 
     def whole(self) -> tuple[np.ndarray, np.ndarray]:
+        if self.fixed:
+            return np.full(len(self.text), self.fixed[0]), np.full(len(self.text), self.fixed[1])
         if self.starts is None:
             places = np.arange(len(self.text), dtype=np.int64)
             return places, places + 1
@@ -133,44 +142,119 @@ def _is_compressed(head: bytes) -> bool:
     return zlib_mark or head.startswith((b"\x1f\x8b", b"BZh", b"\xfd7zXZ"))
 
 
-def _inflated(data: bytes) -> bytes | None:
-    """One compressed layer removed; the data itself if it has no known mark; None if broken or beyond the bound."""
-    if data[:2] == b"\x1f\x8b":
-        unpack = zlib.decompressobj(31)
-    elif data[:1] == b"\x78" and len(data) > 1 and int.from_bytes(data[:2], "big") % 31 == 0:
-        unpack = zlib.decompressobj()
-    elif data[:3] == b"BZh":
-        unpack = bz2.BZ2Decompressor()
-    elif data[:6] == b"\xfd7zXZ\x00":
-        unpack = lzma.LZMADecompressor(memlimit=1 << 28)
-    else:
-        return data
+def _unpacker(head: bytes):
+    if head.startswith(b"\x1f\x8b"):
+        return zlib.decompressobj(31)
+    if head.startswith(b"BZh"):
+        return bz2.BZ2Decompressor()
+    if head.startswith(b"\xfd7zXZ"):
+        return lzma.LZMADecompressor(memlimit=1 << 28)
+    return zlib.decompressobj()
+
+
+def _steps(unpack, data: bytes) -> Iterator[bytes]:
+    """What ``data`` adds, in steps of bounded size."""
+    if isinstance(unpack, (bz2.BZ2Decompressor, lzma.LZMADecompressor)):
+        yield unpack.decompress(data, _STEP)
+        while not unpack.eof and not unpack.needs_input:
+            yield unpack.decompress(b"", _STEP)
+        return
+    out = unpack.decompress(data, _STEP)
+    yield out
+    while not unpack.eof and (unpack.unconsumed_tail or len(out) == _STEP):
+        out = unpack.decompress(unpack.unconsumed_tail, _STEP)
+        yield out
+
+
+def _members(pieces: Iterator[bytes]) -> Iterator[bytes]:
+    """One compressed layer removed, of all members one after the other. Ends where the data does or is broken."""
+    unpack, rest = None, b""
+    for piece in pieces:
+        rest += piece
+        while rest:
+            if unpack is None:
+                if len(rest) < 6:
+                    break
+                if not _is_compressed(rest):
+                    return
+                unpack = _unpacker(rest)
+            try:
+                yield from _steps(unpack, rest)
+            except (zlib.error, OSError, lzma.LZMAError, EOFError, ValueError):
+                return
+            rest = b""
+            if unpack.eof:
+                unpack, rest = None, unpack.unused_data
+
+
+def _begins_text(head: bytes) -> bool:
     try:
-        out = unpack.decompress(data, MOST_INFLATED)
-    except (zlib.error, OSError, lzma.LZMAError, EOFError, ValueError):
-        return _utf8(data) and data
-    return out if unpack.eof else None
+        return not _CONTROL.search(codecs.getincrementaldecoder("utf-8")().decode(head))
+    except UnicodeDecodeError:
+        return False
+
+
+def _inflated(pieces: Iterator[bytes], heads: frozenset[bytes] = frozenset()) -> Iterator[bytes]:
+    """All compressed layers removed. Data that unfolds to its own beginning is not followed."""
+    head = b""
+    for piece in pieces:
+        head += piece
+        if len(head) >= 1024:
+            break
+    if head[:1024] in heads:
+        return
+    if _is_compressed(head) and not _begins_text(head):
+        yield from _inflated(_members(chain([head], pieces)), heads | {head[:1024]})
+    else:
+        yield head
+        yield from pieces
+
+
+def _blocks(pieces: Iterator[bytes]) -> Iterator[bytes]:
+    held = bytearray()
+    for piece in pieces:
+        held += piece
+        if len(held) < BLOCK:
+            continue
+        cut = held.rfind(b" ", OVERLAP + 1)
+        while cut > 0 and held[cut - 1] in b" \t\r\n":
+            cut = held.rfind(b" ", OVERLAP + 1, cut)
+        if cut < 0 and len(held) < LARGEST_BLOCK:
+            continue
+        cut = cut if cut > 0 else len(held)
+        while cut < len(held) and held[cut] & 0xC0 == 0x80:
+            cut -= 1
+        yield bytes(held[:cut])
+        back = cut - OVERLAP
+        while held[back] & 0xC0 == 0x80 and back < cut:
+            back += 1
+        del held[:back]
+    if held:
+        yield bytes(held)
+
+
+def _text(data: bytes) -> str | None:
+    text = _utf8(data)
+    return None if not text or _CONTROL.search(text) else text
 
 
-def _decoded_base64(run: str) -> str | None:
-    """The readable text in a base64 run, through any number of compressed layers."""
+def _decoded_base64(run: str) -> Iterator[str]:
+    """The readable text in a base64 run, through any number of compressed layers; in blocks if it was compressed."""
     body = run.rstrip("=")
     if len(body) % 4 == 1:
-        return None
+        return
     # Words and identifiers decode to noise; what was encoded mixes cases or digits.
     if body.isalpha() and (body.islower() or body.isupper() or body.istitle()):
-        return None
+        return
     try:
-        data = base64.b64decode(body.replace("-", "+").replace("_", "/") + "=" * (-len(body) % 4), validate=True)
+        data = base64.b64decode(_standard(body) + "=" * (-len(body) % 4), validate=True)
     except (binascii.Error, ValueError):
-        return None
-    seen = set()
-    while data not in seen:
-        seen.add(data)
-        if (data := _inflated(data)) is None:
-            return None
-    text = _utf8(data)
-    return None if not text or _CONTROL.search(text) else text
+        return
+    if text := _text(data):
+        yield text
+    elif _is_compressed(data):
+        pieces = (data[i : i + _STEP] for i in range(0, len(data), _STEP))
+        yield from filter(None, map(_text, _blocks(_inflated(pieces))))
 
 
 def _standard(chars: str) -> str:
@@ -203,8 +287,11 @@ def _base64_parts(run: str) -> Iterator[tuple[int, int, str]]:
     """
     pieces = [m.span() for m in _PIECE.finditer(run)]
     joined = "".join(run[a:b] for a, b in pieces)
-    if text := _decoded_base64(joined):
+    found = False
+    for text in _decoded_base64(joined):
+        found = True
         yield 0, len(run), text
+    if found:
         return
     sizes = list(accumulate(b - a for a, b in pieces))
     cuts = {m.start() for m in _SEPARATOR.finditer(joined)}
@@ -222,14 +309,17 @@ def _base64_parts(run: str) -> Iterator[tuple[int, int, str]]:
         head = base64.b64decode(_standard(joined[start : start + 8]))
         # One character more than whole bytes take is none of them.
         whole = len(joined) - ((len(joined) - start) % 4 == 1)
-        if _is_compressed(head) and (text := _decoded_base64(joined[start:whole])):
-            yield place(start), len(run), text
-            return
+        if _is_compressed(head):
+            for text in _decoded_base64(joined[start:whole]):
+                found = True
+                yield place(start), len(run), text
+            if found:
+                return
         limit = _readable(joined, start) + 4
         for k in range(bisect_right(ends, limit) - 1, -1, -1):
             if ends[k] - start < _LEAST_RUN:
                 break
-            if text := _decoded_base64(joined[start : ends[k]]):
+            if text := next(_decoded_base64(joined[start : ends[k]]), None):
                 # The padding belongs to the last stretch.
                 behind = ends[k]
                 yield place(start), len(run) if behind == len(joined) else place(behind - 1) + 1, text
@@ -245,7 +335,7 @@ def _unwrapped(layer: _Layer) -> Iterator[_Layer]:
     for run in _BASE64.finditer(text):
         for begin, stop, inner in _base64_parts(run.group()):
             start, end = layer.span(run.start() + begin, run.start() + stop)
-            yield _Layer(inner, np.full(len(inner), start), np.full(len(inner), end))
+            yield _Layer(inner, fixed=(start, end))
 
 
 def find_secrets(text: str | None) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
@@ -255,16 +345,23 @@ def find_secrets(text: str | None) -> tuple[list[tuple[str, int, int]], list[tup
         return sorted(set(spans), key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
 
     base = in_order(scan(text or ""))
-    found, seen, work = list(base), {text}, [_Layer(text or "")]
+    found, seen = list(base), set()
+    # Layers wait as iterators, so that of long compressed data there is one block at a time.
+    work = [_unwrapped(_Layer(text or ""))]
     while work:
-        for inner in _unwrapped(work.pop()):
-            # The same inner text at another place is another finding, so the place is part of what was seen.
-            mark = (inner.text, int(inner.starts[0]), int(inner.ends[-1])) if inner.text else None
-            if mark is None or mark in seen:
-                continue
-            seen.add(mark)
-            found += [(kind, *inner.span(start, end)) for kind, start, end in scan(inner.text)]
-            work.append(inner)
+        inner = next(work[-1], None)
+        if inner is None:
+            work.pop()
+            continue
+        if not inner.text or inner.text == text:
+            continue
+        # The same inner text at another place is another finding, so the place is part of what was seen.
+        mark = (sha256(inner.text.encode("utf-8", "surrogatepass")).digest(), inner.span(0, 1)[0], inner.span(0, len(inner.text))[1])
+        if mark in seen:
+            continue
+        seen.add(mark)
+        found += {(kind, *inner.span(start, end)) for kind, start, end in scan(inner.text)}
+        work.append(_unwrapped(inner))
     return base, in_order(found)
 
 
@@ -288,7 +385,7 @@ def scan_secrets(docs: DataFrame) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): counts and digest of the base spans, and all spans.
 
     Null and empty texts have none. Repeated rows give repeated rows; an empty table gives none; further columns are
-    left out. There is no limit on depth or length but :data:`MOST_INFLATED`.
+    left out. There is no limit on depth or length, but see :data:`LARGEST_BLOCK`.
     """
     ready(docs.sparkSession)
 

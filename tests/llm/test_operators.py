@@ -1,8 +1,10 @@
 """Small cases for the operators that need no generated tables: brute force, round trips and edge cases."""
 
 import base64
+import bz2
 import gzip
 import hashlib
+import lzma
 import random
 import re
 import zlib
@@ -292,6 +294,25 @@ def test_encoded_runs_beside_other_characters(hidden):
     assert _PLAIN[:20] not in secrets.redacted(text) and secrets.redacted(text).endswith(" after")
 
 
+@pytest.mark.parametrize("pack", [gzip.compress, zlib.compress, bz2.compress, lzma.compress])
+def test_secrets_in_long_and_repeated_members(pack):
+    log = b"an ordinary line of a log\n" * 700_000
+    key = SECRET.encode()
+    for hidden in (_b64(pack(log + key)), _b64(pack(b"first " * 9) + pack(b"second " * 9 + key)), _b64(pack(pack(log) + pack(key)))):
+        base, spans = secrets.find_secrets(f"before {hidden} after")
+        assert ("assign", 7, 7 + len(hidden)) in spans
+
+
+def test_secrets_across_blocks(monkeypatch):
+    for name, size in (("BLOCK", 3_000), ("LARGEST_BLOCK", 12_000), ("OVERLAP", 100), ("_STEP", 700)):
+        monkeypatch.setattr(secrets, name, size)
+    inner = _b64((("é filler " * 90) + SECRET).encode())
+    for gap in range(0, 4_000, 37):
+        for data in ("é w " * 300 + "x" * gap + " " + SECRET, "y " * gap + inner, "z" * 10 * gap + " " + SECRET):
+            hidden = _b64(gzip.compress(data.encode()))
+            assert ("assign", 7, 7 + len(hidden)) in secrets.find_secrets(f"before {hidden} after")[1]
+
+
 def test_secrets_of_the_text_itself():
     text = "PassWord: hunter22 token=abc AKIA" + "A" * 16 + " " + "0f" * 12 + " AKIA1 " + "0f" * 11 + " %zz \\u12"
     base, spans = secrets.find_secrets(text)
