@@ -1,7 +1,7 @@
 """Main text of web pages: subtrees that recur across a host's pages are its template and go.
 
 Every page is read as a tree of block elements. Each element outside the article (and each container inside it) gets a
-hash of its whole subtree; Spark counts the hashes per host; what recurs on a good share of the host's pages is deleted.
+hash of its whole subtree; Spark counts the hashes per host; what recurs on enough of the host's different pages is deleted.
 Elements that name themselves as boilerplate (navigation, forms, comments, adverts, ...) go on every page, so that hosts
 with a page or two are cleaned as well. If a page marks its article, only that is main text.
 """
@@ -11,21 +11,24 @@ from __future__ import annotations
 import html
 import pickle
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
 import xxhash
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from emberlog.llm.common import ready
+from emberlog.llm.common import batches, ready
+from emberlog.session import materialise
 
-#: A subtree is template if it stands on this many pages of the host and on this share of them.
+#: A subtree is template if it stands on this many different pages of the host, and on this share of them or as many as
+#: the binary logarithm of their number: what a section has, or every so many pages, recurs on a large host as well.
 LEAST_PAGES = 3
 LEAST_SHARE = 0.2
-DEEPEST = 200
 
 _TAG = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
@@ -69,13 +72,7 @@ class _Element:
     dropped: bool
     article: bool
     parts: list = field(default_factory=list)  # texts and elements, in order
-    known_hash: int | None = None
-
-    def hash(self) -> int:
-        if self.known_hash is None:
-            inner = "\x00".join(p if isinstance(p, str) else f"\x01{p.hash()}" for p in self.parts)
-            self.known_hash = xxhash.xxh3_64_intdigest(f"{self.tag}\x00{inner}") >> 1
-        return self.known_hash
+    hash: int = 0
 
 
 def _names_boilerplate(tag: str, attributes: str) -> bool:
@@ -97,13 +94,10 @@ def _role_main(attributes: str) -> bool:
 
 
 def parse(page: str | None) -> _Element:
-    """The tree of block elements. Inline elements leave no trace, block elements and line breaks part the text.
-
-    Elements deeper than :data:`DEEPEST` are read as part of the one at that depth.
-    """
+    """The tree of block elements. Inline elements leave no trace, block elements and line breaks part the text."""
     root = _Element("", False, False)
-    stack, page = [root], page or ""
-    deeper: list[str] = []
+    stack, order, page = [root], [root], page or ""
+    open_tags: Counter[str] = Counter()
     at, size = 0, len(page)
     pieces: list[str] = []
 
@@ -114,6 +108,10 @@ def parse(page: str | None) -> _Element:
                 stack[-1].parts.append(joined)
             pieces.clear()
 
+    def close(i: int) -> None:
+        open_tags.subtract(e.tag for e in stack[i:])
+        del stack[i:]
+
     while at < size:
         found = _TAG.search(page, at)
         if found is None:
@@ -136,74 +134,95 @@ def parse(page: str | None) -> _Element:
             continue
         close_text()
         if closing:
-            if tag in deeper:
-                while deeper.pop() != tag:
-                    pass
-                continue
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == tag:
-                    del stack[i:]
-                    break
-            continue
-        if len(stack) > DEEPEST:
-            deeper.append(tag)
+            if open_tags[tag]:
+                close(next(i for i in range(len(stack) - 1, 0, -1) if stack[i].tag == tag))
             continue
         if stack[-1].tag == "p":
-            stack.pop()
+            close(len(stack) - 1)
         if tag in _ENDS:
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i].tag in _ENDS[tag]:
-                    del stack[i:]
+                    close(i)
                     break
                 if stack[i].tag in _SCOPES:
                     break
         own = _Element(tag, tag in _DROPPED or _names_boilerplate(tag, attributes), tag in _ARTICLES or _role_main(attributes))
         stack[-1].parts.append(own)
+        order.append(own)
         if not attributes.endswith("/"):
             stack.append(own)
+            open_tags[tag] += 1
     close_text()
+    for element in reversed(order):
+        inner = "\x00".join(p if isinstance(p, str) else f"\x01{p.hash}" for p in element.parts)
+        element.hash = xxhash.xxh3_64_intdigest(f"{element.tag}\x00{inner}") >> 1
     return root
 
 
-def _has_article(element: _Element) -> bool:
-    return any(not isinstance(p, str) and not p.dropped and (p.article or _has_article(p)) for p in element.parts)
+def _has_article(root: _Element) -> bool:
+    waiting = [root]
+    while waiting:
+        for part in waiting.pop().parts:
+            if not isinstance(part, str) and not part.dropped:
+                if part.article:
+                    return True
+                waiting.append(part)
+    return False
 
 
 def candidates(root: _Element) -> set[int]:
     """Hashes of the subtrees that may be template: all outside the article, containers only inside."""
     found: set[int] = set()
     marked = _has_article(root)
-
-    def walk(element: _Element, inside: bool) -> None:
+    waiting = [(root, False)]
+    while waiting:
+        element, inside = waiting.pop()
         for part in element.parts:
             if isinstance(part, str):
                 continue
             within = inside or part.article
             if part.tag not in _RUNNING or not (within or not marked):
-                found.add(part.hash())
+                found.add(part.hash)
             if not part.dropped:
-                walk(part, within)
-
-    walk(root, False)
+                waiting.append((part, within))
     return found
 
 
-def blocks(root: _Element) -> list[tuple[str, list[int]]]:
-    """``(text, subtree hashes around it)`` of the main text; a block goes if one of its hashes is template."""
-    marked = _has_article(root)
-    found: list[tuple[str, list[int]]] = []
+@dataclass
+class _Blocks:
+    """The main text's blocks, each with the innermost subtree around it that may be template, and of those subtrees the
+    hash and the next one outwards (-1: none)."""
 
-    def walk(element: _Element, inside: bool, around: list[int]) -> None:
-        for part in element.parts:
-            if isinstance(part, str):
-                if inside or not marked:
-                    found.append((part, around))
-            elif not part.dropped:
-                within = inside or part.article
-                deletable = part.tag not in _RUNNING or not (within or not marked)
-                walk(part, within, [*around, part.hash()] if deletable and (within or not marked) else around)
-
-    walk(root, False, [])
+    texts: list[tuple[str, int]] = field(default_factory=list)
+    hashes: list[int] = field(default_factory=list)
+    outer: list[int] = field(default_factory=list)
+
+    def without(self, template: set[int]) -> list[str]:
+        gone = [False] * (len(self.hashes) + 1)  # the last stands for -1
+        for i, (own, outer) in enumerate(zip(self.hashes, self.outer)):
+            gone[i] = gone[outer] or own in template
+        return [text for text, around in self.texts if not gone[around]]
+
+
+def blocks(root: _Element) -> _Blocks:
+    marked = _has_article(root)
+    found = _Blocks()
+    waiting: list[tuple[_Element | str, bool, int]] = [(root, False, -1)]
+    while waiting:
+        part, inside, around = waiting.pop()
+        if isinstance(part, str):
+            if inside or not marked:
+                found.texts.append((part, around))
+            continue
+        if part is not root:
+            if part.dropped:
+                continue
+            inside = inside or part.article
+            if part.tag not in _RUNNING and (inside or not marked):
+                found.hashes.append(part.hash)
+                found.outer.append(around)
+                around = len(found.hashes) - 1
+        waiting.extend((p, inside, around) for p in reversed(part.parts))
     return found
 
 
@@ -213,41 +232,48 @@ def _host_of(url: str | None) -> str:
 
 
 def _counted(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """``(host, hash)`` once per page, and a null hash per page to count the pages."""
+    """``(host, hash, page)`` once per page, and a null hash per page to count the pages. Equal pages have one name."""
     for batch in rows:
-        hosts, hashes = [], []
+        hosts, hashes, names = [], [], []
         for url, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            own = [None, *candidates(parse(page))]
+            root = parse(page)
+            own = [None, *candidates(root)]
             hosts += [_host_of(url)] * len(own)
             hashes += own
-        yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(hashes, pa.int64())], names=["host", "hash"])
+            names += [root.hash] * len(own)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(hosts, pa.string()), pa.array(hashes, pa.int64()), pa.array(names, pa.int64())], names=["host", "hash", "page"]
+        )
 
 
 def host_templates(pages: DataFrame) -> DataFrame:
-    """``(host, template)``: the hashes of the subtrees that recur on a host.
-
-    Each stands on a fifth of the host's pages, so a host has at most five times as many as a page has subtrees.
-    """
+    """``(host, hash)`` of the subtrees that recur on a host. Copies of a page are one page, so that they do not delete each other."""
     ready(pages.sparkSession)
-    counts = pages.select("url", "html").mapInArrow(_counted, "host string, hash long").groupBy("host", "hash").agg(F.count("*").alias("n"))
-    total = counts.groupBy("host").agg(F.max(F.when(F.col("hash").isNull(), F.col("n"))).alias("pages"))
-    often = counts.filter(F.col("hash").isNotNull() & (F.col("n") >= LEAST_PAGES)).join(total, "host")
-    often = often.filter(F.col("n") >= LEAST_SHARE * F.col("pages"))
-    return often.groupBy("host").agg(F.collect_list("hash").alias("template"))
+    different = pages.select("url", "html").mapInArrow(_counted, "host string, hash long, page long").distinct()
+    counts = different.groupBy("host", "hash").agg(F.count("*").alias("n")).filter(F.col("hash").isNull() | (F.col("n") >= LEAST_PAGES))
+    counts = materialise(counts, "subtree-counts")
+    total = counts.filter("hash IS NULL").select("host", F.col("n").alias("pages"))
+    often = counts.filter("hash IS NOT NULL").join(total, "host")
+    return often.filter(F.col("n") >= F.least(LEAST_SHARE * F.col("pages"), F.log2("pages"))).select("host", "hash")
 
 
-_BLOCK_ROW = "page_id long, url string, host string, blocks binary"
+_BLOCK_ROW = "row long, host string, hash long, page_id long, url string, blocks binary"
+_BLOCK_ARROW = pa.schema(
+    [("row", pa.int64()), ("host", pa.string()), ("hash", pa.int64()), ("page_id", pa.int64()), ("url", pa.string()), ("blocks", pa.binary())]
+)
 
 
 def _packed_blocks(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    pack = zstandard.ZstdCompressor(level=3)
+    """Of each page a row with its blocks, whose hash is no subtree's (negative), and one for each subtree that may be template."""
+    pack, row = zstandard.ZstdCompressor(level=3), TaskContext.get().partitionId() << 32
     for batch in rows:
-        urls = batch.column(1).to_pylist()
-        data = [pack.compress(pickle.dumps(blocks(parse(page)))) for page in batch.column(2).to_pylist()]
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0), batch.column(1), pa.array([_host_of(u) for u in urls], pa.string()), pa.array(data, pa.binary())],
-            names=["page_id", "url", "host", "blocks"],
-        )
+        made: list[tuple] = []
+        for name, url, page in zip(*(batch.column(i).to_pylist() for i in range(3))):
+            own, host = blocks(parse(page)), _host_of(url)
+            made.append((row, host, -1 - row, name, url, pack.compress(pickle.dumps((own.texts, own.hashes, own.outer)))))
+            made += [(row, host, x, None, None, None) for x in set(own.hashes)]
+            row += 1
+        yield from batches(iter(made), _BLOCK_ARROW, 20_000)
 
 
 _TEXT = "page_id long, url string, text string, n_chars long, n_removed long"
@@ -258,11 +284,10 @@ def _cleaned(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in rows:
         texts, removed = [], []
         for data, template in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-            all_blocks = pickle.loads(unpack.decompress(data))
-            gone = set(template or ())
-            kept = [text for text, around in all_blocks if gone.isdisjoint(around)]
+            own = _Blocks(*pickle.loads(unpack.decompress(data)))
+            kept = own.without(set(template))
             texts.append(" ".join(kept))
-            removed.append(len(all_blocks) - len(kept))
+            removed.append(len(own.texts) - len(kept))
         yield pa.RecordBatch.from_arrays(
             [batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64()), pa.array(removed, pa.int64())],
             names=["page_id", "url", "text", "n_chars", "n_removed"],
@@ -277,5 +302,9 @@ def extract_main_text(pages: DataFrame) -> DataFrame:
     """
     ready(pages.sparkSession)
     own = pages.select("page_id", "url", "html").mapInArrow(_packed_blocks, _BLOCK_ROW)
-    joined = own.join(host_templates(pages), "host", "left")
-    return joined.select("page_id", "url", "blocks", "template").mapInArrow(_cleaned, _TEXT)
+    met = own.join(host_templates(pages).withColumn("template", F.lit(True)), ["host", "hash"], "left").filter("template OR blocks IS NOT NULL")
+    # A page's list is of its own subtrees only.
+    whole = met.groupBy("row").agg(
+        *(F.first(c, ignorenulls=True).alias(c) for c in ("page_id", "url", "blocks")), F.collect_list(F.when(F.col("template"), F.col("hash"))).alias("template")
+    )
+    return whole.select("page_id", "url", "blocks", "template").mapInArrow(_cleaned, _TEXT)

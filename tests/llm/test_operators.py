@@ -370,6 +370,21 @@ def test_main_text(spark):
     assert site_templates.extract_main_text(frame.limit(0)).collect() == []
 
 
+def test_templates_of_a_large_host_and_copies_of_pages(spark):
+    pages = [(i, f"http://a.example/{i}", f"<body><div class='x{i % 32}'>notice {i % 32}</div><div><p>story {i} goes on</p></div></body>") for i in range(320)]
+    pages += [(400 + i, f"http://a.example/p?{i}", "<body><div><p>one page at many addresses</p></div></body>") for i in range(40)]
+    frame = spark.createDataFrame(pages, "page_id long, url string, html string")
+    found = {r["page_id"]: r["text"] for r in site_templates.extract_main_text(frame).collect()}
+    assert [found[i] for i in range(320)] == [f"story {i} goes on" for i in range(320)]
+    assert {found[400 + i] for i in range(40)} == {"one page at many addresses"}
+
+
+def test_templates_below_any_depth(spark):
+    deep = [(i, f"http://a.example/{i}", "<div>" * 5_000 + f"<section>menu of all</section><p>story {i}</p>" + "</div>" * 5_000) for i in range(4)]
+    frame = spark.createDataFrame(deep, "page_id long, url string, html string")
+    assert {r["page_id"]: r["text"] for r in site_templates.extract_main_text(frame).collect()} == {i: f"story {i}" for i in range(4)}
+
+
 # -- n-gram join ------------------------------------------------------------------------------------------------------------
 
 
