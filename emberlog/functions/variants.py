@@ -100,23 +100,35 @@ def attribute_text_of_json(column: str) -> Column:
     return attribute_text(f"try_variant_get(try_parse_json({column}), '$', 'map<string,variant>')")
 
 
-def displayed(value: str, depth: int = 3) -> str:
+def displayed(value: str) -> str:
     """A rejected value as it reads when put into a message: absent ``undefined``, null ``null``, objects
-    ``[object Object]``, arrays their elements joined by commas (to ``depth`` levels)."""
-    kind_of = f"schema_of_variant({value})"
-    text = f"try_variant_get({value}, '$', 'string')"
-    items = text
-    if depth > 0:
-        item = f"item{depth}"
-        shown = f"if(coalesce(schema_of_variant({item}), 'VOID') = 'VOID', '', {displayed(item, depth - 1)})"
-        items = f"array_join(transform(try_variant_get({value}, '$', 'array<variant>'), {item} -> {shown}), ',')"
-    size = f"abs(try_variant_get({value}, '$', 'double'))"
+    ``[object Object]``, arrays their elements joined by commas, at any depth."""
+
+    def is_array(item: str) -> str:
+        return f"startswith(coalesce(schema_of_variant({item}), 'VOID'), 'ARRAY<')"
+
+    def single(item: str) -> str:
+        kind_of = f"schema_of_variant({item})"
+        text = f"try_variant_get({item}, '$', 'string')"
+        size = f"abs(try_variant_get({item}, '$', 'double'))"
+        return f"""CASE
+          WHEN startswith({kind_of}, 'OBJECT<') THEN '[object Object]'
+          WHEN {kind_of} <> 'DOUBLE' OR {text} IN ('Infinity', '-Infinity') THEN {text}
+          WHEN {size} >= 1e21 OR ({size} < 1e-6 AND {size} > 0) THEN
+            regexp_replace(lower(replace({text}, '.0E', 'E')), 'e([0-9])', 'e+$1')
+          ELSE {_plain_number(text)} END"""
+
+    # Every step opens the arrays among the items; there are no more levels than opening brackets. An empty one reads ''.
+    inner = "try_variant_get(item, '$', 'array<variant>')"
+    opened = f"CASE WHEN NOT {is_array('item')} THEN array(item) WHEN size({inner}) = 0 THEN array(parse_json('\"\"')) ELSE {inner} END"
+    json = f"to_json({value})"
+    items = f"""aggregate(sequence(1, length({json}) - length(replace({json}, '[', ''))),
+        named_struct('items', array({value}), 'open', true),
+        (state, step) -> if(state.open, named_struct(
+          'items', flatten(transform(state.items, item -> {opened})), 'open', exists(state.items, item -> {is_array('item')})), state),
+        state -> array_join(transform(state.items, item -> if(coalesce(schema_of_variant(item), 'VOID') = 'VOID', '', {single('item')})), ','))"""
     return f"""CASE
-      WHEN {kind_of} IS NULL THEN 'undefined'
-      WHEN {kind_of} = 'VOID' THEN 'null'
-      WHEN startswith({kind_of}, 'OBJECT<') THEN '[object Object]'
-      WHEN startswith({kind_of}, 'ARRAY<') THEN {items}
-      WHEN {kind_of} <> 'DOUBLE' OR {text} IN ('Infinity', '-Infinity') THEN {text}
-      WHEN {size} >= 1e21 OR ({size} < 1e-6 AND {size} > 0) THEN
-        regexp_replace(lower(replace({text}, '.0E', 'E')), 'e([0-9])', 'e+$1')
-      ELSE {_plain_number(text)} END"""
+      WHEN schema_of_variant({value}) IS NULL THEN 'undefined'
+      WHEN schema_of_variant({value}) = 'VOID' THEN 'null'
+      WHEN {is_array(value)} THEN {items}
+      ELSE {single(value)} END"""

@@ -253,3 +253,12 @@ def test_filter_on_the_verdict_stays_above_it(spark):
     accepted, _ = validate_entries(explode_envelopes(envelopes(spark, "{}"))[0])
     plan = accepted._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("timestamp is required") == 1
+
+
+def test_levels_nested_in_any_number_of_arrays_are_shown(spark):
+    deep = ["a[", 2.5, None, [], [[], 1e21], {"b": [1]}]
+    for _ in range(10):
+        deep = [deep, [None]]
+    assert verdicts(spark, changed(level=[[[[1, [2, None]]]]]), changed(level=deep), changed(level=[[]]), changed(level=[])) == [
+        "invalid level: '1,2,'", f"invalid level: 'a[,2.5,,,,1e+21,[object Object]{',' * 10}'", "invalid level: ''", "invalid level: ''"
+    ]
