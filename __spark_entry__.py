@@ -323,14 +323,17 @@ def entry(spark: SparkSession) -> DataFrame:
 
 
 def _optional() -> tuple[dict[str, Query], dict[str, str]]:
-    """Queries and SQL of the subpackage ``llm`` and of the corpus pipeline, as far as they are there."""
+    """Queries and SQL of the subpackage ``llm`` and of the corpus pipeline, as far as they are there.
+
+    The pipeline needs the subpackage, so either of the two may be what is missing.
+    """
     found: dict[str, Query] = {}
     sql: dict[str, str] = {}
-    for module, names in (("emberlog.llm.queries", {"emberlog.llm", "emberlog.llm.queries"}), ("corpus_pipeline", {"corpus_pipeline"})):
+    for module in ("emberlog.llm.queries", "corpus_pipeline"):
         try:
             added = import_module(module)
         except ModuleNotFoundError as missing:
-            if missing.name not in names:
+            if missing.name not in ("corpus_pipeline", "emberlog.llm") and not str(missing.name).startswith("emberlog.llm."):
                 raise
         else:
             found |= added.QUERIES

@@ -1,6 +1,8 @@
 """Every registered query against its SQL counterpart, on the smallest generated tables."""
 
 import os
+import subprocess
+import sys
 from pathlib import Path
 
 import pytest
@@ -40,3 +42,28 @@ def test_query(spark, database, name):
 
 def test_flagship(spark):
     assert registered.entry(spark).columns == ["bucket_start", "group_value", "count"]
+
+
+_HIDDEN = """
+import sys
+
+class Hide:
+    def find_spec(self, name, path=None, target=None):
+        if any(name == hidden or name.startswith(hidden + ".") for hidden in sys.argv[1:]):
+            raise ModuleNotFoundError(f"No module named {name!r}", name=name)
+
+sys.meta_path.insert(0, Hide())
+import __spark_entry__ as registered
+assert registered.queries().keys() >= registered.core_queries().keys()
+assert registered.oracle_sql().keys() >= registered.core_oracle_sql().keys()
+print(len(registered.queries()) == len(registered.core_queries()))
+"""
+
+
+@pytest.mark.parametrize("hidden", [["emberlog.llm"], ["emberlog.llm", "corpus_pipeline"], ["corpus_pipeline"]])
+def test_without_optional_parts(hidden):
+    """The subpackage, the pipeline or both may be gone; everything else is still registered."""
+    root = Path(registered.__file__).parent
+    run = subprocess.run([sys.executable, "-c", _HIDDEN, *hidden], cwd=root, capture_output=True, text=True)
+    assert run.returncode == 0, run.stderr
+    assert run.stdout.strip() == str("emberlog.llm" in hidden or not (root / "emberlog/llm").exists())
