@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberlog.llm import kneser_ney, learned_partitions, mixing, ngram_join, packing, pii, quality_rules, secrets, site_templates, token_files
+from emberlog.llm import filter_audit, kneser_ney, learned_partitions, mixing, ngram_join, packing, pii, quality_rules, secrets, site_templates, token_files
 from emberlog.llm.common import table
 from emberlog.session import scratch_path
 
@@ -67,6 +67,10 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit_filters(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 OP6_SQL = """
 WITH hashed AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS size,
@@ -101,6 +105,43 @@ JOIN budgets ON hashed.source IS NOT DISTINCT FROM budgets.source
 JOIN groups ON hashed.source IS NOT DISTINCT FROM groups.source AND hashed.hash = groups.hash
 """
 
+OP11_SQL = """
+WITH texts AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text,
+         regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS words
+  FROM documents),
+flags AS (
+  SELECT doc_id, part,
+         CASE WHEN len(words) < 200 THEN 1 ELSE 0 END
+         + CASE WHEN 100 * len(list_distinct(words)) < 50 * len(words) THEN 2 ELSE 0 END
+         + CASE WHEN 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 2 * length(text) THEN 4 ELSE 0 END
+         + CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 8 ELSE 0 END
+         + CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY text) THEN 16 ELSE 0 END AS mask
+  FROM texts),
+marks AS (SELECT doc_id, max(quality = 1) AS good, max(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+counts AS (
+  SELECT part, mask, count(*) AS n, count(*) FILTER (WHERE good) AS good, count(*) FILTER (WHERE toxic) AS toxic
+  FROM flags LEFT JOIN marks USING (doc_id) GROUP BY part, mask),
+letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS letter, unnest([1, 2, 4, 8, 16]) AS bit),
+orders AS (
+  SELECT a.letter || b.letter || c.letter || d.letter || e.letter AS filter_order,
+         [a.bit, b.bit, c.bit, d.bit, e.bit] AS bits
+  FROM letters a, letters b, letters c, letters d, letters e
+  WHERE a.bit | b.bit | c.bit | d.bit | e.bit = 31),
+steps AS (
+  SELECT filter_order, step::INTEGER AS step, bits[step] AS bit, coalesce(list_sum(bits[1:step - 1]), 0)::INTEGER AS before
+  FROM orders, range(1, 6) AS r(step))
+SELECT part, filter_order, step,
+       coalesce(sum(n) FILTER (WHERE mask & (bit | before) = 0), 0)::BIGINT AS kept,
+       coalesce(sum(n) FILTER (WHERE mask & bit <> 0 AND mask & before = 0), 0)::BIGINT AS removed,
+       coalesce(sum(n) FILTER (WHERE mask & bit <> 0 AND mask & before <> 0), 0)::BIGINT AS redundant,
+       coalesce(sum(n) FILTER (WHERE mask = bit), 0)::BIGINT AS unique_fails,
+       coalesce(sum(good) FILTER (WHERE mask & bit <> 0 AND mask & before = 0), 0)::BIGINT AS good_lost,
+       coalesce(sum(toxic) FILTER (WHERE mask & bit <> 0 AND mask & before = 0), 0)::BIGINT AS toxic_lost,
+       coalesce(sum(n * 120 // greatest(1, bit_count(mask))) FILTER (WHERE mask & bit <> 0), 0)::BIGINT AS shapley
+FROM counts, steps GROUP BY part, filter_order, step
+"""
+
 QUERIES: dict[str, Query] = {
     "op1_pii": op1_pii,
     "op2_token_files": op2_token_files,
@@ -112,6 +153,7 @@ QUERIES: dict[str, Query] = {
     "op8_quality_rules": op8_quality_rules,
     "op9_site_templates": op9_site_templates,
     "op10_ngram_join": op10_ngram_join,
+    "op11_filter_audit": op11_filter_audit,
 }
 
-ORACLE_SQL: dict[str, str] = {"op6_mixing": OP6_SQL}
+ORACLE_SQL: dict[str, str] = {"op6_mixing": OP6_SQL, "op11_filter_audit": OP11_SQL}
