@@ -8,7 +8,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberlog.session import prepare
+from emberlog.session import prepare, scratch_path
+from emberlog.sources.files import delete
 
 #: A word, for every operator: a run without blank and without the five ASCII controls from tab to carriage return.
 WORD = "[^\\x20\\x09-\\x0D]+"
@@ -60,3 +61,57 @@ def batches(rows: Iterator[tuple], schema: pa.Schema, size: int) -> Iterator[pa.
             held = []
     if held:
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held), schema)], schema=schema)
+
+
+class Scratch:
+    """Tables in the shared folder that are deleted once they are spent."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.paths = spark, {}
+
+    def write(self, df: DataFrame, name: str) -> DataFrame:
+        """Write ``df`` once and read it back, as :func:`emberlog.session.materialise` does."""
+        path = scratch_path(self.spark, name)
+        df.write.parquet(path)
+        table = self.spark.read.schema(df.schema).parquet(path)
+        self.paths[id(table)] = (table, path)
+        return table
+
+    def spent(self, *tables: DataFrame) -> None:
+        """Nothing will read these tables again."""
+        for table in tables:
+            delete(self.spark, self.paths.pop(id(table))[1])
+
+
+#: Bits per key in the bitmap that rows are looked up in, and the most bits it may have: 512 MB. Up to 2^28 different
+#: keys it lets one in sixteen of the other rows through, beyond that more of them; it never holds a wanted one back.
+LOOKUP_BITS = 16
+MOST_LOOKUP_BITS = 1 << 32
+#: Bits of one of Spark's bitmaps.
+_BITMAP = 1 << 15
+
+
+def power_of_two(n: int) -> int:
+    """The smallest one that is not below ``n``."""
+    return 1 << max(0, n - 1).bit_length()
+
+
+def single_bit(place: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("long"), place)
+
+
+def looked_up(rows: DataFrame, keys: DataFrame, name: str) -> DataFrame:
+    """The rows whose hash ``name`` is one of ``keys``, and a few others: for use before a shuffle of whole texts.
+
+    The keys become bitmaps, which are broadcast: their bound is ``MOST_LOOKUP_BITS``, whatever the number of keys. The
+    caller's join or aggregation decides on what is let through.
+    """
+    bits = min(MOST_LOOKUP_BITS, max(_BITMAP, power_of_two(LOOKUP_BITS * keys.count())))
+    place = F.pmod(name, F.lit(bits))
+    block, bit = F.shiftright(place, 15), place.bitwiseAND(_BITMAP - 1)
+    bitmaps = keys.groupBy(block.alias("_block")).agg(F.bitmap_construct_agg(bit).alias("_bitmap"))
+    # A byte of the bitmap as a number, then one of its bits.
+    byte = F.conv(F.hex(F.substring("_bitmap", F.shiftright("_bit", 3).cast("int") + 1, F.lit(1))), 16, 10).cast("long")
+    there = byte.bitwiseAND(single_bit(F.col("_bit").bitwiseAND(7).cast("int"))) != 0
+    placed = rows.withColumn("_block", block).withColumn("_bit", bit)
+    return placed.join(F.broadcast(bitmaps), "_block").filter(there).select(*rows.columns)

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from emberlog.llm.common import ready
+from emberlog.llm.common import looked_up, power_of_two, ready, single_bit
 from emberlog.session import materialise
 
 FILTERS = "ABCDE"
@@ -45,14 +45,6 @@ CELLS = 3
 #: the bound of what is broadcast so that the rows of such a word need not meet in one task.
 HOT = 10_000
 
-#: Bits per possible repeat in the bitmap that the second pass looks texts up in, and the most bits it may have: 512 MB.
-#: Up to 2^28 different repeated texts it lets one in sixteen of the other texts through, beyond that more of them.
-#: What it lets through is shuffled and counted exactly, so results do not depend on it.
-LOOKUP_BITS = 16
-MOST_LOOKUP_BITS = 1 << 32
-#: Bits of one of Spark's bitmaps.
-_BITMAP = 1 << 15
-
 _DUPLICATE = 1 << FILTERS.index("E")
 _CAPITALS = bytes(range(ord("A"), ord("Z") + 1))
 _CONTINUATION = bytes(range(0x80, 0xC0))
@@ -87,34 +79,26 @@ def _text_hashes(text: Column) -> list[Column]:
     return [F.xxhash64(text).alias("h1"), F.xxhash64(F.lit(1), text).alias("h2"), F.xxhash64(F.lit(2), text).alias("h3")]
 
 
-def _power_of_two(n: int) -> int:
-    return 1 << max(0, n - 1).bit_length()
-
-
 def _place(words: int) -> tuple[Column, list[Column]]:
     """The word of a row in the sketch and the counters there, which may coincide."""
     cells = [F.shiftrightunsigned("h2", 8 * i).bitwiseAND(WORD_COUNTERS - 1).cast("int") for i in range(CELLS)]
     return F.pmod("h1", F.lit(words)).alias("word"), cells
 
 
-def _bit(cell: Column) -> Column:
-    return F.call_function("shiftleft", F.lit(1).cast("long"), cell)
-
-
 def merged_sketch(rows: DataFrame, words: int) -> DataFrame:
     """``(word, twice, most)``: the counters of a word that reached two, as bits, and the largest of them."""
     word, cells = _place(words)
     counted = rows.select(word, F.explode(F.array_distinct(F.array(*cells))).alias("cell")).groupBy("word", "cell").agg(F.count("*").alias("held"))
-    return counted.filter("held > 1").groupBy("word").agg(F.bit_or(_bit(F.col("cell"))).alias("twice"), F.max("held").alias("most"))
+    return counted.filter("held > 1").groupBy("word").agg(F.bit_or(single_bit(F.col("cell"))).alias("twice"), F.max("held").alias("most"))
 
 
 def possible_repeats(rows: DataFrame) -> DataFrame:
     """The rows whose counters all reached two: every row of a text that stands twice, and a few others."""
     total = rows.count()
-    words = _power_of_two(-(-total * COUNTERS_PER_ROW // WORD_COUNTERS))
+    words = power_of_two(-(-total * COUNTERS_PER_ROW // WORD_COUNTERS))
     word, cells = _place(words)
     sketch = materialise(merged_sketch(rows, words), "merged-sketch")
-    placed = rows.select(*rows.columns, word, reduce(Column.bitwiseOR, map(_bit, cells)).alias("bits"))
+    placed = rows.select(*rows.columns, word, reduce(Column.bitwiseOR, map(single_bit, cells)).alias("bits"))
     hot = F.broadcast(sketch.filter(F.col("most") * HOT >= total).drop("most"))
     there = F.col("twice").bitwiseAND(F.col("bits")) == F.col("bits")
     at_hot = placed.join(hot, "word").filter(there)
@@ -122,23 +106,10 @@ def possible_repeats(rows: DataFrame) -> DataFrame:
     return at_hot.union(elsewhere.select(*at_hot.columns)).select(*rows.columns)
 
 
-def _lookup(repeats: DataFrame) -> tuple[DataFrame, Column, Column]:
-    """Bitmaps of the texts' hashes, and the places of a row with column ``h3``: which bitmap and which bit."""
-    bits = min(MOST_LOOKUP_BITS, max(_BITMAP, _power_of_two(LOOKUP_BITS * repeats.count())))
-    place = F.pmod("h3", F.lit(bits))
-    block, bit = F.shiftright(place, 15), place.bitwiseAND(_BITMAP - 1)
-    return repeats.groupBy(block.alias("block")).agg(F.bitmap_construct_agg(bit).alias("bitmap")), block, bit
-
-
 def first_ids(docs: DataFrame, repeats: DataFrame) -> DataFrame:
     """``(doc_id, h1, h2, h3)``: the smallest id of every full text among the possible repeats."""
-    bitmaps, block, bit = _lookup(repeats)
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    looked = texts.withColumn("h3", _text_hashes(F.col("text"))[2]).withColumn("block", block).withColumn("bit", bit)
-    # A byte of the bitmap as a number, then one of its bits.
-    byte = F.conv(F.hex(F.substring("bitmap", F.shiftright("bit", 3).cast("int") + 1, F.lit(1))), 16, 10).cast("long")
-    there = byte.bitwiseAND(_bit(F.col("bit").bitwiseAND(7).cast("int"))) != 0
-    found = looked.join(F.broadcast(bitmaps), "block").filter(there)
+    found = looked_up(texts.withColumn("h3", _text_hashes(F.col("text"))[2]), repeats.select("h3"), "h3")
     first = found.groupBy("text").agg(F.min("doc_id").alias("doc_id"))
     return first.select("doc_id", *_text_hashes(F.col("text")))
 

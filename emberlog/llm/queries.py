@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberlog.llm import filter_audit, kneser_ney, learned_partitions, mixing, ngram_join, packing, pii, quality_rules, secrets, site_templates, token_files
+from emberlog.llm import chosen_path, filter_audit, kneser_ney, learned_partitions, mixing, ngram_join, packing, pii, quality_rules, secrets, site_templates, source_divergence, token_files
 from emberlog.llm.common import table
 from emberlog.session import scratch_path
 
@@ -71,6 +71,14 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit_filters(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence.divergence(table(spark, sf_dir, "documents"))
+
+
+def op13_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chosen_path.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 OP6_SQL = """
 WITH hashed AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS size,
@@ -142,6 +150,38 @@ SELECT part, filter_order, step,
 FROM counts, steps GROUP BY part, filter_order, step
 """
 
+OP12_SQL = """
+WITH docs AS (
+  SELECT row_number() OVER () AS row_id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[a-z\\x{80}-\\x{10FFFF}]+') AS terms
+  FROM documents),
+groups AS (SELECT DISTINCT lang, source FROM docs),
+words AS (SELECT row_id, lang, source, unnest(terms) AS term FROM docs),
+vocabulary AS (SELECT lang, term, count(*) AS held FROM words GROUP BY lang, term HAVING count(DISTINCT row_id) >= 10),
+counts AS (SELECT lang, source, term, count(*) AS held FROM words GROUP BY lang, source, term),
+dense AS (
+  SELECT lang, source, term, coalesce(counts.held, 0) AS held, vocabulary.held AS in_lang
+  FROM groups JOIN vocabulary USING (lang) LEFT JOIN counts USING (lang, source, term)),
+shares AS (
+  SELECT lang, source, term, held,
+         1 + 1000000000::HUGEINT * (held + 2) // (sum(held) OVER own + 2 * count(*) OVER own) AS p,
+         1 + 1000000000::HUGEINT * (in_lang + 2) // (sum(in_lang) OVER own + 2 * count(*) OVER own) AS q
+  FROM dense WINDOW own AS (PARTITION BY lang, source)),
+pairs AS (
+  SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value
+  FROM shares a JOIN shares b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+found AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0) AS value
+  FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN pairs ON pairs.lang = a.lang AND pairs.source = a.source AND pairs.item = b.source
+  UNION ALL
+  SELECT lang, source, 'term', term, (p - q) * (p - q) // (p + q) FROM shares WHERE held > 0 AND p > q)
+SELECT lang, source, part, item, value::BIGINT AS value,
+       row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INTEGER AS rank
+FROM found QUALIFY part = 'pair' OR rank <= 10
+"""
+
 QUERIES: dict[str, Query] = {
     "op1_pii": op1_pii,
     "op2_token_files": op2_token_files,
@@ -154,6 +194,8 @@ QUERIES: dict[str, Query] = {
     "op9_site_templates": op9_site_templates,
     "op10_ngram_join": op10_ngram_join,
     "op11_filter_audit": op11_filter_audit,
+    "op12_source_divergence": op12_source_divergence,
+    "op13_chosen_path": op13_chosen_path,
 }
 
-ORACLE_SQL: dict[str, str] = {"op6_mixing": OP6_SQL, "op11_filter_audit": OP11_SQL}
+ORACLE_SQL: dict[str, str] = {"op6_mixing": OP6_SQL, "op11_filter_audit": OP11_SQL, "op12_source_divergence": OP12_SQL}
