@@ -31,12 +31,14 @@ from emberlog.operators.validate import check_entries, summarise, validate_entri
 from emberlog.plans.auto_aggregate import aggregate_auto, aggregate_table
 from emberlog.plans.recent_search import search_days
 from emberlog.plans.retention import expired_days, list_log_days, run_retention
-from emberlog.plans.storage import append_logs, append_rollup, compact_day, compact_rollup, with_event_date
+from emberlog.plans.storage import append_logs, append_rollup, compact_day, compact_rollup, vacuum_table, with_event_date
+from emberlog.plans.table_search import search_table, walk_table
 from emberlog.session import prepare, scratch_path
-from emberlog.sources.envelopes import explode_envelopes
-from emberlog.sources.events import events_as_entries, events_as_envelopes, events_as_logs
+from emberlog.sources.commits import commit
+from emberlog.sources.envelopes import explode_envelopes, read_envelopes
+from emberlog.sources.events import events_as_entries, events_as_envelopes, events_as_logs, events_with_other_defects
 from emberlog.sources.tables import read_logs, read_rejected, read_rollup, read_summary
-from emberlog.streaming.ingest import start_ingest
+from emberlog.streaming.ingest import flush_batch, start_ingest
 from emberlog.streaming.live_rollup import stream_rollup
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -99,7 +101,13 @@ def _ingested(spark: SparkSession, sf_dir: str) -> str:
     return _ingest(spark, sf_dir)
 
 
-def _store(spark: SparkSession, sf_dir: str) -> str:
+@cache
+def _committed(spark: SparkSession, sf_dir: str) -> str:
+    """The same with its batches committed and its files indexed."""
+    return _store(spark, sf_dir, committed=True)
+
+
+def _store(spark: SparkSession, sf_dir: str, *, committed: bool = False) -> str:
     """The whole events table stored as three batches of logs and rollup deltas; returns the root folder."""
     logs = events_as_logs(spark, sf_dir)
     stored = logs.withColumn(
@@ -108,8 +116,10 @@ def _store(spark: SparkSession, sf_dir: str) -> str:
     root = scratch_path(spark, "table")
     for batch in range(3):
         part = stored.where(F.col("_batch") == batch)
-        append_logs(part, f"{root}/logs", batch)
+        append_logs(part, f"{root}/logs", batch, index=committed)
         append_rollup(rollup_batch(part), f"{root}/rollup", batch)
+        if committed:
+            commit(spark, root, batch)
     return root
 
 
@@ -118,6 +128,53 @@ def _table_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _naive(search_logs(logs, since=SINCE, until=UNTIL, attrs={"k": 42}, limit=1000))
 
 
+def _table_page(**params) -> Query:
+    """A page of the committed rows with the token of the next, which carries the snapshot."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        page = search_table(spark, _committed(spark, sf_dir), **params)
+        return _naive(page.rows.withColumn("next_cursor", F.lit(page.next_cursor).cast("string")))
+
+    return run
+
+
+def _table_last_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    *_, page = walk_table(spark, _committed(spark, sf_dir), level="warn", until=UNTIL, limit=1000)
+    return _naive(page.rows.withColumn("next_cursor", F.lit(page.next_cursor).cast("string")))
+
+
+def _table_page_walk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page of a walk: its number, size, ends and the token that leads on."""
+    pages = []
+    for number, page in enumerate(walk_table(spark, _committed(spark, sf_dir), service="svc-6", limit=1000), 1):
+        ids = [row.id for row in page.rows.select("id").collect()]
+        pages.append((number, len(ids), ids[0], ids[-1], page.next_cursor))
+    return spark.createDataFrame(pages, "page_no int, count int, first_id long, last_id long, next_cursor string")
+
+
+def _table_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The second page of a walk, asked for after another batch came and its days were compacted."""
+    root = _store(spark, sf_dir, committed=True)
+    first = search_table(spark, root, limit=100)
+    again = read_logs(spark, f"{root}/logs", 0).drop("event_date", "batch_id")
+    append_logs(again, f"{root}/logs", 3)
+    commit(spark, root, 3)
+    for row in with_event_date(first.rows).select("event_date").distinct().collect():
+        compact_day(spark, f"{root}/logs", row.event_date, 3)
+    return _naive(search_table(spark, root, limit=100, cursor=first.next_cursor).rows)
+
+
+def _vacuumed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A day after compaction of all batches, when nothing but the compacted folder is left."""
+    path = f"{_store(spark, sf_dir)}/logs"
+    compact_day(spark, path, COMPACTED_DAY, 2)
+    vacuum_table(spark, path, 0)
+    day = read_logs(spark, path, days=[COMPACTED_DAY])
+    return day.groupBy("event_date").agg(
+        F.count("*").alias("count"), F.sum("id").cast("long").alias("id_sum"), F.count_distinct("batch_id").alias("folders")
+    )
+
+
 def _table_recent(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{_stored(spark, sf_dir)}/logs"
     days = [row.event_date for row in list_log_days(spark, path).select("event_date").collect()]
@@ -232,6 +289,50 @@ def _ingest(spark: SparkSession, sf_dir: str) -> str:
     return root
 
 
+def _envelope_files(spark: SparkSession, sf_dir: str, part: int | None = None) -> str:
+    """A folder with the events as envelopes in several files; ``part`` takes the even or the odd envelopes."""
+    source = scratch_path(spark, "incoming")
+    envelopes = events_as_envelopes(spark, sf_dir)
+    if part is not None:
+        envelopes = envelopes.where(F.col("envelope_id") % 2 == part)
+    envelopes.repartition(6, "envelope_id").select("value").write.text(source)
+    return source
+
+
+def _replayed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row once, though the batch was written twice."""
+    root, source = scratch_path(spark, "replayed"), _envelope_files(spark, sf_dir)
+    for _ in range(2):
+        flush_batch(read_envelopes(spark, source), root, 0)
+    logs = read_logs(spark, f"{root}/logs").groupBy("service", "level").agg(F.count("*").alias("count"), F.count_distinct("id").alias("ids"))
+    counted = merge_rollup(read_rollup(spark, f"{root}/rollup")).groupBy("service", "level").agg(F.sum("count").alias("rollup"))
+    return logs.join(counted, ["service", "level"])
+
+
+def _late(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts from the rollup after a second batch brought rows for minutes that had been counted and compacted."""
+    root = scratch_path(spark, "late")
+    flush_batch(read_envelopes(spark, _envelope_files(spark, sf_dir, 0)), root, 0)
+    compact_rollup(spark, f"{root}/rollup", 0)
+    flush_batch(read_envelopes(spark, _envelope_files(spark, sf_dir, 1)), root, 1)
+    return _naive(aggregate_table(spark, root, SINCE, UNTIL, "1m", group_by="level"))
+
+
+def _stream_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A backlog worked off file by file: several micro-batches, each with a part of the rows, none lost."""
+    root = scratch_path(spark, "batches")
+    source = _envelope_files(spark, sf_dir)
+    start_ingest(spark, source, root, scratch_path(spark, "offsets"), interval=None, max_files=1).awaitTermination()
+    logs = read_logs(spark, f"{root}/logs")
+    sizes = logs.groupBy("batch_id").agg(F.count("*").alias("count"), F.count_distinct("id").alias("ids"))
+    return sizes.agg(
+        F.sum("count").alias("count"),
+        F.sum("ids").alias("ids"),
+        (F.count("*") >= 3).alias("several"),
+        (F.max("count") < F.sum("count")).alias("spread"),
+    )
+
+
 def _stream_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     logs = read_logs(spark, f"{_ingested(spark, sf_dir)}/logs")
     return _naive(logs.select("timestamp", "level", "service", "message", "attributes"))
@@ -401,6 +502,9 @@ def core_queries() -> dict[str, Query]:
         "envelope_refused": _refused,
         "validate_accepted": _accepted,
         "validate_rejected": lambda spark, sf_dir: validate_entries(_entries(spark, sf_dir))[1],
+        "validate_other_defects": lambda spark, sf_dir: validate_entries(
+            explode_envelopes(events_with_other_defects(spark, sf_dir))[0]
+        )[1],
         "ingest_summary": _summary,
         "event_date_assign": _over_logs(lambda logs: with_event_date(logs).select("id", "event_date")),
         "id_assign": _over_logs(
@@ -411,6 +515,13 @@ def core_queries() -> dict[str, Query]:
         "count_logs": _over_logs(count_logs),
         "table_search": _table_search,
         "table_recent": _table_recent,
+        "table_page": _table_page(service="svc-3", until=UNTIL, limit=50),
+        "table_last_page": _table_last_page,
+        "table_page_walk": _table_page_walk,
+        "table_snapshot": _table_snapshot,
+        "table_search_q": _table_page(q="p_rch%USER \\1_", limit=200),
+        "table_search_attrs": _table_page(attrs={"k": 42}, q="click", limit=100),
+        "table_vacuumed": _vacuumed,
         "table_aggregate": _table_aggregate,
         "compact_day": _compacted_logs,
         "compact_rollup": _compacted_rollup,
@@ -426,6 +537,9 @@ def core_queries() -> dict[str, Query]:
         "stream_summary": _stream_summary,
         "stream_aggregate": _stream_aggregate,
         "stream_live_rollup": _live_rollup,
+        "stream_batches": _stream_batches,
+        "replayed_batch": _replayed,
+        "late_batch": _late,
     }
 
 
@@ -446,6 +560,9 @@ _WHOLE = "\"timestamp\" >= TIMESTAMP '2024-01-01' AND \"timestamp\" < TIMESTAMP
 _TOKEN = """rtrim(translate(base64(encode(concat('{"timestamp":"', strftime("timestamp", '%Y-%m-%dT%H:%M:%S.%f'),
   'Z","id":"', CAST(id AS VARCHAR), '"}'))), '+/', '-_'), '=')"""
 
+_SNAPSHOT_TOKEN = """rtrim(translate(base64(encode(concat('{"timestamp":"', strftime("timestamp", '%Y-%m-%dT%H:%M:%S.%f'),
+  'Z","id":"', CAST(id AS VARCHAR), '","batch":2,"generation":-1}'))), '+/', '-_'), '=')"""
+
 # Fate of an entry by event_id % 16: the seeded defect's reason, or NULL where it is accepted.
 _CHECKED = (
     _LOGS
@@ -475,6 +592,13 @@ def _search_sql(condition: str = "TRUE", limit: int = 100) -> str:
     return f"{_LOGS} SELECT {_SIX} FROM logs WHERE {condition} {_NEWEST} LIMIT {limit}"
 
 
+def _page_sql(condition: str, limit: int) -> str:
+    """A first page; its token is that of the last row if there are more."""
+    return f"""{_LOGS}, found AS (SELECT *, row_number() OVER ({_NEWEST}) AS place, count(*) OVER () AS total FROM logs WHERE {condition})
+SELECT {_SIX}, (SELECT {_SNAPSHOT_TOKEN} FROM found WHERE place = {limit} AND total > {limit}) AS next_cursor
+FROM found WHERE place <= {limit}"""
+
+
 def _bucket_sql(width: str, instant: str = '"timestamp"') -> str:
     return f"time_bucket(INTERVAL '{width}', {instant}, TIMESTAMP '1970-01-01')"
 
@@ -557,6 +681,15 @@ SELECT {_SIX}, (SELECT {_TOKEN} FROM page ORDER BY "timestamp", id LIMIT 1) AS n
         "validate_accepted": f"""{_CHECKED} SELECT envelope_id, index, "timestamp", level, service, message, attributes, attr_k
 FROM checked WHERE reason IS NULL""",
         "validate_rejected": f"{_CHECKED} SELECT envelope_id, index, reason FROM checked WHERE reason IS NOT NULL",
+        "validate_other_defects": """SELECT event_id // 100 AS envelope_id, CAST(event_id % 100 AS INTEGER) AS index, CASE event_id % 12
+  WHEN 0 THEN 'invalid timestamp: ''2024-02-30T10:00:00Z'''
+  WHEN 1 THEN 'invalid timestamp: ''2024-01-05T25:00:00Z'''
+  WHEN 2 THEN 'message is required'
+  WHEN 3 THEN 'message is required'
+  WHEN 8 THEN 'service must be a non-empty string'
+  WHEN 9 THEN 'message must be a non-empty string'
+  ELSE 'attributes must be a flat object with string, number, or boolean values' END AS reason
+FROM events WHERE event_id % 12 < 10""",
         "ingest_summary": f"""{_CHECKED} SELECT envelope_id, count(*) FILTER (WHERE reason IS NULL) AS accepted,
   concat('[', coalesce(string_agg(concat('{{"index":', CAST(index AS VARCHAR), ',"reason":"', reason, '"}}'), ','
     ORDER BY index) FILTER (WHERE reason IS NOT NULL), ''), ']') AS rejected,
@@ -568,6 +701,21 @@ FROM checked GROUP BY envelope_id""",
         "count_logs": "SELECT count(*) AS count FROM events",
         "table_search": _search_sql(f"{_RANGE} AND attributes ->> 'k' = '42'", 1000),
         "table_recent": _search_sql("service = 'svc-1'", 150),
+        "table_page": _page_sql(f"service = 'svc-3' AND \"timestamp\" < {UNTIL_SQL}", 50),
+        "table_last_page": f"""{_LOGS}, found AS (SELECT *, row_number() OVER ({_NEWEST}) AS place, count(*) OVER () AS total
+  FROM logs WHERE level = 'warn' AND "timestamp" < {UNTIL_SQL})
+SELECT {_SIX}, CAST(NULL AS VARCHAR) AS next_cursor FROM found WHERE place > (total - 1) // 1000 * 1000""",
+        "table_page_walk": f"""{_LOGS}, found AS (SELECT *, row_number() OVER ({_NEWEST}) AS place, count(*) OVER () AS total,
+  {_SNAPSHOT_TOKEN} AS token FROM logs WHERE service = 'svc-6')
+SELECT CAST((place - 1) // 1000 + 1 AS INTEGER) AS page_no, CAST(count(*) AS INTEGER) AS count, arg_min(id, place) AS first_id,
+  arg_max(id, place) AS last_id, CASE WHEN max(place) < max(total) THEN arg_max(token, place) END AS next_cursor
+FROM found GROUP BY (place - 1) // 1000""",
+        "table_snapshot": f"{_LOGS} SELECT {_SIX} FROM logs {_NEWEST} LIMIT 100 OFFSET 100",
+        "table_search_q": _page_sql("message ILIKE '%p_rch%USER 1_%'", 200),
+        "table_search_attrs": _page_sql("attributes ->> 'k' = '42' AND message ILIKE '%click%'", 100),
+        "table_vacuumed": f"""{_LOGS} SELECT CAST("timestamp" AS DATE) AS event_date, count(*) AS count,
+  CAST(sum(id) AS BIGINT) AS id_sum, CAST(1 AS BIGINT) AS folders FROM logs
+WHERE CAST("timestamp" AS DATE) = DATE '{COMPACTED_DAY}' GROUP BY 1""",
         "table_aggregate": _aggregate_sql("1 hour", _RANGE, "level"),
         "compact_day": f"{_LOGS} {_TOTALS_SQL} GROUP BY 1",
         "compact_rollup": _MINUTES_SQL,
@@ -586,4 +734,9 @@ SELECT CASE WHEN a > 0 THEN 200 ELSE 400 END AS status, count(*) AS envelopes, C
   CAST(sum(r) AS BIGINT) AS rejected FROM envelopes GROUP BY 1""",
         "stream_aggregate": _aggregate_sql("1 minute", f"{_RANGE} AND reason IS NULL", "service", "checked", _CHECKED),
         "stream_live_rollup": _MINUTES_SQL,
+        "stream_batches": f"""{_CHECKED} SELECT count(*) AS count, count(*) AS ids, TRUE AS several, TRUE AS spread
+FROM checked WHERE reason IS NULL""",
+        "replayed_batch": f"""{_CHECKED} SELECT service, level, count(*) AS count, count(*) AS ids, count(*) AS rollup
+FROM checked WHERE reason IS NULL GROUP BY 1, 2""",
+        "late_batch": _aggregate_sql("1 minute", f"{_RANGE} AND reason IS NULL", "level", "checked", _CHECKED),
     }

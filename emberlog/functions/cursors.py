@@ -6,6 +6,10 @@ skipped at a page edge. Tokens with milliseconds are read as well.
 
 from __future__ import annotations
 
+import base64
+import json
+import re
+from collections.abc import Callable, Mapping, Sequence
 from datetime import datetime, timezone
 from uuid import uuid4
 
@@ -19,36 +23,64 @@ from emberlog.functions.timestamps import iso_micros
 from emberlog.functions.variants import as_string, field, is_string
 
 
-def encode_cursor(ts: Column, row_id: Column) -> Column:
-    body = F.to_json(F.struct(iso_micros(ts).alias("timestamp"), row_id.cast("string").alias("id")))
+def encode_cursor(ts: Column, row_id: Column, snapshot: Mapping[str, int] | None = None) -> Column:
+    """The token of a row; ``snapshot``, numbers that say what the walk reads, is carried along in it."""
+    carried = [F.lit(number).cast("long").alias(name) for name, number in (snapshot or {}).items()]
+    body = F.to_json(F.struct(iso_micros(ts).alias("timestamp"), row_id.cast("string").alias("id"), *carried))
     token = F.base64(F.encode(body, "UTF-8"))
-    return F.rtrim(F.translate(token, "+/", "-_"), F.lit("="))
+    # Long ones come in lines.
+    return F.rtrim(F.translate(token, "+/\r\n", "-_"), F.lit("="))
+
+
+def _with(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, however often it is mentioned."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _decoded(pair: Column, end: str) -> Column:
+    """The token's struct from the parsed ``[token, end]``."""
+    whole = F.try_variant_get(pair, "$[1]", "string").eqNullSafe(F.lit(end)) & F.try_variant_get(pair, "$[2]", "variant").isNull()
+    body = F.try_variant_get(pair, "$[0]", "variant")
+
+    def checked(found: Column) -> Column:
+        ts, row_id = found["ts"], found["id"]
+        with_seconds = F.regexp_replace(ts, r"T(\d{2}:\d{2})Z$", "T$1:00Z")
+        formed = found["whole"] & matches(ts, QUERY_TIMESTAMP_PATTERN) & matches(row_id, CURSOR_ID_PATTERN)
+        parsed = F.struct(F.try_to_timestamp(with_seconds).alias("timestamp"), row_id.try_cast("long").alias("id"))
+        return F.when(formed, _with(parsed, lambda p: F.when(p["timestamp"].isNotNull() & p["id"].isNotNull(), p)))
+
+    def member(name: str) -> Column:
+        return _with(field(body, name), lambda value: F.when(is_string(value), as_string(value)))
+
+    return _with(F.struct(whole.alias("whole"), member("timestamp").alias("ts"), member("id").alias("id")), checked)
 
 
 def decode_cursor(token: Column) -> Column:
-    """``struct<timestamp timestamp, id bigint>``, or NULL for anything that is not a valid token."""
+    """``struct<timestamp timestamp, id bigint>``, or NULL for anything that is not a valid token. Further members of a
+    token are ignored."""
     # Both base64 alphabets are read, padding and foreign characters ignored.
     symbols = F.regexp_replace(F.translate(F.substring_index(token, "=", 1), "-_", "+/"), "[^A-Za-z0-9+/]", "")
-    padded = F.concat(symbols, F.repeat(F.lit("="), F.pmod(-F.length(symbols), F.lit(4))))
-    text = F.try_validate_utf8(F.try_to_binary(padded, F.lit("base64")).cast("string"))
+
+    def binary(plain: Column) -> Column:
+        padded = F.concat(plain, F.repeat(F.lit("="), F.pmod(-F.length(plain), F.lit(4))))
+        return F.try_to_binary(padded, F.lit("base64"))
+
+    text = F.try_validate_utf8(_with(symbols, binary).cast("string"))
     # The parser ignores what follows a complete value, so the token must be the whole first of two elements.
     end = uuid4().hex
     both = F.try_parse_json(F.concat(F.lit("["), text, F.lit(f',"{end}"]')))
-    whole = F.try_variant_get(both, "$[1]", "string").eqNullSafe(F.lit(end)) & F.try_variant_get(both, "$[2]", "variant").isNull()
-    body = F.when(whole, F.try_variant_get(both, "$[0]", "variant"))
-    ts, row_id = field(body, "timestamp"), field(body, "id")
-    ts_text, id_text = as_string(ts), as_string(row_id)
-    with_seconds = F.regexp_replace(ts_text, r"T(\d{2}:\d{2})Z$", "T$1:00Z")
-    instant, number = F.try_to_timestamp(with_seconds), id_text.try_cast("long")
-    valid = (
-        is_string(ts)
-        & is_string(row_id)
-        & matches(ts_text, QUERY_TIMESTAMP_PATTERN)
-        & matches(id_text, CURSOR_ID_PATTERN)
-        & instant.isNotNull()
-        & number.isNotNull()
-    )
-    return F.when(valid, F.struct(instant.alias("timestamp"), number.alias("id")))
+    return _with(both, lambda pair: _decoded(pair, end))
+
+
+def read_snapshot(token: str, names: Sequence[str]) -> dict[str, int] | None:
+    """The numbers that :func:`encode_cursor` put into a token; ``None`` if it lacks one."""
+    symbols = re.sub("[^A-Za-z0-9_-]", "", token.partition("=")[0].translate(str.maketrans("+/", "-_")))
+    try:
+        body = json.loads(base64.urlsafe_b64decode(symbols + "=" * (-len(symbols) % 4)))
+    except ValueError:
+        return None
+    found = {name: body.get(name) for name in names} if isinstance(body, dict) else {}
+    return found if found and all(type(number) is int for number in found.values()) else None
 
 
 def read_token(spark: SparkSession, token: str) -> tuple[datetime, int]:

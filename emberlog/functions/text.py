@@ -26,6 +26,22 @@ def utf16_length(text: Column) -> Column:
     return F.when(F.octet_length(text) == F.length(text), F.length(text)).otherwise(wide)
 
 
+def _symbols(q: str) -> list[tuple[bool, str]]:
+    """The characters of ``%q%``, each with whether a backslash before it makes it a plain one."""
+    return [(bool(escaped), char) for escaped, char in re.findall(r"(\\)?(.)", f"%{q}%", flags=re.DOTALL)]
+
+
+def literal_pieces(q: str) -> list[str]:
+    """What every text that :func:`contains_pattern` finds has in it, in any letter case: the runs between wildcards."""
+    pieces = [""]
+    for escaped, char in _symbols(q):
+        if char in "%_" and not escaped:
+            pieces.append("")
+        else:
+            pieces[-1] += char
+    return [piece for piece in pieces if piece]
+
+
 def contains_pattern(text: Column, q: str) -> Column:
     """``text ILIKE '%q%'``: ``%``, ``_`` and backslash inside ``q`` stay active on purpose, and a backslash before
     any other character means that character.
@@ -35,7 +51,7 @@ def contains_pattern(text: Column, q: str) -> Column:
     try every combination, which takes quadratic time on long texts.
     """
     pieces = [""]
-    for escaped, char in re.findall(r"(\\)?(.)", f"%{q}%", flags=re.DOTALL):
+    for escaped, char in _symbols(q):
         if char == "%" and not escaped:
             pieces.append("")
         elif char == "_" and not escaped:

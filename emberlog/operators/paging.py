@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -23,9 +23,9 @@ class LogPage:
     next_cursor: str | None
 
 
-def with_token(df: DataFrame) -> DataFrame:
-    """Add ``next_cursor``, the token that continues after the row."""
-    return df.withColumn("next_cursor", encode_cursor(F.col("timestamp"), F.col("id")))
+def with_token(df: DataFrame, snapshot: Mapping[str, int] | None = None) -> DataFrame:
+    """Add ``next_cursor``, the token that continues after the row, in the same snapshot if one is given."""
+    return df.withColumn("next_cursor", encode_cursor(F.col("timestamp"), F.col("id"), snapshot))
 
 
 def page_from(found: pa.Table, limit: int, df: DataFrame) -> LogPage:

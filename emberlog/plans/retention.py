@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import os
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from datetime import date, datetime, timedelta, timezone
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,6 +13,9 @@ from emberlog.fixed_values import DEFAULT_RETENTION_DAYS, ERROR_RETENTION, RETEN
 from emberlog.plans.storage import table_files
 from emberlog.session import prepare
 from emberlog.sources.files import delete
+from emberlog.sources.manifest import publish
+from emberlog.sources.skipping import skip_path
+from emberlog.sources.tables import covered_bounds, stored_days
 
 
 @dataclass(frozen=True)
@@ -78,10 +81,15 @@ def run_retention(
 
 
 def _drop_days(spark: SparkSession, path: str, retention_days: int, today: date | None) -> list[date]:
-    expired = expired_days(list_log_days(spark, path), retention_days, today)
-    days = [row.event_date for row in expired.select("event_date").orderBy("event_date").collect()]
+    """By the names of the folders: one listing and one call per expired day, no job."""
+    cutoff, base = cutoff_date(retention_days, today), path.rstrip("/")
+    days = [day for day in stored_days(spark, path) if day < cutoff]
     for day in days:
-        delete(spark, f"{path.rstrip('/')}/event_date={day.isoformat()}")
+        for folder in (base, skip_path(base)):
+            delete(spark, f"{folder}/event_date={day.isoformat()}")
+    names = {day.isoformat() for day in days}
+    if names & covered_bounds(spark, path).keys():
+        publish(spark, path, lambda now, at: replace(now, covered={d: n for d, n in now.covered.items() if d not in names}))
     return days
 
 

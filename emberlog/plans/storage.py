@@ -1,33 +1,44 @@
 """Sinks, table layout and compaction.
 
 Every sink overwrites the partitions of its batch; :func:`drop_batch` removes what an earlier attempt at it left.
-Compaction only moves forward: a day covered up to a batch takes no batch up to it any more and no lower bound.
+Compaction only moves forward: a day covered up to a batch takes no batch up to it any more and no lower bound. What it
+replaces is retired, not deleted, so readers that are under way keep their files until :func:`vacuum_table`.
 """
 
 from __future__ import annotations
 
+import re
+import time
+from collections.abc import Iterable
+from dataclasses import replace
 from datetime import date
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from emberlog.functions.timestamps import event_date
 from emberlog.operators.aggregate import merge_rollup
+from emberlog.plans.skip_index import index_files
 from emberlog.schema import LOG_TABLE_SCHEMA, ROLLUP_TABLE_SCHEMA
+from emberlog.sources.commits import committed_batch
 from emberlog.sources.files import child_names, delete
+from emberlog.sources.manifest import Manifest, generation_path, generations, publish, read_manifest
+from emberlog.sources.skipping import skip_path
 from emberlog.sources.tables import (
-    committed_batch,
     compacted_batch,
     covered_bounds,
-    covered_path,
     day_folders,
     read_logs,
     read_rollup,
+    stored_days,
 )
 
 #: Compacted log files aim at this many bytes.
 TARGET_FILE_BYTES = 128 << 20
+#: How long replaced folders stay for readers that are under way.
+GRACE_SECONDS = 3600.0
+
+_BATCH_FOLDER = re.compile(r"batch_id=(-?\d+)")
 
 
 def with_event_date(df: DataFrame) -> DataFrame:
@@ -68,16 +79,19 @@ def drop_batch(spark: SparkSession, root: str, batch_id: int) -> None:
         delete(spark, f"{base}/{table}/batch_id={batch_id}")
 
 
-def append_logs(df: DataFrame, path: str, batch_id: int) -> None:
+def append_logs(df: DataFrame, path: str, batch_id: int, *, index: bool = False) -> None:
     """Append a batch under its days.
 
     Rebalancing by day gives few files per day, splits a day that dominates the batch over several tasks and merges
-    small ones. Rows are ordered by instant within a file for tight row-group statistics.
+    small ones. Rows are ordered by instant within a file for tight row-group statistics. ``index`` also writes the
+    bitmaps that text and attribute searches skip files by; without it that waits for compaction.
     """
     _refuse_covered(df.sparkSession, path, batch_id)
     rows = _stamp(with_event_date(df), batch_id).select(*LOG_TABLE_SCHEMA.names)
     ordered = rows.hint("rebalance", "event_date").sortWithinPartitions("event_date", "batch_id", "timestamp", "id")
     _write(ordered, path, "event_date", "batch_id")
+    if index:
+        index_files(df.sparkSession, path, batch_id=batch_id)
 
 
 def append_rollup(counts: DataFrame, path: str, batch_id: int) -> None:
@@ -103,17 +117,46 @@ def append_summary(df: DataFrame, path: str, batch_id: int) -> None:
     _write(rows, path, "batch_id")
 
 
-def _publish(path: str, covered: DataFrame) -> None:
-    """Switch readers over: one appended file, after the compacted rows are complete."""
-    covered.coalesce(1).write.mode("append").parquet(covered_path(path))
+def _replaced(spark: SparkSession, path: str, day: date, upto: int) -> list[str]:
+    """The partition folders of a day that the compacted one stands in for, from the listing."""
+    folder = f"event_date={day.isoformat()}"
+    found = (_BATCH_FOLDER.fullmatch(name) for name in child_names(spark, f"{path.rstrip('/')}/{folder}"))
+    numbers = (int(match[1]) for match in found if match)
+    return [f"{folder}/batch_id={n}" for n in numbers if n <= upto and n != compacted_batch(upto)]
+
+
+def _publish(spark: SparkSession, path: str, days: Iterable[date], upto: int) -> None:
+    """Switch new readers over, after the compacted rows are complete, and retire what they replace."""
+    replaced = [folder for day in days for folder in _replaced(spark, path, day, upto)]
+
+    def change(now: Manifest, at: float) -> Manifest:
+        for day in days:
+            if now.covered.get(day.isoformat(), -1) > upto:
+                raise RuntimeError(f"{day} was compacted up to a later batch meanwhile")
+        return replace(now, covered=now.covered | {day.isoformat(): upto for day in days}, retired=dict.fromkeys(replaced, at) | now.retired)
 
+    publish(spark, path, change)
 
-def _drop_replaced(spark: SparkSession, path: str, days: list[date], upto: int) -> None:
-    """Delete the partition folders of these days that the compacted ones now stand in for."""
-    files = table_files(spark, path, days)
-    old = files.where((F.col("batch_id") <= upto) & (F.col("batch_id") != compacted_batch(upto)))
-    for row in old.select("event_date", "batch_id").distinct().collect():
-        delete(spark, f"{path.rstrip('/')}/event_date={row.event_date.isoformat()}/batch_id={row.batch_id}")
+
+def vacuum_table(spark: SparkSession, path: str, grace_seconds: float = GRACE_SECONDS) -> int:
+    """Delete the folders that were replaced longer ago than the grace period; returns how many.
+
+    Generations of the manifest older than that go as well, so a page cursor that names one continues on the newest.
+    Compaction calls it with the default. A failure half-way leaves work for the next call only.
+    """
+    limit = time.time() - grace_seconds
+    now = read_manifest(spark, path)
+    spent = [folder for folder, at in now.retired.items() if at <= limit]
+    for folder in spent:
+        for base in (path.rstrip("/"), skip_path(path)):
+            delete(spark, f"{base}/{folder}")
+    if spent:
+        now = publish(spark, path, lambda m, at: replace(m, retired={f: since for f, since in m.retired.items() if f not in spent}))
+    for number in generations(spark, path):
+        following = read_manifest(spark, path, number + 1) if number < now.generation else None
+        if number < now.generation and (following is None or following.published <= limit):
+            delete(spark, generation_path(path, number))
+    return len(spent)
 
 
 def table_files(spark: SparkSession, path: str, days: list[date] | None = None) -> DataFrame:
@@ -141,15 +184,14 @@ def _refuse_uncommitted(spark: SparkSession, path: str, upto_batch: int) -> None
 def compact_day(spark: SparkSession, path: str, day: date, upto_batch: int) -> None:
     """Merge the small files of one day, batches up to ``upto_batch``, into large ones sorted by instant.
 
-    Only committed batches may be given. Readers keep seeing the originals until the list of covered days names the new
-    partition; whatever was replaced is deleted after that, so a failure at any point leaves the same rows visible and
-    the job can simply run again. A published partition is never written again: the bound of a day only rises, a lower
-    one changes nothing, and the same one only deletes what is left over.
+    Only committed batches may be given. Readers keep seeing the originals until a new generation of the manifest names
+    the merged partition, and those that planned before it keep their files after that too; a failure at any point
+    leaves the same rows visible and the job can simply run again. A published partition is never written again: the
+    bound of a day only rises, and a lower or the same one only deletes what has been out of use for long enough.
     """
     _refuse_uncommitted(spark, path, upto_batch)
-    bound = covered_bounds(spark, path).get(day.isoformat(), -1)
-    if upto_batch <= bound:
-        _drop_replaced(spark, path, [day], bound)
+    if upto_batch <= covered_bounds(spark, path).get(day.isoformat(), -1):
+        vacuum_table(spark, path)
         return
     rows = read_logs(spark, path, upto_batch, [day])
     size = table_files(spark, path, [day]).agg(F.sum("length")).first()[0] or 0
@@ -160,25 +202,24 @@ def compact_day(spark: SparkSession, path: str, day: date, upto_batch: int) -> N
         "event_date", "batch_id", "timestamp", "id"
     )
     _write(ranged, path, "event_date", "batch_id")
-    listed = spark.createDataFrame(pa.table({"event_date": pa.array([day], pa.date32())}))
-    _publish(path, listed.select("event_date", F.lit(upto_batch).cast("long").alias("upto")))
-    _drop_replaced(spark, path, [day], upto_batch)
+    index_files(spark, path, [day], compacted_batch(upto_batch))
+    _publish(spark, path, [day], upto_batch)
+    vacuum_table(spark, path)
 
 
 def compact_rollup(spark: SparkSession, path: str, upto_batch: int) -> None:
     """Fold the deltas of all batches up to ``upto_batch`` into one row per key, on every day that got new ones."""
     _refuse_uncommitted(spark, path, upto_batch)
     bounds = covered_bounds(spark, path)
-    fresh = table_files(spark, path).where(F.col("batch_id").between(0, upto_batch))
-    newest = fresh.groupBy("event_date").agg(F.max("batch_id").alias("newest")).collect()
-    days = [row.event_date for row in newest if row.newest > bounds.get(row.event_date.isoformat(), -1)]
-    for row in newest:
-        if row.event_date not in days:
-            _drop_replaced(spark, path, [row.event_date], bounds[row.event_date.isoformat()])
-    if not days:
-        return
-    deltas = read_rollup(spark, path, upto_batch, days)
-    append_rollup(merge_rollup(deltas), path, compacted_batch(upto_batch))
-    listed = spark.createDataFrame(pa.table({"event_date": pa.array(days, pa.date32())}))
-    _publish(path, listed.select("event_date", F.lit(upto_batch).cast("long").alias("upto")))
-    _drop_replaced(spark, path, days, upto_batch)
+    days = [day for day in stored_days(spark, path) if _newest(spark, path, day, upto_batch) > bounds.get(day.isoformat(), -1)]
+    if days:
+        deltas = read_rollup(spark, path, upto_batch, days)
+        append_rollup(merge_rollup(deltas), path, compacted_batch(upto_batch))
+        _publish(spark, path, days, upto_batch)
+    vacuum_table(spark, path)
+
+
+def _newest(spark: SparkSession, path: str, day: date, upto: int) -> int:
+    """The last batch up to ``upto`` that has a folder on this day; -1 without one."""
+    found = (_BATCH_FOLDER.fullmatch(name) for name in child_names(spark, f"{path.rstrip('/')}/event_date={day.isoformat()}"))
+    return max((n for n in (int(match[1]) for match in found if match) if 0 <= n <= upto), default=-1)

@@ -84,3 +84,30 @@ def events_as_envelopes(spark: SparkSession, sf_dir: str) -> DataFrame:
         .agg(entries.alias("entries"))
         .select("envelope_id", F.concat(F.lit('{"logs":['), joined, F.lit("]}")).alias("value"))
     )
+
+
+def events_with_other_defects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(envelope_id, value)``: the same envelopes with the changes that ``id % 12`` picks from a second list.
+
+    Instants that the calendar does not have, a message that is missing or a number, attributes of four wrong types,
+    texts that are one character too long; the last two cases are accepted.
+    """
+    logs = events_as_logs(spark, sf_dir)
+    case = F.col("id") % 12
+    utc = F.concat(F.date_format("timestamp", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit("Z"))
+    ts = F.when(case == 0, "2024-02-30T10:00:00Z").when(case == 1, "2024-01-05T25:00:00Z").otherwise(utc)
+    service = F.when(case == 8, "s" * 101).when(case == 10, "s" * 100).otherwise(F.col("service"))
+    message = F.when(case == 9, "m" * 1001).when(case == 11, "m" * 1000).otherwise(F.col("message"))
+    quoted = F.when(case == 3, F.lit("17")).otherwise(F.concat(F.lit('"'), message, F.lit('"')))
+    attributes = (
+        F.when(case == 4, "null").when(case == 5, '"text"').when(case == 6, '["a"]').when(case == 7, "5").otherwise(F.col("attributes"))
+    )
+    entry = F.concat(
+        F.lit('{"timestamp":"'), ts, F.lit('","level":"'), F.col("level"), F.lit('","service":"'), service, F.lit('"'),
+        F.when(case == 2, "").otherwise(F.concat(F.lit(',"message":'), quoted)),
+        F.lit(',"attributes":'), attributes, F.lit("}"),
+    )
+    numbered = logs.select(F.expr("id div 100").alias("envelope_id"), F.struct((F.col("id") % 100).alias("index"), entry.alias("entry")).alias("e"))
+    entries = F.transform(F.array_sort(F.collect_list("e")), lambda e: e["entry"])
+    joined = numbered.groupBy("envelope_id").agg(entries.alias("entries"))
+    return joined.select("envelope_id", F.concat(F.lit('{"logs":['), F.array_join("entries", ","), F.lit("]}")).alias("value"))

@@ -1,13 +1,15 @@
 """Scans of the stored tables.
 
 Logs and rollup are Parquet, partitioned by ``event_date`` and ``batch_id``. A compacted day keeps its rows in one
-partition with a negative batch number; the ``_covered`` list says up to which batch it stands in for the
-originals. Both conditions are on partition columns, so files that were replaced are never opened.
+partition with a negative batch number; the table's manifest says up to which batch it stands in for the originals. Both
+conditions are on partition columns, so files that were replaced are never opened, and no job is needed to know them.
 """
 
 from __future__ import annotations
 
 import json
+import re
+from collections.abc import Sequence
 from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,14 +18,11 @@ from pyspark.sql import types as T
 
 from emberlog.schema import LOG_TABLE_SCHEMA, REJECTED_TABLE_SCHEMA, ROLLUP_TABLE_SCHEMA, SUMMARY_TABLE_SCHEMA
 from emberlog.session import prepare
+from emberlog.sources.commits import COMMITS, committed_batch  # noqa: F401  (named here by their users)
 from emberlog.sources.files import child_names, exists
+from emberlog.sources.manifest import read_manifest
 
-COVERED_SCHEMA = "event_date date, upto bigint"
-COMMITS = "commits"
-
-
-def covered_path(path: str) -> str:
-    return f"{path.rstrip('/')}/_covered"
+_DAY_FOLDER = re.compile(r"event_date=(\d{4}-\d{2}-\d{2})")
 
 
 def compacted_batch(upto: int) -> int:
@@ -31,18 +30,21 @@ def compacted_batch(upto: int) -> int:
     return -(upto + 1)
 
 
-def _covered(spark: SparkSession, path: str) -> dict[str, int]:
-    """Compacted days, at most one entry per day the table has."""
-    if not exists(spark, covered_path(path)):
-        return {}
-    listed = spark.read.schema(COVERED_SCHEMA).parquet(covered_path(path))
-    days = listed.groupBy("event_date").agg(F.max("upto").alias("upto"))
-    return {row.event_date.isoformat(): row.upto for row in days.collect()}
+def covered_bounds(spark: SparkSession, path: str) -> dict[str, int]:
+    """Up to which batch each compacted day (ISO text) is covered; at most one entry per day of the table."""
+    return read_manifest(spark, path).covered
 
 
-def covered_bounds(spark: SparkSession, path: str) -> dict[str, int]:
-    """Up to which batch each compacted day (ISO text) is covered."""
-    return _covered(spark, path)
+def stored_days(spark: SparkSession, path: str) -> list[date]:
+    """The days that have a folder, from one listing and without a job. Other folders are ignored."""
+    days = []
+    for name in child_names(spark, path):
+        if found := _DAY_FOLDER.fullmatch(name):
+            try:
+                days.append(date.fromisoformat(found[1]))
+            except ValueError:
+                continue
+    return sorted(days)
 
 
 def day_folders(spark: SparkSession, path: str, days: list[date] | None) -> list[str]:
@@ -58,15 +60,28 @@ def day_folders(spark: SparkSession, path: str, days: list[date] | None) -> list
 
 
 def _scan(
-    spark: SparkSession, path: str, schema: T.StructType, upto_batch: int | None, days: list[date] | None
+    spark: SparkSession,
+    path: str,
+    schema: T.StructType,
+    upto_batch: int | None,
+    days: list[date] | None,
+    generation: int | None = None,
+    without_files: Sequence[str] = (),
 ) -> DataFrame:
+    # The manifest comes before the listing: what it replaces later is still there.
+    manifest = read_manifest(spark, path, generation)
+    if manifest is None:
+        raise ValueError(f"generation {generation} of {path} is gone")
+    covered = manifest.covered
     folders = day_folders(spark, path, days)
     if not folders:
         return prepare(spark).createDataFrame([], schema)
     df = prepare(spark).read.schema(schema).option("basePath", path).parquet(*folders)
+    if without_files:
+        # A condition on file paths alone is applied to the listing.
+        df = df.where(~F.col("_metadata.file_path").isin(list(without_files)))
     if days is not None:
         df = df.where(F.col("event_date").isin(days))
-    covered = _covered(spark, path)
     if covered:
         days = F.from_json(F.lit(json.dumps(covered)), "map<string,bigint>")
         upto = F.try_element_at(days, F.col("event_date").cast("string"))
@@ -80,13 +95,20 @@ def _scan(
 
 
 def read_logs(
-    spark: SparkSession, path: str, upto_batch: int | None = None, days: list[date] | None = None
+    spark: SparkSession,
+    path: str,
+    upto_batch: int | None = None,
+    days: list[date] | None = None,
+    generation: int | None = None,
+    without_files: Sequence[str] = (),
 ) -> DataFrame:
     """Stored logs: the six log columns, ``attr_text`` and the partition columns.
 
-    Filters prune partitions without help; ``days`` also saves listing the folders of all other days.
+    Filters prune partitions without help; ``days`` also saves listing the folders of all other days. ``generation``
+    reads the table as that generation of its manifest had it, as long as it is kept; files listed in ``without_files``
+    are left out of the scan. No job is run.
     """
-    return _scan(spark, path, LOG_TABLE_SCHEMA, upto_batch, days)
+    return _scan(spark, path, LOG_TABLE_SCHEMA, upto_batch, days, generation, without_files)
 
 
 def read_rollup(
@@ -109,9 +131,3 @@ def read_rejected(spark: SparkSession, path: str) -> DataFrame:
 
 def read_summary(spark: SparkSession, path: str) -> DataFrame:
     return _whole(spark, path, SUMMARY_TABLE_SCHEMA)
-
-
-def committed_batch(spark: SparkSession, root: str) -> int | None:
-    """Highest batch whose logs and rollup are both complete; ``None`` before the first."""
-    names = child_names(spark, f"{root.rstrip('/')}/{COMMITS}")
-    return max((int(name) for name in names if name.isdigit()), default=None)

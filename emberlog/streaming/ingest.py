@@ -24,11 +24,9 @@ from emberlog.sources.envelopes import (
     read_envelopes,
     stream_envelopes,
 )
+from emberlog.sources.commits import claim_writer, commit, committed_batch, refuse_gap, refuse_replaced
 from emberlog.sources.files import child_names, delete, exists, touch
-from emberlog.sources.tables import COMMITS, committed_batch
 
-#: Commit marks kept; only the newest is read.
-_KEPT_COMMITS = 16
 #: Marks of batches that were begun; one that is there already belongs to a batch that is being replayed.
 _BEGUN = "begun"
 
@@ -42,13 +40,16 @@ def check_batch(envelopes: DataFrame) -> DataFrame:
     return check_entries(number_arrivals(explode_all(envelopes)), F.col("received_at"))
 
 
-def flush_batch(envelopes: DataFrame, root: str, batch_id: int) -> None:
-    """Write one batch: rows, rollup, rejections and summaries side by side, then the commit mark.
+def flush_batch(envelopes: DataFrame, root: str, batch_id: int, writer: int | None = None) -> None:
+    """Write one batch: rows, rollup, rejections and summaries side by side, then its entry in the commit log.
 
     The verdicts are kept for the four writes (a lost block is recomputed from the source). A batch that fails
     half-way is written again in full under the same number; what it left is removed first, whatever days it was in.
+    A batch is refused while the one before it is missing, and so is a ``writer`` that another has followed.
     """
     spark, base = envelopes.sparkSession, root.rstrip("/")
+    refuse_gap(spark, base, batch_id)
+    refuse_replaced(spark, base, writer)
     begun = f"{base}/{_BEGUN}/{batch_id}"
     if exists(spark, begun):
         drop_batch(spark, base, batch_id)
@@ -65,7 +66,8 @@ def flush_batch(envelopes: DataFrame, root: str, batch_id: int) -> None:
             lambda: append_rejected(kept.where(rejected), f"{base}/rejected", batch_id),
             lambda: append_summary(summarise(kept), f"{base}/summary", batch_id),
         )
-        _commit(spark, base, batch_id)
+        for old in commit(spark, base, batch_id, writer):
+            delete(spark, f"{base}/{_BEGUN}/{old}")
     finally:
         kept.unpersist()
 
@@ -78,23 +80,16 @@ def _side_by_side(spark: SparkSession, *writes: Callable[[], None]) -> None:
         job.result()
 
 
-def _commit(spark: SparkSession, base: str, batch_id: int) -> None:
-    touch(spark, f"{base}/{COMMITS}/{batch_id}")
-    marks = sorted((int(n) for n in child_names(spark, f"{base}/{COMMITS}") if n.isdigit()), reverse=True)
-    for old in marks[_KEPT_COMMITS:]:
-        delete(spark, f"{base}/{COMMITS}/{old}")
-        delete(spark, f"{base}/{_BEGUN}/{old}")
-
-
 def ingest_files(spark: SparkSession, in_path: str, root: str, batch_id: int, *, replace: bool = False) -> None:
     """One bounded batch without a stream.
 
-    A number up to the last committed batch is refused unless ``replace`` says that its rows are to go.
+    A number up to the last committed batch is refused unless ``replace`` says that its rows are to go, and so is one
+    that leaves out a batch.
     """
     last = committed_batch(spark, root)
     if last is not None and batch_id <= last:
         if not replace:
-            raise ValueError(f"batch {batch_id} may be there already: pass {last + 1} or more, or replace=True")
+            raise ValueError(f"batch {batch_id} may be there already: pass {last + 1}, or replace=True")
         drop_batch(spark, root, batch_id)
     flush_batch(read_envelopes(spark, in_path), root, batch_id)
 
@@ -112,15 +107,17 @@ def start_ingest(
     """Start ingestion; ``interval=None`` works off what is there and stops.
 
     Batches are numbered from ``first_batch``. A new checkpoint over a table that already has batches would
-    overwrite them, so that is refused.
+    overwrite them or leave some out, so it has to start with the next one. Starting makes this the table's only writer:
+    an earlier one that is still alive fails at its next batch.
     """
     last = committed_batch(spark, root)
-    if not child_names(spark, f"{checkpoint.rstrip('/')}/offsets") and last is not None and last >= first_batch:
-        raise ValueError(f"new checkpoint over an existing table: pass first_batch={last + 1} or more")
+    if not child_names(spark, f"{checkpoint.rstrip('/')}/offsets") and last is not None and last + 1 != first_batch:
+        raise ValueError(f"new checkpoint over an existing table: pass first_batch={last + 1}")
+    writer = claim_writer(spark, root)
     trigger = {"availableNow": True} if interval is None else {"processingTime": interval}
 
     def flush(batch: DataFrame, number: int) -> None:
-        flush_batch(number_envelopes(batch), root, first_batch + number)
+        flush_batch(number_envelopes(batch), root, first_batch + number, writer)
 
     return (
         stream_envelopes(spark, in_path, max_files)

@@ -12,7 +12,7 @@ from emberlog.operators.search import search_logs
 from emberlog.plans import storage
 from emberlog.plans.recent_search import search_days
 from emberlog.plans.retention import list_log_days
-from emberlog.plans.storage import append_logs, append_rejected, append_rollup, compact_day, compact_rollup
+from emberlog.plans.storage import append_logs, append_rejected, append_rollup, compact_day, compact_rollup, vacuum_table
 from emberlog.sources.files import child_names
 from emberlog.sources.tables import read_logs, read_rejected, read_rollup
 
@@ -83,18 +83,21 @@ def test_compact_day(spark, table, batches):
     before = contents(spark, table)
     compact_day(spark, table, date(2026, 8, 2), 1)
     assert contents(spark, table) == before
+    vacuum_table(spark, table, 0)
+    assert contents(spark, table) == before
     assert sorted(child_names(spark, f"{table}/event_date=2026-08-02")) == ["batch_id=-2", "batch_id=2"]
     assert sorted(child_names(spark, f"{table}/event_date=2026-08-03")) == ["batch_id=0", "batch_id=1", "batch_id=2"]
     # Again with a later batch, and once more with nothing new.
     compact_day(spark, table, date(2026, 8, 2), 2)
     compact_day(spark, table, date(2026, 8, 2), 2)
     assert contents(spark, table) == before
+    vacuum_table(spark, table, 0)
     assert child_names(spark, f"{table}/event_date=2026-08-02") == ["batch_id=-3"]
     append_logs(batches[0].withColumn("message", F.lit("late")), table, 3)
     assert contents(spark, table).count("late") == 30
 
 
-@pytest.mark.parametrize("step", ["_publish", "_drop_replaced"])
+@pytest.mark.parametrize("step", ["_publish", "vacuum_table"])
 def test_compaction_that_fails_half_way(spark, table, monkeypatch, step):
     before = contents(spark, table)
 
@@ -108,6 +111,7 @@ def test_compaction_that_fails_half_way(spark, table, monkeypatch, step):
     assert contents(spark, table) == before
     compact_day(spark, table, date(2026, 8, 2), 1)
     assert contents(spark, table) == before
+    vacuum_table(spark, table, 0)
     assert sorted(child_names(spark, f"{table}/event_date=2026-08-02")) == ["batch_id=-2", "batch_id=2"]
 
 
