@@ -25,13 +25,24 @@ from emberlog.operators.aggregate import (
 )
 from emberlog.operators.filters import apply_filters
 from emberlog.operators.identity import assign_ids
-from emberlog.operators.paging import log_page, number_pages
+from emberlog.operators.paging import log_page, number_pages, page_bounds
 from emberlog.operators.search import format_logs, search_logs
 from emberlog.operators.validate import check_entries, summarise, validate_entries
 from emberlog.plans.auto_aggregate import aggregate_auto, aggregate_table
 from emberlog.plans.recent_search import search_days
-from emberlog.plans.retention import expired_days, list_log_days, run_retention
-from emberlog.plans.storage import append_logs, append_rollup, compact_day, compact_rollup, vacuum_table, with_event_date
+from emberlog.plans.retention import expire_ingested, expired_days, list_log_days, run_retention
+from emberlog.plans.storage import (
+    append_logs,
+    append_rejected,
+    append_rollup,
+    append_summary,
+    compact_day,
+    compact_rejected,
+    compact_rollup,
+    compact_summary,
+    vacuum_table,
+    with_event_date,
+)
 from emberlog.plans.table_search import search_table, walk_table
 from emberlog.session import prepare, scratch_path
 from emberlog.sources.commits import commit
@@ -318,6 +329,50 @@ def _late(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _naive(aggregate_table(spark, root, SINCE, UNTIL, "1m", group_by="level"))
 
 
+def _verdicts(spark: SparkSession, sf_dir: str) -> str:
+    """Rejections and summaries in three batches, received when the first event of their envelope happened."""
+    root = scratch_path(spark, "verdicts")
+    starts = events_as_logs(spark, sf_dir).groupBy(F.expr("id div 100").alias("envelope_id")).agg(F.min("timestamp").alias("received_at"))
+    checked = check_entries(_entries(spark, sf_dir)).select("envelope_id", "index", "reason").join(starts, "envelope_id")
+    checked = checked.withColumn("file_path", F.concat(F.lit("file-"), F.expr("envelope_id div 10").cast("string")))
+    for batch in range(3):
+        part = checked.where(F.col("envelope_id") % 3 == batch)
+        append_rejected(part.where("reason IS NOT NULL"), f"{root}/rejected", batch)
+        append_summary(summarise(part, "file_path", "received_at"), f"{root}/summary", batch)
+    return root
+
+
+def _rejected_of(spark: SparkSession, root: str) -> DataFrame:
+    rejected = read_rejected(spark, f"{root}/rejected", origin=True)
+    return rejected.groupBy("ingest_date", "batch_id", "file_path").agg(F.count("*").alias("count"))
+
+
+def _compacted_rejected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    root = _verdicts(spark, sf_dir)
+    compact_rejected(spark, f"{root}/rejected", date(2024, 1, 1), 1)
+    vacuum_table(spark, f"{root}/rejected", 0)
+    return _rejected_of(spark, root)
+
+
+def _compacted_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    root = _verdicts(spark, sf_dir)
+    compact_summary(spark, f"{root}/summary", date(2024, 1, 1), 2)
+    vacuum_table(spark, f"{root}/summary", 0)
+    summary = read_summary(spark, f"{root}/summary", origin=True)
+    return summary.groupBy("ingest_date", "status").agg(
+        F.count("*").alias("envelopes"),
+        F.sum("accepted").cast("long").alias("accepted"),
+        F.sum(F.size("rejected")).cast("long").alias("rejected"),
+        F.count_distinct("file_path").alias("files"),
+    )
+
+
+def _expired_rejected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    root = _verdicts(spark, sf_dir)
+    expire_ingested(spark, f"{root}/rejected", 0, date(2024, 1, 2))
+    return _rejected_of(spark, root)
+
+
 def _stream_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A backlog worked off file by file: several micro-batches, each with a part of the rows, none lost."""
     root = scratch_path(spark, "batches")
@@ -475,6 +530,7 @@ def core_queries() -> dict[str, Query]:
         "filter_documents": _documents_matching,
         "page_numbers": _over_logs(lambda logs: number_pages(logs, 100)),
         "page_next_cursor": _page,
+        "page_walk": _over_logs(lambda logs: page_bounds(logs, 100, level="info")),
         "cursor_encode": _over_logs(
             lambda logs: logs.select("id", encode_cursor(F.col("timestamp"), F.col("id")).alias("token"))
         ),
@@ -537,6 +593,9 @@ def core_queries() -> dict[str, Query]:
         "stream_summary": _stream_summary,
         "stream_aggregate": _stream_aggregate,
         "stream_live_rollup": _live_rollup,
+        "compact_rejected": _compacted_rejected,
+        "compact_summary": _compacted_summary,
+        "expired_rejected": _expired_rejected,
         "stream_batches": _stream_batches,
         "replayed_batch": _replayed,
         "late_batch": _late,
@@ -588,6 +647,15 @@ _CHECKED = (
 )
 
 
+_VERDICTS = (
+    _CHECKED
+    + """, verdicts AS (
+  SELECT envelope_id, index, reason, envelope_id % 3 AS batch_id, concat('file-', CAST(envelope_id // 10 AS VARCHAR)) AS file_path,
+         CAST(min(logs."timestamp") OVER (PARTITION BY envelope_id) AS DATE) AS ingest_date
+  FROM checked JOIN logs USING (id))"""
+)
+
+
 def _search_sql(condition: str = "TRUE", limit: int = 100) -> str:
     return f"{_LOGS} SELECT {_SIX} FROM logs WHERE {condition} {_NEWEST} LIMIT {limit}"
 
@@ -646,6 +714,9 @@ FROM (SELECT * FROM logs {_NEWEST} LIMIT 1000)""",
 WHERE service = 'svc-5' AND level = 'warn' AND "timestamp" < {UNTIL_SQL}""",
         "filter_documents": "SELECT doc_id, lang FROM documents WHERE text ILIKE '%the%data%'",
         "page_numbers": f"""{_LOGS} SELECT (row_number() OVER ({_NEWEST}) - 1) // 100 + 1 AS page_no, {_SIX} FROM logs""",
+        "page_walk": f"""{_LOGS}, found AS (SELECT *, row_number() OVER ({_NEWEST}) AS place FROM logs WHERE level = 'info')
+SELECT (place - 1) // 100 + 1 AS page_no, count(*) AS count, max("timestamp") AS newest, arg_min(id, place) AS newest_id,
+  min("timestamp") AS oldest, arg_max(id, place) AS oldest_id FROM found GROUP BY (place - 1) // 100""",
         "page_next_cursor": f"""{_LOGS}, page AS (SELECT * FROM logs WHERE level = 'error' {_NEWEST} LIMIT 50)
 SELECT {_SIX}, (SELECT {_TOKEN} FROM page ORDER BY "timestamp", id LIMIT 1) AS next_cursor FROM page""",
         "cursor_encode": f"{_LOGS} SELECT id, {_TOKEN} AS token FROM logs",
@@ -734,6 +805,13 @@ SELECT CASE WHEN a > 0 THEN 200 ELSE 400 END AS status, count(*) AS envelopes, C
   CAST(sum(r) AS BIGINT) AS rejected FROM envelopes GROUP BY 1""",
         "stream_aggregate": _aggregate_sql("1 minute", f"{_RANGE} AND reason IS NULL", "service", "checked", _CHECKED),
         "stream_live_rollup": _MINUTES_SQL,
+        "compact_rejected": f"{_VERDICTS} SELECT ingest_date, batch_id, file_path, count(*) AS count FROM verdicts WHERE reason IS NOT NULL GROUP BY 1, 2, 3",
+        "compact_summary": f"""{_VERDICTS}, envelopes AS (SELECT ingest_date, file_path, envelope_id,
+  count(*) FILTER (WHERE reason IS NULL) AS a, count(*) FILTER (WHERE reason IS NOT NULL) AS r FROM verdicts GROUP BY 1, 2, 3)
+SELECT ingest_date, CASE WHEN a > 0 THEN 200 ELSE 400 END AS status, count(*) AS envelopes, CAST(sum(a) AS BIGINT) AS accepted,
+  CAST(sum(r) AS BIGINT) AS rejected, count(DISTINCT file_path) AS files FROM envelopes GROUP BY 1, 2""",
+        "expired_rejected": f"""{_VERDICTS} SELECT ingest_date, batch_id, file_path, count(*) AS count FROM verdicts
+WHERE reason IS NOT NULL AND ingest_date >= DATE '2024-01-02' GROUP BY 1, 2, 3""",
         "stream_batches": f"""{_CHECKED} SELECT count(*) AS count, count(*) AS ids, TRUE AS several, TRUE AS spread
 FROM checked WHERE reason IS NULL""",
         "replayed_batch": f"""{_CHECKED} SELECT service, level, count(*) AS count, count(*) AS ids, count(*) AS rollup

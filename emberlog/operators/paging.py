@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Mapping
 from dataclasses import dataclass
+from datetime import datetime
+from functools import reduce
+from operator import and_
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from emberlog.fixed_values import DEFAULT_LIMIT
+from emberlog.fixed_values import DEFAULT_LIMIT, MAX_LIMIT
 from emberlog.functions.cursors import encode_cursor
+from emberlog.functions.timestamps import event_date, instant_literal
 from emberlog.operators.filters import apply_filters, check_limit
 from emberlog.operators.identity import dense_index
 from emberlog.operators.search import newest_first
@@ -54,6 +58,39 @@ def iter_pages(df: DataFrame, *, limit: int = DEFAULT_LIMIT, **filters) -> Itera
             return
 
 
+def page_bounds(df: DataFrame, page_size: int = DEFAULT_LIMIT, **filters) -> DataFrame:
+    """``(page_no, count, newest, newest_id, oldest, oldest_id)`` of every page of the walk, from one ranged count.
+
+    Only the sort keys are read and put in order. The keys at either end of a page delimit it, so that pages can be read
+    independently, each from the days it is on: ``page_rows`` does that.
+    """
+    size = check_limit(page_size)
+    keys = apply_filters(df, **filters).select("timestamp", "id")
+    indexed = dense_index(keys, [F.desc("timestamp"), F.desc("id")], "_index")
+    page, place = F.expr(f"_index div {size} + 1").alias("page_no"), F.struct("timestamp", "id")
+    bounds = indexed.groupBy(page).agg(F.count("*").alias("count"), F.max(place).alias("newest"), F.min(place).alias("oldest"))
+    return bounds.select(
+        "page_no", "count",
+        F.col("newest.timestamp").alias("newest"), F.col("newest.id").alias("newest_id"),
+        F.col("oldest.timestamp").alias("oldest"), F.col("oldest.id").alias("oldest_id"),
+    )
+
+
+def page_rows(df: DataFrame, newest: tuple[datetime, int], oldest: tuple[datetime, int], **filters) -> DataFrame:
+    """The rows of a page between two keys, both included, newest first. At most a page, so this sorts little."""
+    matching = apply_filters(df, **filters)
+    upper, lower = instant_literal(newest[0]), instant_literal(oldest[0])
+    place = F.struct("timestamp", "id")
+    inside = [
+        F.col("timestamp").between(lower, upper),
+        place <= F.struct(upper.alias("timestamp"), F.lit(newest[1]).cast("long").alias("id")),
+        place >= F.struct(lower.alias("timestamp"), F.lit(oldest[1]).cast("long").alias("id")),
+    ]
+    if "event_date" in df.columns:
+        inside.append(F.col("event_date").between(event_date(lower), event_date(upper)))
+    return newest_first(matching.where(reduce(and_, inside)), MAX_LIMIT)
+
+
 def number_pages(df: DataFrame, page_size: int = DEFAULT_LIMIT, **filters) -> DataFrame:
     """Every matching row with its 1-based ``page_no``: the whole page walk as one distributed job."""
     size = check_limit(page_size)

@@ -131,14 +131,14 @@ def ingest_summary(accepted: DataFrame, rejected: DataFrame) -> DataFrame:
     return summarise(verdicts)
 
 
-def summarise(verdicts: DataFrame) -> DataFrame:
-    """:func:`ingest_summary` over ``(envelope_id, index, reason)``.
+def summarise(verdicts: DataFrame, *carried: str) -> DataFrame:
+    """:func:`ingest_summary` over ``(envelope_id, index, reason)``; ``carried`` columns are those of the whole envelope.
 
     The list per envelope is never longer than the one document it came from. Entries of an envelope sit in one
     task, so the partial aggregate already leaves a single row per envelope to shuffle.
     """
     issue = F.when(F.col("reason").isNotNull() & F.col("index").isNotNull(), F.struct("index", "reason"))
-    return verdicts.groupBy("envelope_id").agg(
+    return verdicts.groupBy("envelope_id", *carried).agg(
         F.count_if(F.col("reason").isNull()).alias("accepted"),
         F.array_sort(F.collect_list(issue)).alias("rejected"),
         F.when(F.count_if(F.col("reason").isNull()) > 0, F.lit(200)).otherwise(F.lit(400)).alias("status"),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping
 from datetime import date, datetime, timedelta
 from functools import reduce
-from operator import and_
+from operator import and_, or_
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,7 +18,7 @@ from emberlog.operators.aggregate import (
     group_column,
     rollup_predicates,
 )
-from emberlog.operators.filters import predicates
+from emberlog.operators.filters import Filters, predicates, time_predicates
 from emberlog.sources.tables import committed_batch, read_logs, read_rollup
 
 _MINUTE = timedelta(minutes=1)
@@ -70,16 +70,16 @@ def aggregate_auto(
             amount.alias("amount"),
         )
 
-    def edge(lower: datetime, upper: datetime) -> DataFrame:
-        part = check_aggregate(lower, upper, bucket, group_by, service=service, level=level)
-        return keyed(logs.where(reduce(and_, predicates(logs, part))), "timestamp", F.lit(1).cast("long"))
-
     interior = rollup.where(reduce(and_, rollup_predicates(rollup, start, end, checked)))
     pieces = [keyed(interior, "bucket_start", F.col("count"))]
-    if checked.since < start:
-        pieces.append(edge(checked.since, start))
-    if end < checked.until:
-        pieces.append(edge(end, checked.until))
+    edges = [(lower, upper) for lower, upper in ((checked.since, start), (end, checked.until)) if lower < upper]
+    if edges:
+        # One scan for both: the days of either, then the instants of either.
+        inside = reduce(or_, (reduce(and_, time_predicates(logs, lower, upper)) for lower, upper in edges))
+        others = predicates(logs, Filters(service=checked.service, level=checked.level))
+        if "event_date" in logs.columns:
+            others.append(F.col("event_date").isin({day for lower, upper in edges for day in (lower.date(), upper.date())}))
+        pieces.append(keyed(logs.where(reduce(and_, [*others, inside])), "timestamp", F.lit(1).cast("long")))
     return count_by(reduce(DataFrame.unionByName, pieces), group_by, F.sum("amount"))
 
 

@@ -15,7 +15,7 @@ from emberlog.session import prepare
 from emberlog.sources.files import delete
 from emberlog.sources.manifest import publish
 from emberlog.sources.skipping import skip_path
-from emberlog.sources.tables import covered_bounds, stored_days
+from emberlog.sources.tables import EVENT_DAY, INGEST_DAY, covered_bounds, stored_days
 
 
 @dataclass(frozen=True)
@@ -80,16 +80,26 @@ def run_retention(
     return RetentionResult(number, dropped)
 
 
-def _drop_days(spark: SparkSession, path: str, retention_days: int, today: date | None) -> list[date]:
+def expire_ingested(
+    spark: SparkSession, path: str, retention_days: int | None = None, today: date | None = None
+) -> RetentionResult:
+    """Drop the days on which rejections or summaries were received that are older than the retention period."""
+    number = retention_setting(retention_days)
+    return RetentionResult(number, _drop_days(spark, path, number, today, INGEST_DAY))
+
+
+def _drop_days(
+    spark: SparkSession, path: str, retention_days: int, today: date | None, column: str = EVENT_DAY
+) -> list[date]:
     """By the names of the folders: one listing and one call per expired day, no job."""
     cutoff, base = cutoff_date(retention_days, today), path.rstrip("/")
-    days = [day for day in stored_days(spark, path) if day < cutoff]
+    days = [day for day in stored_days(spark, path, column) if day < cutoff]
     for day in days:
         for folder in (base, skip_path(base)):
-            delete(spark, f"{folder}/event_date={day.isoformat()}")
+            delete(spark, f"{folder}/{column}={day.isoformat()}")
     names = {day.isoformat() for day in days}
     if names & covered_bounds(spark, path).keys():
-        publish(spark, path, lambda now, at: replace(now, covered={d: n for d, n in now.covered.items() if d not in names}))
+        publish(spark, path, lambda now, at: replace(now, covered={d: ends for d, ends in now.covered.items() if d not in names}))
     return days
 
 

@@ -1,40 +1,49 @@
 """Sinks, table layout and compaction.
 
 Every sink overwrites the partitions of its batch; :func:`drop_batch` removes what an earlier attempt at it left.
-Compaction only moves forward: a day covered up to a batch takes no batch up to it any more and no lower bound. What it
-replaces is retired, not deleted, so readers that are under way keep their files until :func:`vacuum_table`.
+Compaction is tiered: new batches of a day become a segment, together with the last segments as long as these are not
+much larger, so that a row is rewritten a logarithmic number of times and not at every compaction. It only moves forward:
+a day covered up to a batch takes no batch up to it any more and no lower bound. What it replaces is retired, not deleted, so readers that are under way keep their files until :func:`vacuum_table`.
 """
 
 from __future__ import annotations
 
+import json
 import re
 import time
 from collections.abc import Iterable
 from dataclasses import replace
 from datetime import date
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from emberlog.functions.timestamps import event_date
 from emberlog.operators.aggregate import merge_rollup
 from emberlog.plans.skip_index import index_files
-from emberlog.schema import LOG_TABLE_SCHEMA, ROLLUP_TABLE_SCHEMA
+from emberlog.schema import LOG_TABLE_SCHEMA, REJECTED_TABLE_SCHEMA, ROLLUP_TABLE_SCHEMA, SUMMARY_TABLE_SCHEMA
 from emberlog.sources.commits import committed_batch
-from emberlog.sources.files import child_names, delete
+from emberlog.sources.files import bytes_below, child_names, delete
 from emberlog.sources.manifest import Manifest, generation_path, generations, publish, read_manifest
 from emberlog.sources.skipping import skip_path
 from emberlog.sources.tables import (
+    EVENT_DAY,
+    INGEST_DAY,
     compacted_batch,
     covered_bounds,
     day_folders,
     read_logs,
+    read_rejected,
     read_rollup,
+    read_summary,
     stored_days,
 )
 
 #: Compacted log files aim at this many bytes.
 TARGET_FILE_BYTES = 128 << 20
+#: A segment is merged with what follows it if it has at most so many times the bytes.
+FANOUT = 4
 #: How long replaced folders stay for readers that are under way.
 GRACE_SECONDS = 3600.0
 
@@ -76,6 +85,9 @@ def drop_batch(spark: SparkSession, root: str, batch_id: int) -> None:
             if name.startswith("event_date="):
                 delete(spark, f"{base}/{table}/{name}/batch_id={batch_id}")
     for table in ("rejected", "summary"):
+        for name in child_names(spark, f"{base}/{table}"):
+            if name.startswith("ingest_date="):
+                delete(spark, f"{base}/{table}/{name}/batch_id={batch_id}")
         delete(spark, f"{base}/{table}/batch_id={batch_id}")
 
 
@@ -106,34 +118,80 @@ def append_rollup(counts: DataFrame, path: str, batch_id: int) -> None:
     _write(ordered, path, "event_date", "batch_id")
 
 
+def _with_origin(df: DataFrame, schema: StructType, batch_id: int) -> DataFrame:
+    """Add the file, the day of ingestion and the batch, from ``file_path`` and ``received_at`` where the rows have them."""
+    path = F.col("file_path") if "file_path" in df.columns else F.lit(None).cast("string")
+    received = F.col("received_at") if "received_at" in df.columns else F.current_timestamp()
+    rows = df.withColumn("file_path", path).withColumn("ingest_date", event_date(received))
+    return _stamp(rows.withColumn("source_batch", F.lit(batch_id).cast("long")), batch_id).select(*schema.names)
+
+
 def append_rejected(df: DataFrame, path: str, batch_id: int) -> None:
-    rows = _stamp(df.select("envelope_id", "index", "reason"), batch_id)
+    """Append rejected entries under the day they were received."""
+    _refuse_covered(df.sparkSession, path, batch_id)
     # By key rather than round robin, which would have to sort every task's rows first.
-    _write(rows.hint("rebalance", "envelope_id"), path, "batch_id")
+    rows = _with_origin(df, REJECTED_TABLE_SCHEMA, batch_id).hint("rebalance", "envelope_id")
+    _write(rows, path, "ingest_date", "batch_id")
 
 
 def append_summary(df: DataFrame, path: str, batch_id: int) -> None:
-    rows = _stamp(df.select("envelope_id", "accepted", "rejected", "status"), batch_id)
-    _write(rows, path, "batch_id")
-
-
-def _replaced(spark: SparkSession, path: str, day: date, upto: int) -> list[str]:
-    """The partition folders of a day that the compacted one stands in for, from the listing."""
-    folder = f"event_date={day.isoformat()}"
-    found = (_BATCH_FOLDER.fullmatch(name) for name in child_names(spark, f"{path.rstrip('/')}/{folder}"))
-    numbers = (int(match[1]) for match in found if match)
-    return [f"{folder}/batch_id={n}" for n in numbers if n <= upto and n != compacted_batch(upto)]
-
-
-def _publish(spark: SparkSession, path: str, days: Iterable[date], upto: int) -> None:
-    """Switch new readers over, after the compacted rows are complete, and retire what they replace."""
-    replaced = [folder for day in days for folder in _replaced(spark, path, day, upto)]
+    """Append envelope summaries under the day they were received."""
+    _refuse_covered(df.sparkSession, path, batch_id)
+    _write(_with_origin(df, SUMMARY_TABLE_SCHEMA, batch_id), path, "ingest_date", "batch_id")
+
+
+def _batches(spark: SparkSession, path: str, day: date, column: str = EVENT_DAY) -> list[int]:
+    """The numbers of a day's partition folders, from the listing."""
+    names = child_names(spark, f"{path.rstrip('/')}/{column}={day.isoformat()}")
+    return [int(found[1]) for found in map(_BATCH_FOLDER.fullmatch, names) if found]
+
+
+def _tiers(
+    spark: SparkSession, path: str, days: Iterable[date], upto: int, column: str = EVENT_DAY
+) -> dict[date, tuple[list[int], list[int]]]:
+    """For each of the days with batches that are not in a segment yet: the ends of the segments that stay, and of those
+    that are merged with the new batches, because they are not much larger than what follows them."""
+    covered, found = read_manifest(spark, path).covered, {}
+    for day in days:
+        kept, merged = list(covered.get(day.isoformat(), [])), []
+        fresh = [n for n in _batches(spark, path, day, column) if (kept[-1] if kept else -1) < n <= upto]
+        if not fresh:
+            continue
+
+        def size(batch: int, folder=f"{path.rstrip('/')}/{column}={day.isoformat()}") -> int:
+            return bytes_below(spark, f"{folder}/batch_id={batch}")
+
+        following = sum(map(size, fresh))
+        while kept and (last := size(compacted_batch(kept[-1]))) <= FANOUT * following:
+            merged.append(kept.pop())
+            following += last
+        found[day] = kept, merged
+    return found
+
+
+def _to_merge(tiers: dict[date, tuple[list[int], list[int]]], column: str = EVENT_DAY) -> Column:
+    """The rows of the new batches and of the segments that are merged with them."""
+    kept = F.from_json(F.lit(json.dumps({day.isoformat(): kept for day, (kept, _) in tiers.items()})), "map<string,array<bigint>>")
+    staying = F.try_element_at(kept, F.col(column).cast("string"))
+    return ~F.coalesce(F.array_contains(staying, -F.col("batch_id") - 1), F.lit(False))
+
+
+def _publish(
+    spark: SparkSession, path: str, tiers: dict[date, tuple[list[int], list[int]]], upto: int, column: str = EVENT_DAY
+) -> None:
+    """Switch new readers over, after the new segments are complete, and retire what they replace."""
+    replaced = []
+    for day, (kept, _) in tiers.items():
+        staying = {compacted_batch(end) for end in [*kept, upto]}
+        gone = (n for n in _batches(spark, path, day, column) if n <= upto and n not in staying)
+        replaced += [f"{column}={day.isoformat()}/batch_id={n}" for n in gone]
 
     def change(now: Manifest, at: float) -> Manifest:
-        for day in days:
-            if now.covered.get(day.isoformat(), -1) > upto:
-                raise RuntimeError(f"{day} was compacted up to a later batch meanwhile")
-        return replace(now, covered=now.covered | {day.isoformat(): upto for day in days}, retired=dict.fromkeys(replaced, at) | now.retired)
+        for day, (kept, merged) in tiers.items():
+            if now.covered.get(day.isoformat(), []) != [*kept, *reversed(merged)]:
+                raise RuntimeError(f"{day} was compacted by another job meanwhile")
+        segments = {day.isoformat(): [*kept, upto] for day, (kept, _) in tiers.items()}
+        return replace(now, covered=now.covered | segments, retired=dict.fromkeys(replaced, at) | now.retired)
 
     publish(spark, path, change)
 
@@ -182,7 +240,7 @@ def _refuse_uncommitted(spark: SparkSession, path: str, upto_batch: int) -> None
 
 
 def compact_day(spark: SparkSession, path: str, day: date, upto_batch: int) -> None:
-    """Merge the small files of one day, batches up to ``upto_batch``, into large ones sorted by instant.
+    """Merge the small files of one day, batches up to ``upto_batch``, into a segment of large ones sorted by instant.
 
     Only committed batches may be given. Readers keep seeing the originals until a new generation of the manifest names
     the merged partition, and those that planned before it keep their files after that too; a failure at any point
@@ -190,11 +248,14 @@ def compact_day(spark: SparkSession, path: str, day: date, upto_batch: int) -> N
     bound of a day only rises, and a lower or the same one only deletes what has been out of use for long enough.
     """
     _refuse_uncommitted(spark, path, upto_batch)
-    if upto_batch <= covered_bounds(spark, path).get(day.isoformat(), -1):
+    tiers = _tiers(spark, path, [day], upto_batch)
+    if not tiers:
         vacuum_table(spark, path)
         return
-    rows = read_logs(spark, path, upto_batch, [day])
-    size = table_files(spark, path, [day]).agg(F.sum("length")).first()[0] or 0
+    rows = read_logs(spark, path, upto_batch, [day]).where(_to_merge(tiers))
+    base, bound = f"{path.rstrip('/')}/event_date={day.isoformat()}", (tiers[day][0] or [-1])[-1]
+    merging = [n for n in _batches(spark, path, day) if bound < n <= upto_batch] + [compacted_batch(end) for end in tiers[day][1]]
+    size = sum(bytes_below(spark, f"{base}/batch_id={n}") for n in merging)
     parts = max(1, -(-size // TARGET_FILE_BYTES))
     # By instant and id, so neither a hot day nor a hot instant ends up in one task.
     merged = _stamp(rows.drop("batch_id"), compacted_batch(upto_batch)).select(*LOG_TABLE_SCHEMA.names)
@@ -203,23 +264,41 @@ def compact_day(spark: SparkSession, path: str, day: date, upto_batch: int) -> N
     )
     _write(ranged, path, "event_date", "batch_id")
     index_files(spark, path, [day], compacted_batch(upto_batch))
-    _publish(spark, path, [day], upto_batch)
+    _publish(spark, path, tiers, upto_batch)
     vacuum_table(spark, path)
 
 
-def compact_rollup(spark: SparkSession, path: str, upto_batch: int) -> None:
-    """Fold the deltas of all batches up to ``upto_batch`` into one row per key, on every day that got new ones."""
+def _compact_ingested(spark: SparkSession, path: str, day: date, upto_batch: int, read, schema: StructType) -> None:
+    """Merge the batches of one ingestion day; the rules of :func:`compact_day` hold."""
     _refuse_uncommitted(spark, path, upto_batch)
-    bounds = covered_bounds(spark, path)
-    days = [day for day in stored_days(spark, path) if _newest(spark, path, day, upto_batch) > bounds.get(day.isoformat(), -1)]
-    if days:
-        deltas = read_rollup(spark, path, upto_batch, days)
-        append_rollup(merge_rollup(deltas), path, compacted_batch(upto_batch))
-        _publish(spark, path, days, upto_batch)
+    tiers = _tiers(spark, path, [day], upto_batch, INGEST_DAY)
+    if tiers:
+        last = (tiers[day][0] or [-1])[-1]
+        rows = read(spark, path, [day], upto_batch, origin=True).withColumnRenamed("batch_id", "source_batch")
+        rows = rows.where(F.col("source_batch") > last)
+        merged = _stamp(rows, compacted_batch(upto_batch)).select(*schema.names)
+        ordered = merged.hint("rebalance", "source_batch", "envelope_id").sortWithinPartitions("source_batch", "envelope_id")
+        _write(ordered, path, INGEST_DAY, "batch_id")
+        _publish(spark, path, tiers, upto_batch, INGEST_DAY)
     vacuum_table(spark, path)
 
 
-def _newest(spark: SparkSession, path: str, day: date, upto: int) -> int:
-    """The last batch up to ``upto`` that has a folder on this day; -1 without one."""
-    found = (_BATCH_FOLDER.fullmatch(name) for name in child_names(spark, f"{path.rstrip('/')}/event_date={day.isoformat()}"))
-    return max((n for n in (int(match[1]) for match in found if match) if 0 <= n <= upto), default=-1)
+def compact_rejected(spark: SparkSession, path: str, day: date, upto_batch: int) -> None:
+    """Merge the small files of the rejections received on one day."""
+    _compact_ingested(spark, path, day, upto_batch, read_rejected, REJECTED_TABLE_SCHEMA)
+
+
+def compact_summary(spark: SparkSession, path: str, day: date, upto_batch: int) -> None:
+    """Merge the small files of the summaries of one day."""
+    _compact_ingested(spark, path, day, upto_batch, read_summary, SUMMARY_TABLE_SCHEMA)
+
+
+def compact_rollup(spark: SparkSession, path: str, upto_batch: int) -> None:
+    """Fold the deltas of the batches up to ``upto_batch`` into one row per key and segment, on every day that got new ones."""
+    _refuse_uncommitted(spark, path, upto_batch)
+    tiers = _tiers(spark, path, stored_days(spark, path), upto_batch)
+    if tiers:
+        deltas = read_rollup(spark, path, upto_batch, list(tiers)).where(_to_merge(tiers))
+        append_rollup(merge_rollup(deltas), path, compacted_batch(upto_batch))
+        _publish(spark, path, tiers, upto_batch)
+    vacuum_table(spark, path)

@@ -40,12 +40,21 @@ ROLLUP_TABLE_SCHEMA = T.StructType(
     ]
 )
 
+#: Of an entry or an envelope: where it came from, and when. The last two are partition columns; compaction changes the
+#: last one, so the batch is a column as well.
+_ORIGIN = [
+    T.StructField("file_path", T.StringType(), True),
+    T.StructField("source_batch", T.LongType(), False),
+    T.StructField("ingest_date", T.DateType(), False),
+    T.StructField("batch_id", T.LongType(), False),
+]
+
 REJECTED_TABLE_SCHEMA = T.StructType(
     [
         T.StructField("envelope_id", T.LongType(), False),
         T.StructField("index", T.IntegerType(), True),
         T.StructField("reason", T.StringType(), False),
-        T.StructField("batch_id", T.LongType(), False),
+        *_ORIGIN,
     ]
 )
 
@@ -66,6 +75,6 @@ SUMMARY_TABLE_SCHEMA = T.StructType(
             False,
         ),
         T.StructField("status", T.IntegerType(), False),
-        T.StructField("batch_id", T.LongType(), False),
+        *_ORIGIN,
     ]
 )

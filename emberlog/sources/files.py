@@ -34,6 +34,12 @@ def delete(spark: SparkSession, path: str) -> bool:
     return fs.delete(target, True)
 
 
+def bytes_below(spark: SparkSession, path: str) -> int:
+    """Total length of the files below ``path``; 0 if it does not exist."""
+    fs, target = _resolve(spark, path)
+    return fs.getContentSummary(target).getLength() if fs.exists(target) else 0
+
+
 def read_text(spark: SparkSession, path: str) -> str | None:
     """A small text file as a whole; ``None`` if it does not exist."""
     fs, target = _resolve(spark, path)

@@ -64,7 +64,7 @@ def flush_batch(envelopes: DataFrame, root: str, batch_id: int, writer: int | No
             lambda: append_logs(numbered.where(accepted), f"{base}/logs", batch_id),
             lambda: append_rollup(rollup_batch(kept.where(accepted)), f"{base}/rollup", batch_id),
             lambda: append_rejected(kept.where(rejected), f"{base}/rejected", batch_id),
-            lambda: append_summary(summarise(kept), f"{base}/summary", batch_id),
+            lambda: append_summary(summarise(kept, "file_path", "received_at"), f"{base}/summary", batch_id),
         )
         for old in commit(spark, base, batch_id, writer):
             delete(spark, f"{base}/{_BEGUN}/{old}")

@@ -11,8 +11,8 @@ from emberlog.operators.paging import log_page
 from emberlog.operators.search import search_logs
 from emberlog.plans import storage
 from emberlog.plans.recent_search import search_days
-from emberlog.plans.retention import list_log_days
-from emberlog.plans.storage import append_logs, append_rejected, append_rollup, compact_day, compact_rollup, vacuum_table
+from emberlog.plans.retention import expire_ingested, list_log_days
+from emberlog.plans.storage import append_logs, append_rejected, append_rollup, compact_day, compact_rejected, compact_rollup, vacuum_table
 from emberlog.sources.files import child_names
 from emberlog.sources.tables import read_logs, read_rejected, read_rollup
 
@@ -190,3 +190,55 @@ def test_compaction_only_moves_forward(spark, make_logs, tmp_path):
 def test_nothing_to_read_before_the_first_batch(spark, tmp_path):
     assert read_logs(spark, str(tmp_path / "none")).collect() == []
     assert read_rollup(spark, str(tmp_path / "none"), days=[date(2026, 8, 2)]).collect() == []
+
+
+def test_segments_grow_in_tiers(spark, make_logs, tmp_path):
+    """A compaction after each batch rewrites the large segment only now and then."""
+    path, rollup, day = str(tmp_path / "logs"), str(tmp_path / "rollup"), date(2026, 8, 2)
+    rewritten, expected = 0, 0
+    for batch in range(7):
+        rows = 4000 if batch == 0 else 20
+        logs = spark.range(rows).selectExpr(
+            f"id + {batch}L * 10000 AS id", "timestamp_micros(1785628800000000 + id * 1000003) AS timestamp", "'info' AS level",
+            "concat('s', id % 7) AS service", f"sha2(concat({batch}, '-', id), 256) AS message", "'{}' AS attributes",
+        ).withColumn("attr_text", F.create_map().cast("map<string,string>"))
+        expected += rows
+        append_logs(logs, path, batch)
+        append_rollup(rollup_batch(logs), rollup, batch)
+        before = {n for n in child_names(spark, f"{path}/event_date=2026-08-02") if n.startswith("batch_id=-")}
+        compact_day(spark, path, day, batch)
+        compact_rollup(spark, rollup, batch)
+        vacuum_table(spark, path, 0)
+        after = set(child_names(spark, f"{path}/event_date=2026-08-02"))
+        rewritten += "batch_id=-1" in before - after
+        assert all(name.startswith("batch_id=-") for name in after)
+        assert read_logs(spark, path).count() == expected == read_logs(spark, path).select("id").distinct().count()
+        assert merge_rollup(read_rollup(spark, rollup)).agg(F.sum("count")).first()[0] == expected
+    assert rewritten == 0 and 2 <= len(after) <= 4
+    # Rows from before a segment's end come too late, in whatever segment it is.
+    with pytest.raises(ValueError, match="too late"):
+        append_logs(logs, path, 3)
+
+
+def test_rejections_by_day(spark, tmp_path):
+    path = str(tmp_path / "rejected")
+    for batch in range(3):
+        rows = spark.createDataFrame(
+            [(e, 0, "invalid entry", f"f{e}", f"2026-08-0{1 + e % 2} 10:00:00") for e in range(4)],
+            "envelope_id long, index int, reason string, file_path string, received_at string",
+        ).withColumn("received_at", F.to_timestamp("received_at"))
+        append_rejected(rows, path, batch)
+    expected = row_set(read_rejected(spark, path, origin=True))
+    assert len(expected) == 12 and read_rejected(spark, path, [date(2026, 8, 1)]).count() == 6
+    compact_rejected(spark, path, date(2026, 8, 1), 1)
+    compact_rejected(spark, path, date(2026, 8, 1), 1)
+    assert row_set(read_rejected(spark, path, origin=True)) == expected
+    vacuum_table(spark, path, 0)
+    assert sorted(child_names(spark, f"{path}/ingest_date=2026-08-01")) == ["batch_id=-2", "batch_id=2"]
+    compact_rejected(spark, path, date(2026, 8, 1), 2)
+    assert row_set(read_rejected(spark, path, origin=True)) == expected
+    assert expire_ingested(spark, path, 5, date(2026, 8, 7)).dropped == [date(2026, 8, 1)]
+    assert row_set(read_rejected(spark, path, origin=True)) == {r for r in expected if r.ingest_date == date(2026, 8, 2)}
+    # Batches of the layout without days are still read.
+    spark.createDataFrame([(7, 1, "old")], "envelope_id long, index int, reason string").write.parquet(f"{path}/batch_id=9")
+    assert [tuple(r) for r in read_rejected(spark, path).where("batch_id = 9").collect()] == [(7, 1, "old", 9)]

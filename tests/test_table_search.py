@@ -207,17 +207,17 @@ def test_files_without_bitmaps_are_read(spark, root, make_logs):
 
 def test_only_one_writer_creates_a_generation(spark, tmp_path):
     path = str(tmp_path / "t")
-    publish(spark, path, lambda m, at: m.__class__(covered={"2026-08-01": 1}))
-    assert read_manifest(spark, path).covered == {"2026-08-01": 1} and read_manifest(spark, path, 0).covered == {}
+    publish(spark, path, lambda m, at: m.__class__(covered={"2026-08-01": [1]}))
+    assert read_manifest(spark, path).covered == {"2026-08-01": [1]} and read_manifest(spark, path, 0).covered == {}
     raced = []
 
     def change(now, at):
         if not raced:
-            raced.append(publish(spark, path, lambda m, at: m.__class__(covered=m.covered | {"2026-08-02": 1})))
-        return now.__class__(covered=now.covered | {"2026-08-03": 2})
+            raced.append(publish(spark, path, lambda m, at: m.__class__(covered=m.covered | {"2026-08-02": [1]})))
+        return now.__class__(covered=now.covered | {"2026-08-03": [1, 2]})
 
     publish(spark, path, change)
-    assert read_manifest(spark, path).covered == {"2026-08-01": 1, "2026-08-02": 1, "2026-08-03": 2}
+    assert read_manifest(spark, path).covered == {"2026-08-01": [1], "2026-08-02": [1], "2026-08-03": [1, 2]}
     assert read_manifest(spark, path, 99) is None
 
 
