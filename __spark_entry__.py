@@ -49,7 +49,7 @@ from emberlog.sources.commits import commit
 from emberlog.sources.envelopes import explode_envelopes, read_envelopes
 from emberlog.sources.events import events_as_entries, events_as_envelopes, events_as_logs, events_with_other_defects
 from emberlog.sources.tables import read_logs, read_rejected, read_rollup, read_summary
-from emberlog.streaming.ingest import flush_batch, start_ingest
+from emberlog.streaming.ingest import flush_batch, start_ingest, stop_ingest
 from emberlog.streaming.live_rollup import stream_rollup
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -374,10 +374,14 @@ def _expired_rejected(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _stream_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A backlog worked off file by file: several micro-batches, each with a part of the rows, none lost."""
-    root = scratch_path(spark, "batches")
-    source = _envelope_files(spark, sf_dir)
-    start_ingest(spark, source, root, scratch_path(spark, "offsets"), interval=None, max_files=1).awaitTermination()
+    """A backlog admitted by entries: several micro-batches, each with a part of the rows, none lost. After the first
+    half the limit goes by the size that its entries had."""
+    root, offsets = scratch_path(spark, "batches"), scratch_path(spark, "offsets")
+    source, rest = _envelope_files(spark, sf_dir, 0), _envelope_files(spark, sf_dir, 1)
+    limit = count_logs(events_as_logs(spark, sf_dir)).first()[0] // 10 + 1
+    start_ingest(spark, source, root, offsets, interval=None, max_entries=limit).awaitTermination()
+    spark.read.text(rest).repartition(6).write.mode("append").text(source)
+    start_ingest(spark, source, root, offsets, interval=None, max_entries=limit).awaitTermination()
     logs = read_logs(spark, f"{root}/logs")
     sizes = logs.groupBy("batch_id").agg(F.count("*").alias("count"), F.count_distinct("id").alias("ids"))
     return sizes.agg(
@@ -388,6 +392,15 @@ def _stream_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _drained(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a stream leaves that is stopped right after more envelopes came: everything."""
+    root, source = scratch_path(spark, "drained"), _envelope_files(spark, sf_dir, 0)
+    query = start_ingest(spark, source, root, scratch_path(spark, "offsets"))
+    spark.read.text(_envelope_files(spark, sf_dir, 1)).write.mode("append").text(source)
+    stop_ingest(query)
+    return read_logs(spark, f"{root}/logs").groupBy("level").agg(F.count("*").alias("count"))
+
+
 def _stream_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     logs = read_logs(spark, f"{_ingested(spark, sf_dir)}/logs")
     return _naive(logs.select("timestamp", "level", "service", "message", "attributes"))
@@ -597,6 +610,7 @@ def core_queries() -> dict[str, Query]:
         "compact_summary": _compacted_summary,
         "expired_rejected": _expired_rejected,
         "stream_batches": _stream_batches,
+        "stream_drained": _drained,
         "replayed_batch": _replayed,
         "late_batch": _late,
     }
@@ -814,6 +828,7 @@ SELECT ingest_date, CASE WHEN a > 0 THEN 200 ELSE 400 END AS status, count(*) AS
 WHERE reason IS NOT NULL AND ingest_date >= DATE '2024-01-02' GROUP BY 1, 2, 3""",
         "stream_batches": f"""{_CHECKED} SELECT count(*) AS count, count(*) AS ids, TRUE AS several, TRUE AS spread
 FROM checked WHERE reason IS NULL""",
+        "stream_drained": f"{_CHECKED} SELECT level, count(*) AS count FROM checked WHERE reason IS NULL GROUP BY 1",
         "replayed_batch": f"""{_CHECKED} SELECT service, level, count(*) AS count, count(*) AS ids, count(*) AS rollup
 FROM checked WHERE reason IS NULL GROUP BY 1, 2""",
         "late_batch": _aggregate_sql("1 minute", f"{_RANGE} AND reason IS NULL", "level", "checked", _CHECKED),

@@ -23,6 +23,7 @@ def _with_origin(text: DataFrame) -> DataFrame:
         F.col("_metadata.file_modification_time").alias("file_time"),
         F.col("_metadata.file_path").alias("file_path"),
         F.col("_metadata.file_block_start").alias("split_start"),
+        F.col("_metadata.file_size").alias("file_size"),
         F.current_timestamp().alias("received_at"),
         "value",
     )
@@ -43,16 +44,21 @@ BATCH_BYTES = 1 << 30
 
 
 def stream_envelopes(
-    spark: SparkSession, path: str, max_files: int | None = None, *, whole_files: bool = False
+    spark: SparkSession,
+    path: str,
+    max_files: int | None = None,
+    *,
+    max_bytes: int | None = None,
+    whole_files: bool = False,
 ) -> DataFrame:
     """Streaming form, numbered per micro-batch with :func:`number_envelopes`.
 
-    A micro-batch takes ``max_files`` files, or :data:`BATCH_BYTES` bytes of files if no number is given, one file at
-    least; the backlog waits in the source. ``received_at`` is fixed for a micro-batch and restored when it is replayed.
+    A micro-batch takes ``max_files`` files, or ``max_bytes`` bytes of files (:data:`BATCH_BYTES` if neither is given),
+    one file at least; the backlog waits in the source. ``received_at`` is fixed for a micro-batch and restored when it is replayed.
     """
     reader = prepare(spark).readStream
     if max_files is None:
-        reader = reader.option("maxBytesPerTrigger", BATCH_BYTES)
+        reader = reader.option("maxBytesPerTrigger", max_bytes or BATCH_BYTES)
     else:
         reader = reader.option("maxFilesPerTrigger", max_files)
     return _with_origin(reader.text(path, wholetext=whole_files))

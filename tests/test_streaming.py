@@ -9,6 +9,7 @@ from emberlog.operators.aggregate import aggregate_logs, merge_rollup, rollup_ba
 from emberlog.operators.identity import INDEX_BITS
 from emberlog.operators.validate import check_entries
 from emberlog.plans.auto_aggregate import aggregate_table
+from emberlog.sources.commits import last_measure
 from emberlog.sources.envelopes import explode_all, number_envelopes, read_envelopes, stream_envelopes
 from emberlog.sources.tables import committed_batch, read_logs, read_rejected, read_rollup, read_summary
 from emberlog.streaming import ingest
@@ -177,3 +178,19 @@ def test_live_rollup(spark, arriving, tmp_path):
     query.awaitTermination()
     batch = check_entries(explode_all(number_envelopes(read_envelopes(spark, folder).drop("envelope_id"))), F.current_timestamp())
     assert row_set(spark.table("live_counts")) == row_set(rollup_batch(batch.where(F.col("reason").isNull())))
+
+
+def test_admission_by_entries(spark, arriving, tmp_path):
+    for n in range(8):
+        folder = arriving(entries(f"{n}-", 50))
+    root = run(spark, folder, tmp_path, max_entries=120)
+    first = read_logs(spark, f"{root}/logs").groupBy("batch_id").count().collect()
+    assert sum(r["count"] for r in first) == 400 and len(first) >= 2
+    size = last_measure(spark, root, ingest.ENTRY_BYTES)
+    assert 60 < size < 150
+    # From now on the limit goes by that size: two files of fifty are less than 120 entries, three are more.
+    for n in range(8, 16):
+        arriving(entries(f"{n}-", 50))
+    run(spark, folder, tmp_path, max_entries=120)
+    later = [r["count"] for r in read_logs(spark, f"{root}/logs").where(F.col("batch_id") >= len(first)).groupBy("batch_id").count().collect()]
+    assert sum(later) == 400 and max(later) <= 150 and len(later) >= 3
