@@ -21,6 +21,7 @@ import os
 import zlib
 from collections.abc import Iterator
 from itertools import chain
+from operator import itemgetter
 from unicodedata import is_normalized
 
 import numpy as np
@@ -80,16 +81,20 @@ class _Encoder:
         parts = [(t or "").replace("\n", " ").replace("\t", " ").split(" ") for t in texts]
         if len(self.known) > REMEMBERED:
             self.known.clear()
-        self._learn([w for w in set(chain.from_iterable(parts)) if w not in self.known])
-        find = self.known.__getitem__
-        end = END_ID.to_bytes(4, "little")
-        return [np.frombuffer(b"".join(map(find, part)) + end, dtype="<u4") for part in parts]
+        self._learn(set(chain.from_iterable(parts)).difference(self.known))
+        known, end = self.known, END_ID.to_bytes(4, "little")
+        known[""] = b""
+        # All words of a text in one lookup; the empty one makes them two at least, hence a tuple.
+        return [np.frombuffer(b"".join(itemgetter("", *part)(known)) + end, dtype="<u4") for part in parts]
 
-    def _learn(self, new: list[str]) -> None:
+    def _learn(self, new: set[str]) -> None:
         known, cut = self.known, []
         plain: set[str] = set()
         other: set[str] = set()
         for word in new:
+            if word.isalpha() and word.isascii() and word.islower():  # the commonest kind needs no cutting
+                plain.add(word)
+                continue
             head = word.rstrip(_TAIL)
             if head and head[-1].isalnum() and is_normalized("NFC", head[-1]):
                 small = head.lower() if head.isascii() and head.isalpha() else head
