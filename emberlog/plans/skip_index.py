@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from datetime import date
 
 import numpy as np
@@ -18,44 +18,48 @@ from emberlog.sources.tables import stored_days
 
 _PLACE = ["event_date", "batch_id", "file_path"]
 _BITMAPS = "event_date date, batch_id long, file_path string, block int, bitmap binary"
-_BITMAPS_ARROW = pa.schema(
-    [("event_date", pa.date32()), ("batch_id", pa.int64()), ("file_path", pa.string()), ("block", pa.int32()), ("bitmap", pa.binary())]
-)
-
 #: Files whose bitmaps a task holds before it hands them on.
 _MOST_FILES = 32
 
 
-def _trigram_bitmaps(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _bitmaps_of(places: Callable[[np.ndarray], np.ndarray], bits: int, width: int, most: int) -> Callable:
     """Bitmaps of the messages' trigrams by file; a task reads one or a few files, one after the other."""
-    held: dict[tuple, np.ndarray] = {}
-
-    def handed_on() -> Iterator[pa.RecordBatch]:
-        for place, bits in held.items():
-            packed = np.packbits(bits.reshape(-1, BITMAP), axis=1, bitorder="little")
-            used = np.flatnonzero(packed.any(axis=1))
-            columns = [pa.repeat(pa.scalar(x, f.type), len(used)) for x, f in zip(place, _BITMAPS_ARROW)]
-            bitmaps = pa.array([packed[i].tobytes() for i in used], pa.binary())
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(used.astype(np.int32)), bitmaps], schema=_BITMAPS_ARROW)
-        held.clear()
-
-    for batch in rows:
-        names = np.array(batch.column(2).to_pylist(), object)
-        for place in set(zip(*(batch.column(i).to_pylist() for i in range(3)))):
-            texts = batch.column(3).filter(pa.array(names == place[2])).to_pylist()
-            # The messages end to end, two zero bytes between them, so that no trigram of two messages is looked up.
-            bits = held.setdefault(place, np.zeros(TEXT_BITS, bool))
-            bits[trigram_places(np.frombuffer(b"\0\0".join(texts), np.uint8))] = True
-        if len(held) > _MOST_FILES:
-            yield from handed_on()
-    yield from handed_on()
+    schema = pa.schema(
+        [("event_date", pa.date32()), ("batch_id", pa.int64()), ("file_path", pa.string()), ("block", pa.int32()), ("bitmap", pa.binary())]
+    )
+
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple, np.ndarray] = {}
+
+        def handed_on() -> Iterator[pa.RecordBatch]:
+            for place, seen in held.items():
+                packed = np.packbits(seen.reshape(-1, width), axis=1, bitorder="little")
+                used = np.flatnonzero(packed.any(axis=1))
+                columns = [pa.repeat(pa.scalar(x, f.type), len(used)) for x, f in zip(place, schema)]
+                bitmaps = pa.array([packed[i].tobytes() for i in used], pa.binary())
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(used.astype(np.int32)), bitmaps], schema=schema)
+            held.clear()
+
+        for batch in rows:
+            names = np.array(batch.column(2).to_pylist(), object)
+            for place in set(zip(*(batch.column(i).to_pylist() for i in range(3)))):
+                texts = batch.column(3).filter(pa.array(names == place[2])).to_pylist()
+                # The messages end to end, two zero bytes between them, so that no trigram of two messages is looked up.
+                seen = held.setdefault(place, np.zeros(bits, bool))
+                seen[places(np.frombuffer(b"\0\0".join(texts), np.uint8))] = True
+            if len(held) > most:
+                yield from handed_on()
+        yield from handed_on()
+
+    return run
 
 
 def file_bitmaps(rows: DataFrame) -> DataFrame:
     """``(file_path, kind, block, bitmap, event_date, batch_id)`` of every file that ``rows``, a scan, reads."""
     placed = rows.select("event_date", "batch_id", F.col("_metadata.file_path").alias("file_path"), "message", "attr_text")
+    run = _bitmaps_of(trigram_places, TEXT_BITS, BITMAP, _MOST_FILES)
     files = placed.select(*_PLACE).distinct()
-    texts = placed.select(*_PLACE, F.lower("message").cast("binary").alias("text")).mapInArrow(_trigram_bitmaps, _BITMAPS)
+    texts = placed.select(*_PLACE, F.lower("message").cast("binary").alias("text")).mapInArrow(run, _BITMAPS)
     texts = texts.groupBy(*_PLACE, "block").agg(F.bitmap_or_agg("bitmap").alias("bitmap"))
     pairs = placed.select(*_PLACE, F.explode("attr_text"))
     places = pairs.select(*_PLACE, F.explode(F.array(*attribute_places(F.col("key"), F.col("value")))).alias("place")).distinct()

@@ -9,7 +9,7 @@ and never a row.
 from __future__ import annotations
 
 from collections import defaultdict
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 from datetime import date
 
 import numpy as np
@@ -35,13 +35,20 @@ def skip_path(path: str) -> str:
     return f"{path.rstrip('/')}/_skip"
 
 
-def trigram_places(text: np.ndarray) -> np.ndarray:
-    """The bit of every three bytes that follow each other."""
-    wide = text.astype(np.uint32)
-    if len(wide) < 3:
-        return wide[:0]
-    codes = (wide[:-2] << np.uint32(16)) | (wide[1:-1] << np.uint32(8)) | wide[2:]
-    return (codes * np.uint32(0x9E3779B1)) >> np.uint32(32 - TEXT_BITS.bit_length() + 1)
+def _trigrams(shift: int) -> Callable[[np.ndarray], np.ndarray]:
+    # Made in a function, like all that runs in Python workers, so that they need not find this package.
+    def places(text: np.ndarray) -> np.ndarray:
+        """The bit of every three bytes that follow each other."""
+        wide = text.astype(np.uint32)
+        if len(wide) < 3:
+            return wide[:0]
+        codes = (wide[:-2] << np.uint32(16)) | (wide[1:-1] << np.uint32(8)) | wide[2:]
+        return (codes * np.uint32(0x9E3779B1)) >> np.uint32(shift)
+
+    return places
+
+
+trigram_places = _trigrams(32 - TEXT_BITS.bit_length() + 1)
 
 
 def attribute_places(key: Column, value: Column) -> list[Column]:
