@@ -37,22 +37,33 @@ def _with(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), use)[0]
 
 
-def _decoded(pair: Column, end: str) -> Column:
-    """The token's struct from the parsed ``[token, end]``."""
-    whole = F.try_variant_get(pair, "$[1]", "string").eqNullSafe(F.lit(end)) & F.try_variant_get(pair, "$[2]", "variant").isNull()
-    body = F.try_variant_get(pair, "$[0]", "variant")
+#: The text of a token as :func:`encode_cursor` writes it, which needs no JSON parser.
+_WRITTEN = r'^\{"timestamp":"([^"\\]*)","id":"([^"\\]*)"(?:,"(?:batch|generation)":-?\d+)*\}\z'
 
-    def checked(found: Column) -> Column:
-        ts, row_id = found["ts"], found["id"]
-        with_seconds = F.regexp_replace(ts, r"T(\d{2}:\d{2})Z$", "T$1:00Z")
-        formed = found["whole"] & matches(ts, QUERY_TIMESTAMP_PATTERN) & matches(row_id, CURSOR_ID_PATTERN)
-        parsed = F.struct(F.try_to_timestamp(with_seconds).alias("timestamp"), row_id.try_cast("long").alias("id"))
-        return F.when(formed, _with(parsed, lambda p: F.when(p["timestamp"].isNotNull() & p["id"].isNotNull(), p)))
 
-    def member(name: str) -> Column:
-        return _with(field(body, name), lambda value: F.when(is_string(value), as_string(value)))
+def _members(text: Column) -> Column:
+    """The two members of a token's text, if it is one JSON object with nothing behind it and both are strings."""
+    # The parser ignores what follows a complete value, so the token must be the whole first of two elements.
+    end = uuid4().hex
+
+    def of(pair: Column) -> Column:
+        whole = F.try_variant_get(pair, "$[1]", "string").eqNullSafe(F.lit(end)) & F.try_variant_get(pair, "$[2]", "variant").isNull()
+        body = F.try_variant_get(pair, "$[0]", "variant")
+
+        def member(name: str) -> Column:
+            return _with(field(body, name), lambda value: F.when(is_string(value), as_string(value)))
+
+        return F.when(whole, F.struct(member("timestamp").alias("ts"), member("id").alias("id")))
 
-    return _with(F.struct(whole.alias("whole"), member("timestamp").alias("ts"), member("id").alias("id")), checked)
+    return _with(F.try_parse_json(F.concat(F.lit("["), text, F.lit(f',"{end}"]'))), of)
+
+
+def _checked(found: Column) -> Column:
+    ts, row_id = found["ts"], found["id"]
+    with_seconds = F.regexp_replace(ts, r"T(\d{2}:\d{2})Z$", "T$1:00Z")
+    parsed = F.struct(F.try_to_timestamp(with_seconds).alias("timestamp"), row_id.try_cast("long").alias("id"))
+    valid = _with(parsed, lambda p: F.when(p["timestamp"].isNotNull() & p["id"].isNotNull(), p))
+    return F.when(matches(ts, QUERY_TIMESTAMP_PATTERN) & matches(row_id, CURSOR_ID_PATTERN), valid)
 
 
 def decode_cursor(token: Column) -> Column:
@@ -65,11 +76,12 @@ def decode_cursor(token: Column) -> Column:
         padded = F.concat(plain, F.repeat(F.lit("="), F.pmod(-F.length(plain), F.lit(4))))
         return F.try_to_binary(padded, F.lit("base64"))
 
+    def members(text: Column) -> Column:
+        written = F.struct(F.regexp_extract(text, _WRITTEN, 1).alias("ts"), F.regexp_extract(text, _WRITTEN, 2).alias("id"))
+        return F.when(text.rlike(_WRITTEN), written).otherwise(_members(text))
+
     text = F.try_validate_utf8(_with(symbols, binary).cast("string"))
-    # The parser ignores what follows a complete value, so the token must be the whole first of two elements.
-    end = uuid4().hex
-    both = F.try_parse_json(F.concat(F.lit("["), text, F.lit(f',"{end}"]')))
-    return _with(both, lambda pair: _decoded(pair, end))
+    return _with(_with(text, members), _checked)
 
 
 def read_snapshot(token: str, names: Sequence[str]) -> dict[str, int] | None:

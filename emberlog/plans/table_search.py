@@ -7,6 +7,7 @@ without them, or whose generation is no longer kept, goes on with what is commit
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from datetime import date, datetime
 
@@ -22,7 +23,7 @@ from emberlog.schema import LOG_SCHEMA
 from emberlog.session import prepare
 from emberlog.sources.commits import committed_batch
 from emberlog.sources.manifest import read_manifest
-from emberlog.sources.skipping import excluded_files
+from emberlog.sources.skipping import files_without, probes
 from emberlog.sources.tables import read_logs, stored_days
 
 SNAPSHOT = ("batch", "generation")
@@ -59,8 +60,8 @@ def search_table(
 ) -> LogPage:
     """One page of the committed rows of the table below ``root``, and the cursor of the next.
 
-    Days are disjoint in time, so the newest days that hold ``limit + 1`` matches hold the page; the number of days per
-    step doubles. Only the folders of the days in a step are listed, of these only the files that may hold the text and
+    Days are disjoint in time, so the newest days that hold ``limit + 1`` matches hold the page. The first step reads one
+    day, later ones as many as the matches so far call for, or eight times as many if there were none. Only the folders of the days in a step are listed, of these only the files that may hold the text and
     the attributes are opened, and only the sort key and the filtered columns of these are read. Whole rows are read at
     the end, from the days the page is in.
     """
@@ -72,16 +73,15 @@ def search_table(
         logs = read_logs(spark, path, pinned["batch"], days, pinned["generation"], without)
         return apply_filters(logs, cursor=place, **filters)
 
-    def skipped(days: list[date]) -> list[str]:
-        return excluded_files(spark, path, days, checked.q, checked.attrs)
-
-    pending, step, missing = _days(spark, path, checked, place), 1, size + 1
+    wanted = probes(spark, checked.q, checked.attrs)
+    pending, step, missing, seen = _days(spark, path, checked, place), 1, size + 1, 0
     found_on: list[date] = []
     left_out: list[str] = []
     oldest = None
     while pending and missing > 0:
-        chunk, pending, step = pending[:step], pending[step:], step * 2
-        without = skipped(chunk)
+        chunk, pending = pending[:step], pending[step:]
+        seen += len(chunk)
+        without = files_without(spark, path, chunk, wanted)
         keys = matching(chunk, without).select(F.unix_micros("timestamp").alias("micros"), "id", "event_date")
         newest = keys.orderBy(F.desc("micros"), F.desc("id")).limit(missing).toArrow()
         if newest.num_rows:
@@ -89,6 +89,8 @@ def search_table(
             missing -= newest.num_rows
             found_on += sorted(set(newest.column("event_date").to_pylist()))
             left_out += without
+        found = size + 1 - missing
+        step = step * 8 if not found else max(1, math.ceil(1.5 * seen * missing / found))
     if oldest is None:
         return LogPage(spark.createDataFrame([], LOG_SCHEMA), None)
     bound = F.timestamp_micros(F.lit(oldest).cast("long"))

@@ -97,17 +97,28 @@ def _bit(place: int) -> Column:
     return byte.bitwiseAND(F.lit(1 << within % 8)) != 0
 
 
-def excluded_files(
-    spark: SparkSession, path: str, days: list[date] | None, q: str | None, attrs: Mapping[str, str]
-) -> list[str]:
-    """Paths of the indexed files (of these days) that no match can be in; at most as many as the scan would list.
+#: The bits a file needs, by kind and bitmap.
+Probes = Mapping[tuple[int, int], list[int]]
 
-    One job over the few bitmaps that hold a wanted bit, none if nothing can be looked up.
-    """
+
+def probes(spark: SparkSession, q: str | None, attrs: Mapping[str, str]) -> Probes:
+    """What a match of the pattern and the attributes needs; empty if nothing can be looked up."""
     wanted: dict[tuple[int, int], list[int]] = defaultdict(list)
     for kind, places in ((TEXT, text_probes(q) if q else set()), (ATTRIBUTE, attribute_probes(spark, attrs))):
         for place in places:
             wanted[kind, place // BITMAP].append(place)
+    return wanted
+
+
+def excluded_files(
+    spark: SparkSession, path: str, days: list[date] | None, q: str | None, attrs: Mapping[str, str]
+) -> list[str]:
+    """Paths of the indexed files (of these days) that no match can be in; at most as many as the scan would list."""
+    return files_without(spark, path, days, probes(spark, q, attrs))
+
+
+def files_without(spark: SparkSession, path: str, days: list[date] | None, wanted: Probes) -> list[str]:
+    """:func:`excluded_files` for probes made before: one job over the few bitmaps that may hold a wanted bit."""
     index = read_index(spark, path, days) if wanted else None
     if index is None:
         return []
