@@ -31,3 +31,16 @@ def smallest_in_component(edges: DataFrame, scratch: Scratch) -> DataFrame:
             scratch.spent(now)
             return found
         mark = seen
+
+
+def labels_nearby(edges: DataFrame, hops: int = 3) -> DataFrame:
+    """``(id, label)`` of every end of ``edges`` (u, v): the smallest id within ``hops`` edges and one.
+
+    Ids with one label are in one component; the converse need not hold. One job's work, where components take several.
+    """
+    both = edges.select("u", "v").union(edges.select("v", "u"))
+    label = both.groupBy("u").agg(F.min("v").alias("low")).select(F.col("u").alias("id"), F.least("u", "low").alias("label"))
+    for _ in range(hops):
+        beside = both.join(label.withColumnRenamed("id", "v"), "v")
+        label = beside.groupBy("u").agg(F.min("label").alias("label")).withColumnRenamed("u", "id")
+    return label

@@ -34,7 +34,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from emberlog.llm.common import WORD, packed, ready
+from emberlog.llm.common import WORD, Scratch, packed, ready
+from emberlog.llm.graph import labels_nearby, smallest_in_component
 from emberlog.session import materialise
 
 SHINGLE_WORDS = 5
@@ -49,6 +50,9 @@ LEVELS = 6
 WIDESPREAD_SHARE = 1 / 5_000
 MOST_WIDESPREAD = 1 << 18
 
+#: Rounds in which each set is compared with one drawn set per rare shingle, before all that are still apart.
+DRAWS = 3
+
 #: Cells of the feature counts that are compared before the texts.
 CELLS = 256
 
@@ -376,9 +380,9 @@ def _met(a: DataFrame, b: DataFrame, *, once: Column) -> DataFrame:
     ).distinct()
 
 
-def _star_pairs(early: DataFrame) -> DataFrame:
-    """Each set beside one, drawn by hash, of those that have a feature too."""
-    drawn = F.min_by(F.struct("key", "n", "part", "place"), F.struct(F.xxhash64("feature", "key", "n"), "key", "n"))
+def _star_pairs(early: DataFrame, draw: int) -> DataFrame:
+    """Each set beside one, drawn by hash and anew for each ``draw``, of those that have a feature too."""
+    drawn = F.min_by(F.struct("key", "n", "part", "place"), F.struct(F.xxhash64(F.lit(draw), "feature", "key", "n"), "key", "n"))
     hubs = early.groupBy("feature").agg(drawn.alias("hub"), F.min("part").alias("low"), F.max("part").alias("high"))
     return _met(early, hubs.filter("low < high").select("feature", "hub.*"), once=F.lit(True))
 
@@ -392,31 +396,6 @@ def _rare_pairs(early: DataFrame) -> DataFrame:
     return _met(early.filter("part <> usual"), early, once=once)
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """``(id, component)`` of every end of ``edges`` (u, v): the smallest id in its component.
-
-    Alternates two steps that hook every neighbour to the smallest id around; each is one aggregation and one join, and
-    the number of rounds grows with the logarithm of the longest path.
-    """
-    now = materialise(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
-    mark = None
-    while True:
-        both = now.union(now.select("v", "u"))
-        least = both.groupBy("u").agg(F.min("v").alias("low")).select("u", F.least("u", "low").alias("low"))
-        larger = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("low").alias("v"))
-        large = materialise(larger.filter("u <> v").distinct(), "edges")
-        down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-        low = down.groupBy("u").agg(F.min("v").alias("low"))
-        smaller = down.join(low, "u").select(F.col("v").alias("u"), F.col("low").alias("v")).union(low.select("u", "low"))
-        now = materialise(smaller.filter("u <> v").distinct(), "edges")
-        found = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if tuple(found) == mark:
-            return now.select(F.col("u").alias("id"), F.col("v").alias("component")).union(
-                now.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()
-            )
-        mark = tuple(found)
-
-
 def _named(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     """Links between sets as edges between their nodes."""
     ids = nodes.select("key", "n", "node")
@@ -431,6 +410,7 @@ def _linked(docs: DataFrame) -> DataFrame:
     ``place`` is the text's hash, ``part`` tells the components apart and ``component`` is the smallest doc_id in one.
     """
     spark = ready(docs.sparkSession)
+    scratch = Scratch(spark)
     plain = docs.select("doc_id", "text", F.xxhash64("text").alias("place"))
     profiles = materialise(plain.mapInArrow(_profiles, _PROFILE), "shingle-profiles")
     documents = profiles.filter(F.col("tag") == _DOCUMENT)
@@ -495,21 +475,27 @@ def _linked(docs: DataFrame) -> DataFrame:
     tested = _tested(first, nodes, texts)
 
     def labelled(linked: DataFrame) -> DataFrame:
-        """The component of every set."""
-        parts = materialise(components(_named(linked, nodes)), "components")
-        return nodes.join(parts, F.col("id") == F.col("node"), "left").select("key", "n", F.coalesce("component", "node").alias("part"))
+        """A name for every set, the same only within a component: it saves comparisons, so a near one will do."""
+        parts = scratch.write(labels_nearby(_named(linked, nodes)), "labels")
+        return nodes.join(parts, F.col("id") == F.col("node"), "left").select("key", "n", F.coalesce("label", "node").alias("part"))
 
     # Sets of groups whose members are still in different components meet once more, by their rarest shingles: each beside
-    # one set that has the shingle too, then whatever is in different components still.
+    # one set that has the shingle too, a few times with another one, then whatever is in different components still.
     split = groups.select("sig", "key", "n").join(labelled(tested), ["key", "n"])
     apart = split.groupBy("sig").agg(F.min("part").alias("low"), F.max("part").alias("high")).filter("low < high").select("sig")
     still = split.join(apart, "sig", "left_semi").select("key", "n", "part").distinct()
     early = _rare_features(materialise(still.join(texts, ["key", "n"]), "open-sets"))
-    stars = materialise(_star_pairs(early).join(first, pair, "left_anti"), "star-pairs")
-    tested = tested.union(_tested(stars, nodes, texts))
-    second = _rare_pairs(early.drop("part").join(labelled(tested), ["key", "n"])).join(first.union(stars), pair, "left_anti")
-    links = materialise(tested.union(_tested(second, nodes, texts)), "links")
-    parts = materialise(components(_named(links, nodes)), "components")
+    asked = first
+    for draw in range(DRAWS):
+        stars = materialise(_star_pairs(early, draw).join(asked, pair, "left_anti"), "star-pairs")
+        asked, tested = asked.union(stars), tested.union(_tested(stars, nodes, texts))
+        early = early.drop("part").join(labelled(tested), ["key", "n"])
+        # A shingle whose sets are all in one component asks for nothing more.
+        ends = early.groupBy("feature").agg(F.min("part").alias("low"), F.max("part").alias("high")).filter("low < high")
+        early = materialise(early.join(ends.select("feature"), "feature", "left_semi"), "rare-features")
+    second = _rare_pairs(early).join(asked, pair, "left_anti")
+    links = scratch.write(tested.union(_tested(second, nodes, texts)), "links")
+    parts = smallest_in_component(_named(links, nodes), scratch)
 
     labels = nodes.join(parts, F.col("id") == F.col("node"), "left").select("key", "n", "least_id", F.coalesce("component", "node").alias("part"))
     # Components have names of their own, as rows with one doc_id may have different texts, or no doc_id at all.
