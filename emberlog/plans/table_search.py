@@ -61,9 +61,10 @@ def search_table(
     """One page of the committed rows of the table below ``root``, and the cursor of the next.
 
     Days are disjoint in time, so the newest days that hold ``limit + 1`` matches hold the page. The first step reads one
-    day, later ones as many as the matches so far call for, or eight times as many if there were none. Only the folders of the days in a step are listed, of these only the files that may hold the text and
-    the attributes are opened, and only the sort key and the filtered columns of these are read. Whole rows are read at
-    the end, from the days the page is in.
+    day, later ones as many as the matches so far call for, or eight times as many if there were none. Only the folders
+    of the days in a step are listed, of these only the files that may hold the text and the attributes are opened, and
+    only the sort key and the filtered columns of these are read. Whole rows are read at the end, from the days the page
+    is in.
     """
     size, checked = check_limit(limit), check_filters(**filters)
     place = read_token(prepare(spark), cursor) if cursor is not None else None
