@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -77,6 +78,12 @@ class Scratch:
         self.paths[id(table)] = (table, path)
         return table
 
+    def free_shuffles(self) -> None:
+        """Let Spark delete the shuffle files of jobs that are over, whose tables are written: it does so when the driver
+        collects garbage, which on a large heap may take long after the disks are full."""
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
+
     def spent(self, *tables: DataFrame) -> None:
         """Nothing will read these tables again."""
         for table in tables:

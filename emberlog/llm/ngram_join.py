@@ -457,6 +457,9 @@ def _linked(docs: DataFrame) -> DataFrame:
         "signature-groups",
     )
 
+    del rows, near
+    scratch.free_shuffles()
+
     def pairs_with(key: str, n: str) -> DataFrame:
         other = groups.filter(F.col(n).isNotNull() & ~((F.col(key) == F.col("key")) & (F.col(n) == F.col("n"))))
         return other.filter(4 * F.col(n) >= 3 * F.col("n")).select(
@@ -493,6 +496,7 @@ def _linked(docs: DataFrame) -> DataFrame:
         # A shingle whose sets are all in one component asks for nothing more.
         ends = early.groupBy("feature").agg(F.min("part").alias("low"), F.max("part").alias("high")).filter("low < high")
         early = materialise(early.join(ends.select("feature"), "feature", "left_semi"), "rare-features")
+        scratch.free_shuffles()
     second = _rare_pairs(early).join(asked, pair, "left_anti")
     links = scratch.write(tested.union(_tested(second, nodes, texts)), "links")
     parts = smallest_in_component(_named(links, nodes), scratch)
