@@ -36,8 +36,7 @@ def page_from(found: pa.Table, limit: int, df: DataFrame) -> LogPage:
     """Drop the probe row; its presence alone says that more rows exist."""
     page = found.slice(0, limit)
     token = page.column("next_cursor")[limit - 1].as_py() if found.num_rows > limit else None
-    rows = df.sparkSession.createDataFrame(page.drop_columns(["next_cursor"]))
-    return LogPage(rows.select(*LOG_COLUMNS), token)
+    return LogPage(df.sparkSession.createDataFrame(page.select(list(LOG_COLUMNS))), token)
 
 
 def log_page(df: DataFrame, *, limit: int = DEFAULT_LIMIT, cursor: str | None = None, **filters) -> LogPage:
