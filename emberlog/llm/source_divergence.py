@@ -25,8 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from emberlog.llm.common import ready
-from emberlog.session import materialise
+from emberlog.llm.common import Scratch, ready
 
 #: Documents of the language that a kept term stands in at least, and rows of the term part per group; fixed values.
 LEAST_DOCUMENTS = 10
@@ -171,15 +170,20 @@ def divergence(docs: DataFrame) -> DataFrame:
 
     A distinct text carries a list of its sources, so that it needs memory by the number of sources, not of copies.
     """
-    ready(docs.sparkSession)
-    counts = materialise(term_counts(docs), "term-counts")
-    in_langs = materialise(kept_terms(counts), "kept-terms")
-    kept = materialise(counts.join(in_langs, ["lang", "term"]).select("lang", "source", "term", "held", "in_lang"), "kept-counts")
-    groups = materialise(group_totals(docs, kept, in_langs), "group-totals")
+    scratch = Scratch(ready(docs.sparkSession))
+    counts = scratch.write(term_counts(docs), "term-counts")
+    # The texts were shuffled for that: the most that lies on the disks.
+    scratch.free_shuffles()
+    in_langs = scratch.write(kept_terms(counts), "kept-terms")
+    kept = scratch.write(counts.join(in_langs, ["lang", "term"]).select("lang", "source", "term", "held", "in_lang"), "kept-counts")
+    scratch.spent(counts)
+    groups = scratch.write(group_totals(docs, kept, in_langs), "group-totals")
     langs = in_langs.groupBy("lang").agg((F.sum("in_lang") + ADDED * F.count("*")).alias("lang_total"))
     cells = kept.join(groups, ["lang", "source"]).join(langs, "lang")
     cells = cells.withColumn("p", _share("held", "total")).withColumn("q", _share("in_lang", "lang_total"))
-    cells = materialise(cells.select("lang", "source", "term", "p", "p0", "q"), "term-shares")
+    cells = scratch.write(cells.select("lang", "source", "term", "p", "p0", "q"), "term-shares")
+    scratch.spent(kept, in_langs)
+    scratch.free_shuffles()
 
     order = Window.partitionBy("lang", "source").orderBy(F.desc("value"), F.asc("item"))
     columns = ["lang", "source", "part", "item", "value", "rank"]
