@@ -16,6 +16,10 @@ components, a node with one component is done, and only members of different com
 So thousands of near copies cost a few comparisons a member and not all pairs, while every link that joins two
 components is looked for by the same rule.
 
+*What stays crowded.* A node that is large and in several components after ``DEPTH`` tokens may part the members of a
+link in all trees, or be large to the end. Its sets meet once more by their rarest shingles, which misses no link between
+them: each beside drawn sets first, then all that are still in different components.
+
 *Links* are confirmed on the full sets. Before that a pair's minwise tokens are compared: linked sets agree at fewer
 than ``LEAST_AGREEING`` of them with a probability below 1e-5.
 """
@@ -34,7 +38,7 @@ from pyspark.sql import functions as F
 
 from emberlog.llm.common import Scratch, looked_up, ready
 from emberlog.llm.graph import labels_nearby, smallest_in_component
-from emberlog.llm.ngram_join import shingles
+from emberlog.llm.ngram_join import DRAWS, _cell_differences, _rare_features, _rare_pairs, _star_pairs, cell_counts, shingles
 
 #: Similarity of a link in percent; fixed value.
 SIMILAR = 85
@@ -227,6 +231,63 @@ def _met(live: DataFrame) -> DataFrame:
     return every.select("key", "key2").union(star).select(F.least("key", "key2").alias("a"), F.greatest("key", "key2").alias("b")).distinct()
 
 
+def _celled(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The feature counts by cell of the sets (key, text)."""
+    for batch in rows:
+        cells = [cell_counts(shingles(text)) for text in batch.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cells, pa.binary())], names=["key", "cells"])
+
+
+def _labelled(links: DataFrame, scratch: Scratch) -> DataFrame:
+    """``(key, part)`` of the sets that are linked: the same part only within a component."""
+    # Labels only save comparisons, so near ones will do until the end.
+    nearby = labels_nearby(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
+    return scratch.write(nearby.select(F.col("id").alias("key"), F.col("label").alias("part")), "labels")
+
+
+def _in_several(rows: DataFrame, name: str, labels: DataFrame) -> DataFrame:
+    """The rows (with a key), their part by these labels, of those groups by ``name`` that have several."""
+    rows = rows.join(labels, "key", "left").withColumn("part", F.coalesce("part", "key"))
+    ends = rows.groupBy(name).agg(F.min("part").alias("low"), F.max("part").alias("high"))
+    return rows.join(ends.filter("low < high").select(name), name, "left_semi")
+
+
+def _crowded_links(crowded: DataFrame, known: DataFrame, texts: DataFrame, links: DataFrame, scratch: Scratch) -> DataFrame:
+    """``links`` and those between sets of the crowded nodes (node, key) that are in different components without them."""
+    labels = _labelled(links, scratch)
+    still = _in_several(crowded, "node", labels).select("key", "part").distinct().join(known.select("key", "n"), "key")
+    still = scratch.write(still.join(texts, "key").select("key", "n", "part", "text"), "crowded-texts")
+    scratch.spent(labels)
+    if not still.count():
+        scratch.spent(still)
+        return links
+    early = _rare_features(still)
+    cells = scratch.write(still.select("key", "text").mapInArrow(_celled, "key long, cells binary"), "set-cells")
+    asked = None
+    for draw in range(DRAWS + 1):
+        met = _star_pairs(early, draw) if draw < DRAWS else _rare_pairs(early)
+        met = met.filter(100 * F.least("a_n", "b_n") >= SIMILAR * F.greatest("a_n", "b_n"))
+        met = scratch.write(met if asked is None else met.join(asked, ["a_key", "b_key"], "left_anti"), "crowded-pairs")
+        beside = _beside(met.select(F.col("a_key").alias("a"), "a_n", F.col("b_key").alias("b"), "b_n"), cells, "cells")
+        differ = beside.select("a", "a_n", "b", "b_n", "a_cells", "b_cells").mapInArrow(
+            _cell_differences, "a_key long, a_n long, b_key long, b_n long, shared long"
+        )
+        # ``shared`` holds the least difference of the sets, of which links have (100 - SIMILAR) / (100 + SIMILAR) at most.
+        close = differ.filter((100 + SIMILAR) * F.col("shared") <= (100 - SIMILAR) * (F.col("a_n") + F.col("b_n")))
+        close = scratch.write(close.select(F.col("a_key").alias("a"), F.col("b_key").alias("b")), "likely-pairs")
+        found = _beside(close, still, "text").select("a", "b", "a_text", "b_text").mapInArrow(_confirmed, _PAIR)
+        before, links = links, scratch.write(found.union(links), "links")
+        scratch.spent(close, before)
+        if draw < DRAWS:
+            asked = met.select("a_key", "b_key") if asked is None else asked.union(met.select("a_key", "b_key"))
+            labels = _labelled(links, scratch)
+            # A shingle whose sets are all in one component asks for nothing more.
+            early = scratch.write(_in_several(early.drop("part"), "feature", labels), "rare-features")
+            scratch.spent(labels)
+    scratch.spent(still, cells)
+    return links
+
+
 def _texts(docs: DataFrame, sets: DataFrame, keys: DataFrame) -> DataFrame:
     """``(key, text)`` of these sets, the text as UTF-8."""
     wanted = sets.select("key", "place").join(keys, "key", "left_semi")
@@ -239,7 +300,7 @@ def components(docs: DataFrame, sets: DataFrame, scratch: Scratch) -> DataFrame:
     """``(id, component)`` of the sets (key, n, place, tokens) that are linked with another: the least key there."""
     known = sets.select("key", "n", "tokens")
     rows = scratch.write(sets.select("key", "tokens").mapInArrow(_planted, _ROW), "tree-nodes")
-    texts = links = labels = None
+    texts = links = labels = crowded = None
     for level in range(len(STEPS)):
         live = scratch.write(_live(rows, level), "shared-nodes")
         scratch.spent(rows)
@@ -259,17 +320,19 @@ def components(docs: DataFrame, sets: DataFrame, scratch: Scratch) -> DataFrame:
         # What is still large and in several components goes on.
         if labels is not None:
             scratch.spent(labels)
-        # Labels only save comparisons, so near ones will do until the end.
-        nearby = labels_nearby(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
-        labels = scratch.write(nearby.select(F.col("id").alias("key"), F.col("label").alias("part")), "labels")
-        large = large.select("node", "key").join(labels, "key", "left").withColumn("part", F.coalesce("part", "key"))
-        open_nodes = large.groupBy("node").agg(F.min("part").alias("low"), F.max("part").alias("high")).filter("low < high").select("node")
-        going = large.join(open_nodes, "node", "left_semi").join(sets.select("key", "tokens"), "key").select("node", "key", "part", "tokens")
+        labels = _labelled(links, scratch)
+        large = _in_several(large.select("node", "key"), "node", labels)
+        if sum(STEPS[: level + 1]) == DEPTH:
+            crowded = scratch.write(large.select("node", "key"), "crowded-nodes")
+        going = large.join(sets.select("key", "tokens"), "key").select("node", "key", "part", "tokens")
         rows = scratch.write(going.mapInArrow(_grown(level + 1), _ROW), "tree-nodes")
         scratch.spent(live)
         if not rows.count():
             scratch.spent(rows)
             break
+    if crowded is not None:
+        links = _crowded_links(crowded, known, texts, links, scratch)
+        scratch.spent(crowded)
     found = smallest_in_component(links.select(F.col("a").alias("u"), F.col("b").alias("v")), scratch)
     scratch.spent(texts, links, *([] if labels is None else [labels]))
     return found

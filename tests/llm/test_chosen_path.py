@@ -111,6 +111,18 @@ def test_against_all_pairs(spark):
     assert copies > 300 and missed <= copies / 100
 
 
+def test_links_in_crowded_nodes_are_found(spark):
+    """Pairs just above the threshold among texts just below it: their nodes stay large for more tokens than a pair lasts."""
+    draw = random.Random(11)
+    base, texts = random_text(draw, 200), []
+    for _ in range(130):
+        one = edited(draw, base, 3)
+        texts += [one, edited(draw, one, 3)]
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    expected = brute(rows)
+    assert 20 < sum(not r[3] for r in expected) < 200 and found(spark, rows) == expected
+
+
 @pytest.mark.parametrize("rows", [ODD, [(i, "the same words in all of the rows") for i in range(500)], []])
 def test_odd_rows(spark, rows):
     assert found(spark, rows) == brute(rows)
