@@ -261,11 +261,11 @@ def _crowded_links(crowded: DataFrame, known: DataFrame, texts: DataFrame, links
     if not still.count():
         scratch.spent(still)
         return links
-    early = _rare_features(still)
+    early = _rare_features(still, SIMILAR)
     cells = scratch.write(still.select("key", "text").mapInArrow(_celled, "key long, cells binary"), "set-cells")
     asked = None
     for draw in range(DRAWS + 1):
-        met = _star_pairs(early, draw) if draw < DRAWS else _rare_pairs(early)
+        met = _star_pairs(early, draw, SIMILAR) if draw < DRAWS else _rare_pairs(early, SIMILAR)
         met = met.filter(100 * F.least("a_n", "b_n") >= SIMILAR * F.greatest("a_n", "b_n"))
         met = scratch.write(met if asked is None else met.join(asked, ["a_key", "b_key"], "left_anti"), "crowded-pairs")
         beside = _beside(met.select(F.col("a_key").alias("a"), "a_n", F.col("b_key").alias("b"), "b_n"), cells, "cells")

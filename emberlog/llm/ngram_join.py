@@ -39,6 +39,8 @@ from emberlog.llm.graph import labels_nearby, smallest_in_component
 from emberlog.session import materialise
 
 SHINGLE_WORDS = 5
+#: Similarity of a link in percent; fixed value.
+SIMILAR = 75
 
 #: Features a part holds on average in the smallest set of a band; in the largest it holds twice as many.
 LOAD = 1.25
@@ -336,12 +338,12 @@ def _bucket_counts(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(found.astype(np.int32)), pa.array(total[found])], names=["bucket", "held"])
 
 
-def _rare_rows(held) -> callable:
+def _rare_rows(held, similar: int) -> callable:
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
             for key, n, part, text in zip(*(batch.column(i).to_pylist() for i in range(4))):
                 features = shingles(text)
-                order = np.lexsort((features, held.value[_buckets(features)]))[: n - (3 * n + 3) // 4 + 1]
+                order = np.lexsort((features, held.value[_buckets(features)]))[: n - (similar * n + 99) // 100 + 1]
                 same = [pa.array(np.full(len(order), x, np.int64)) for x in (key, n, part)]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(_signed(features[order])), *same, pa.array(np.arange(1, len(order) + 1))],
@@ -351,28 +353,29 @@ def _rare_rows(held) -> callable:
     return run
 
 
-def _rare_features(sets: DataFrame) -> DataFrame:
+def _rare_features(sets: DataFrame, similar: int = SIMILAR) -> DataFrame:
     """``(feature, key, n, part, place)``: the shingles of ``sets`` (key, n, part, text) that a link may be met by.
 
     Shingles are ordered by how many of these sets have one of their bucket. The first one that two linked sets share
-    stands in the first quarter of both, so that enough are left for the overlap of a link; any common order will do.
+    stands early in both (in the first quarter for a similarity of 75 %), so that enough are left for the overlap of a
+    link; any common order will do.
     """
     counts = sets.select("text").mapInArrow(_bucket_counts, "bucket int, held long").groupBy("bucket").agg(F.sum("held").alias("held"))
     counted = counts.toArrow()
     held = np.zeros(BUCKETS, np.int64)
     held[counted["bucket"].to_numpy()] = counted["held"].to_numpy()
     held = sets.sparkSession.sparkContext.broadcast(np.minimum(held, np.iinfo(np.int32).max).astype(np.int32))
-    rows = sets.select("key", "n", "part", "text").mapInArrow(_rare_rows(held), "feature long, key long, n long, part long, place long")
+    rows = sets.select("key", "n", "part", "text").mapInArrow(_rare_rows(held, similar), "feature long, key long, n long, part long, place long")
     # What only one set has meets nothing.
     shared = rows.withColumn("copies", F.count("*").over(Window.partitionBy("feature"))).filter("copies > 1").drop("copies")
     return materialise(shared, "rare-features")
 
 
-def _met(a: DataFrame, b: DataFrame, *, once: Column) -> DataFrame:
+def _met(a: DataFrame, b: DataFrame, similar: int, *, once: Column) -> DataFrame:
     """The distinct pairs of rows with one feature that may be linked, from different parts, the smaller set first."""
     a, b = (t.select("feature", *(F.col(c).alias(f"{x}_{c}") for c in t.columns if c != "feature")) for x, t in (("a", a), ("b", b)))
     left = F.least(F.col("a_n") - F.col("a_place"), F.col("b_n") - F.col("b_place")) + 1
-    close = (F.col("a_part") != F.col("b_part")) & once & (7 * left >= 3 * (F.col("a_n") + F.col("b_n")))
+    close = (F.col("a_part") != F.col("b_part")) & once & ((100 + similar) * left >= similar * (F.col("a_n") + F.col("b_n")))
     x, y = (F.struct(F.col(f"{s}_n").alias("n"), F.col(f"{s}_key").alias("key")) for s in "ab")
     small, large = F.least(x, y), F.greatest(x, y)
     return a.join(b, "feature").filter(close).select(
@@ -380,20 +383,20 @@ def _met(a: DataFrame, b: DataFrame, *, once: Column) -> DataFrame:
     ).distinct()
 
 
-def _star_pairs(early: DataFrame, draw: int) -> DataFrame:
+def _star_pairs(early: DataFrame, draw: int, similar: int = SIMILAR) -> DataFrame:
     """Each set beside one, drawn by hash and anew for each ``draw``, of those that have a feature too."""
     drawn = F.min_by(F.struct("key", "n", "part", "place"), F.struct(F.xxhash64(F.lit(draw), "feature", "key", "n"), "key", "n"))
     hubs = early.groupBy("feature").agg(drawn.alias("hub"), F.min("part").alias("low"), F.max("part").alias("high"))
-    return _met(early, hubs.filter("low < high").select("feature", "hub.*"), once=F.lit(True))
+    return _met(early, hubs.filter("low < high").select("feature", "hub.*"), similar, once=F.lit(True))
 
 
-def _rare_pairs(early: DataFrame) -> DataFrame:
+def _rare_pairs(early: DataFrame, similar: int = SIMILAR) -> DataFrame:
     """All pairs of different parts that share one of the features: one of the two is outside the feature's commonest part."""
     by_part = early.groupBy("feature", "part").agg(F.count("*").alias("held")).groupBy("feature")
     usual = by_part.agg(F.max_by("part", F.struct("held", "part")).alias("usual"), F.count("*").alias("parts")).filter("parts > 1")
     early = early.join(usual.drop("parts"), "feature")
     once = (F.col("b_part") == F.col("b_usual")) | (F.struct("a_n", "a_key") < F.struct("b_n", "b_key"))
-    return _met(early.filter("part <> usual"), early, once=once)
+    return _met(early.filter("part <> usual"), early, similar, once=once)
 
 
 def _named(pairs: DataFrame, nodes: DataFrame) -> DataFrame:

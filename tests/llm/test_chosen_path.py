@@ -123,6 +123,26 @@ def test_links_in_crowded_nodes_are_found(spark):
     assert 20 < sum(not r[3] for r in expected) < 200 and found(spark, rows) == expected
 
 
+def test_crowded_texts_below_the_threshold_are_hardly_compared(spark, monkeypatch):
+    """Sets with a similarity of about two thirds: crowded, but few of them share a shingle that a link of 85 % is met by."""
+    draw = random.Random(12)
+    base = random_text(draw, 200)
+    texts = [edited(draw, base, 4) for _ in range(300)]
+    texts += [edited(draw, texts[i], 1) for i in range(0, 300, 30)]
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    asked, write = [], Scratch.write
+
+    def counting(self, df, name):
+        table = write(self, df, name)
+        if name == "crowded-pairs":
+            asked.append(table.count())
+        return table
+
+    monkeypatch.setattr(Scratch, "write", counting)
+    assert found(spark, rows) == brute(rows)
+    assert asked and sum(asked) < 300 * 300 / 2 / 4
+
+
 @pytest.mark.parametrize("rows", [ODD, [(i, "the same words in all of the rows") for i in range(500)], []])
 def test_odd_rows(spark, rows):
     assert found(spark, rows) == brute(rows)
