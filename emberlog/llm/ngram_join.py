@@ -16,10 +16,11 @@ many documents share do not make signatures while there are others. Any order is
 
 *From signatures to links.* Equal sets are one node. Each group of equal signatures is cut into classes of like size
 (within a factor of 4/3); every node is compared with the first of its class and the first of the class below; the true
-links make components. The sets of groups that still have several components meet once more, by single shingles, rarest
-first (see ``_rare_features``), and pairs in different components are compared too. So large groups of copies cost a
-comparison or two a member and not all pairs, and neither do large groups that only share a passage. A pair is compared by 256 counts of features first, whose differences are
-a lower bound of the sets' difference, and by the texts if that does not rule the link out.
+links make components. In a group of at most ``SMALL`` nodes all pairs in different components are compared too. The
+sets of larger groups that still have several components meet once more, by single shingles, rarest first (see
+``_rare_features``), and so are their pairs. So large groups of copies cost a comparison or two a member and not all
+pairs, and neither do large groups that only share a passage. A pair is compared by 256 counts of features first, whose
+differences are a lower bound of the sets' difference, and by the texts if that does not rule the link out.
 """
 
 from __future__ import annotations
@@ -34,7 +35,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from emberlog.llm.common import WORD, Scratch, packed, ready
+from emberlog.llm.common import WORD, Scratch, looked_up, packed, ready
 from emberlog.llm.graph import labels_nearby, smallest_in_component
 from emberlog.session import materialise
 
@@ -52,6 +53,9 @@ LEVELS = 6
 WIDESPREAD_SHARE = 1 / 5_000
 MOST_WIDESPREAD = 1 << 18
 
+#: Nodes of a group whose pairs in different components are all compared: a few for each member.
+SMALL = 8
+
 #: Rounds in which each set is compared with one drawn set per rare shingle, before all that are still apart.
 DRAWS = 3
 
@@ -143,6 +147,11 @@ def _set_key(features: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(features.tobytes()) - (1 << 63)
 
 
+def _node(key: str, n: str) -> Column:
+    """The name of the node of a set."""
+    return F.xxhash64(key, n)
+
+
 def _bands(n: int) -> list[tuple[int, int]]:
     """``(band, d)``: where a set of ``n`` features is compared, and how many features may differ there at most."""
     band = n.bit_length() - 1
@@ -304,21 +313,30 @@ def _cell_differences(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(differ)], schema=_PAIR_ARROW)
 
 
-def _tested(pairs: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
-    """Those of the pairs that are linked."""
+def _both(pairs: DataFrame, table: DataFrame, column: str) -> DataFrame:
+    """The pairs with this column of ``table`` (key, n) for either side."""
 
-    def side(table: DataFrame, name: str, column: str) -> DataFrame:
+    def side(name: str) -> DataFrame:
         return table.select(F.col("key").alias(f"{name}_key"), F.col("n").alias(f"{name}_n"), F.col(column).alias(f"{name}_{column}"))
 
-    def both(of: DataFrame, table: DataFrame, column: str) -> DataFrame:
-        joined = of.join(side(table, "b", column), ["b_key", "b_n"]).join(side(table, "a", column), ["a_key", "a_n"])
-        return joined.select("a_key", "a_n", "b_key", "b_n", f"a_{column}", f"b_{column}")
+    joined = pairs.join(side("b"), ["b_key", "b_n"]).join(side("a"), ["a_key", "a_n"])
+    return joined.select("a_key", "a_n", "b_key", "b_n", f"a_{column}", f"b_{column}")
+
 
-    total, shared = F.col("a_n") + F.col("b_n"), F.col("shared")
+def _likely(pairs: DataFrame, cells: DataFrame, scratch: Scratch) -> DataFrame:
+    """Those of the pairs that ``cells`` (key, n, cells) do not rule out."""
     # Here ``shared`` holds the least difference; similar sets differ in a seventh of their sizes' sum at most.
-    rough = both(pairs, nodes, "cells").mapInArrow(_cell_differences, _PAIR).filter(7 * shared <= total).drop("shared")
-    exact = both(materialise(rough, "rough-pairs"), texts, "text").mapInArrow(_compared, _PAIR)
-    return materialise(exact.filter(100 * shared >= 75 * (total - shared)).drop("shared"), "tested-pairs")
+    rough = _both(pairs, cells, "cells").mapInArrow(_cell_differences, _PAIR)
+    return scratch.write(rough.filter(7 * F.col("shared") <= F.col("a_n") + F.col("b_n")).drop("shared"), "rough-pairs")
+
+
+def _confirmed(likely: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFrame:
+    """Links as edges between nodes: those of the pairs that are linked by their ``texts`` (key, n, text)."""
+    exact = _both(likely, texts, "text").mapInArrow(_compared, _PAIR)
+    linked = exact.filter(100 * F.col("shared") >= SIMILAR * (F.col("a_n") + F.col("b_n") - F.col("shared")))
+    found = scratch.write(linked.select(_node("a_key", "a_n").alias("u"), _node("b_key", "b_n").alias("v")), "links")
+    scratch.spent(likely)
+    return found
 
 
 #: Shingles are counted by bucket of their hash, for their order only: the table is of this size whatever the input.
@@ -399,12 +417,13 @@ def _rare_pairs(early: DataFrame, similar: int = SIMILAR) -> DataFrame:
     return _met(early.filter("part <> usual"), early, similar, once=once)
 
 
-def _named(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Links between sets as edges between their nodes."""
-    ids = nodes.select("key", "n", "node")
-    a = ids.select(F.col("key").alias("a_key"), F.col("n").alias("a_n"), F.col("node").alias("u"))
-    b = ids.select(F.col("key").alias("b_key"), F.col("n").alias("b_n"), F.col("node").alias("v"))
-    return pairs.join(a, ["a_key", "a_n"]).join(b, ["b_key", "b_n"]).select("u", "v")
+def _small_group_pairs(split: DataFrame) -> DataFrame:
+    """All pairs from different parts of the groups ``split`` (sig, key, n, part) of few members, the smaller set first."""
+    sets = split.filter(F.col("sig.members") <= SMALL).groupBy("sig").agg(F.collect_list(F.struct("n", "key", "part")).alias("sets"))
+    pairs = sets.select("sets", F.explode("sets").alias("a")).select("a", F.explode("sets").alias("b"))
+    once = F.struct("a.n", "a.key") < F.struct("b.n", "b.key")
+    pairs = pairs.filter((F.col("a.part") != F.col("b.part")) & once & (4 * F.col("a.n") >= 3 * F.col("b.n")))
+    return pairs.select(F.col("a.key").alias("a_key"), F.col("a.n").alias("a_n"), F.col("b.key").alias("b_key"), F.col("b.n").alias("b_n")).distinct()
 
 
 def _linked(docs: DataFrame) -> DataFrame:
@@ -415,7 +434,7 @@ def _linked(docs: DataFrame) -> DataFrame:
     spark = ready(docs.sparkSession)
     scratch = Scratch(spark)
     plain = docs.select("doc_id", "text", F.xxhash64("text").alias("place"))
-    profiles = materialise(plain.mapInArrow(_profiles, _PROFILE), "shingle-profiles")
+    profiles = scratch.write(plain.mapInArrow(_profiles, _PROFILE), "shingle-profiles")
     documents = profiles.filter(F.col("tag") == _DOCUMENT)
 
     least = max(16, int(documents.count() * WIDESPREAD_SHARE))
@@ -431,9 +450,9 @@ def _linked(docs: DataFrame) -> DataFrame:
             F.min_by("place", F.struct("doc_id", "place")).alias("place"),
             F.first("cells").alias("cells"),
         )
-        .withColumn("node", F.xxhash64("key", "n"))
+        .withColumn("node", _node("key", "n"))
     )
-    nodes = materialise(nodes, "shingle-sets")
+    nodes = scratch.write(nodes, "shingle-sets")
 
     # Groups of equal signatures; each member beside the first of its size class and the first of the class below.
     rows = docs.select("text").mapInArrow(_signature_rows(widespread), "sig long, key long, n int")
@@ -452,7 +471,7 @@ def _linked(docs: DataFrame) -> DataFrame:
         F.expr("bit_xor(xxhash64(n, key))").over(whole).alias("mark"), F.expr("bit_xor(xxhash64(key, n))").over(whole).alias("mark2"),
     ).filter("members > 1")
     # Signatures with the same members ask for the same comparisons: such groups become one, named by its members.
-    groups = materialise(
+    groups = scratch.write(
         near.groupBy(F.struct("members", "mark", "mark2").alias("sig"), "size_class", "key", "n").agg(
             F.first("hub.key").alias("hub_key"), F.first("hub.n").cast("long").alias("hub_n"),
             F.first("below.key").alias("below_key"), F.first("below.n").cast("long").alias("below_n"),
@@ -469,40 +488,64 @@ def _linked(docs: DataFrame) -> DataFrame:
             F.col(key).alias("a_key"), F.col(n).alias("a_n"), F.col("key").alias("b_key"), F.col("n").alias("b_n")
         )
 
-    first = materialise(pairs_with("hub_key", "hub_n").union(pairs_with("below_key", "below_n")).distinct(), "pairs")
-    # The texts of the sets that share a signature with another.
-    wanted = groups.select("key", "n").distinct().join(nodes, ["key", "n"]).select("key", "n", F.col("least_id").alias("doc_id"), "place")
-    found = plain.withColumnRenamed("doc_id", "own_id").join(
-        wanted, F.col("own_id").eqNullSafe(F.col("doc_id")) & (plain["place"] == wanted["place"])
-    )
-    texts = materialise(found.groupBy("key", "n").agg(F.first("text").alias("text")), "candidate-texts")
+    first = scratch.write(pairs_with("hub_key", "hub_n").union(pairs_with("below_key", "below_n")).distinct(), "pairs")
+    # The texts of the sets that share a signature with another; others are not shuffled. Repeated rows meet in one place.
+    mark = F.xxhash64("doc_id", "place").alias("mark")
+    wanted = groups.select("key", "n").distinct().join(nodes.withColumnRenamed("least_id", "doc_id"), ["key", "n"])
+    wanted = scratch.write(wanted.select("key", "n", mark), "wanted-texts")
+    found = looked_up(plain.select("text", mark), wanted.select("mark"), "mark").join(wanted, "mark")
+    found = found.groupBy("mark").agg(F.first("key").alias("key"), F.first("n").alias("n"), F.first("text").alias("text"))
+    texts = scratch.write(found.drop("mark"), "candidate-texts")
+    scratch.spent(wanted)
+    del found
+    scratch.free_shuffles()
 
     pair = ["a_key", "a_n", "b_key", "b_n"]
-    tested = _tested(first, nodes, texts)
-
-    def labelled(linked: DataFrame) -> DataFrame:
-        """A name for every set, the same only within a component: it saves comparisons, so a near one will do."""
-        parts = scratch.write(labels_nearby(_named(linked, nodes)), "labels")
-        return nodes.join(parts, F.col("id") == F.col("node"), "left").select("key", "n", F.coalesce("label", "node").alias("part"))
-
-    # Sets of groups whose members are still in different components meet once more, by their rarest shingles: each beside
-    # one set that has the shingle too, a few times with another one, then whatever is in different components still.
-    split = groups.select("sig", "key", "n").join(labelled(tested), ["key", "n"])
-    apart = split.groupBy("sig").agg(F.min("part").alias("low"), F.max("part").alias("high")).filter("low < high").select("sig")
-    still = split.join(apart, "sig", "left_semi").select("key", "n", "part").distinct()
-    early = _rare_features(materialise(still.join(texts, ["key", "n"]), "open-sets"))
-    asked = first
-    for draw in range(DRAWS):
-        stars = materialise(_star_pairs(early, draw).join(asked, pair, "left_anti"), "star-pairs")
-        asked, tested = asked.union(stars), tested.union(_tested(stars, nodes, texts))
-        early = early.drop("part").join(labelled(tested), ["key", "n"])
-        # A shingle whose sets are all in one component asks for nothing more.
-        ends = early.groupBy("feature").agg(F.min("part").alias("low"), F.max("part").alias("high")).filter("low < high")
-        early = materialise(early.join(ends.select("feature"), "feature", "left_semi"), "rare-features")
+    edges = _confirmed(_likely(first, nodes, scratch), texts, scratch)
+    scratch.free_shuffles()
+
+    def labelled(sets: DataFrame, labels: DataFrame) -> DataFrame:
+        """``sets`` with a name for each, the same only within a component: it saves comparisons, so a near one will do."""
+        known = sets.withColumn("id", _node("key", "n")).join(labels, "id", "left")
+        return known.withColumn("part", F.coalesce("label", "id")).drop("id", "label")
+
+    # Sets of groups whose members are still in different components: small groups give all pairs. Sets of others meet once
+    # more, by their rarest shingles: each beside one set that has the shingle too, a few times with another one, then
+    # whatever is in different components still.
+    labels = scratch.write(labels_nearby(edges), "labels")
+    split = labelled(groups.select("sig", "key", "n"), labels)
+    small = scratch.write(_small_group_pairs(split).join(first, pair, "left_anti"), "small-group-pairs")
+    large = split.filter(F.col("sig.members") > SMALL)
+    apart = large.groupBy("sig").agg(F.min("part").alias("low"), F.max("part").alias("high")).filter("low < high").select("sig")
+    still = scratch.write(large.join(apart, "sig", "left_semi").select("key", "n", "part").distinct(), "open-sets")
+    scratch.spent(labels, groups)
+    asked, second = first, small
+    if still.count():
+        some = looked_up(texts, still.select("key"), "key").join(nodes.select("key", "n", "cells"), ["key", "n"])
+        open_texts = scratch.write(still.join(some, ["key", "n"]), "open-texts")
+        del some
         scratch.free_shuffles()
-    second = _rare_pairs(early).join(asked, pair, "left_anti")
-    links = scratch.write(tested.union(_tested(second, nodes, texts)), "links")
-    parts = smallest_in_component(_named(links, nodes), scratch)
+        early = _rare_features(open_texts)
+        for draw in range(DRAWS):
+            stars = scratch.write(_star_pairs(early, draw).join(asked, pair, "left_anti"), "star-pairs")
+            asked, edges = asked.union(stars), edges.union(_confirmed(_likely(stars, open_texts, scratch), open_texts, scratch))
+            labels = scratch.write(labels_nearby(edges), "labels")
+            early = labelled(early.drop("part"), labels)
+            # A shingle whose sets are all in one component asks for nothing more.
+            ends = early.groupBy("feature").agg(F.min("part").alias("low"), F.max("part").alias("high")).filter("low < high")
+            early = materialise(early.join(ends.select("feature"), "feature", "left_semi"), "rare-features")
+            scratch.spent(labels)
+            scratch.free_shuffles()
+            if not early.count():
+                break
+        second = _rare_pairs(early).union(small).distinct().join(asked, pair, "left_anti")
+        scratch.spent(open_texts)
+    likely = _likely(second, nodes, scratch)
+    compared = likely.select(F.col("a_key").alias("key")).union(likely.select("b_key"))
+    edges = edges.union(_confirmed(likely, looked_up(texts, compared, "key"), scratch))
+    scratch.spent(texts)
+    scratch.free_shuffles()
+    parts = smallest_in_component(edges, scratch)
 
     labels = nodes.join(parts, F.col("id") == F.col("node"), "left").select("key", "n", "least_id", F.coalesce("component", "node").alias("part"))
     # Components have names of their own, as rows with one doc_id may have different texts, or no doc_id at all.

@@ -422,6 +422,26 @@ def test_join_against_all_pairs(spark):
     assert kept == sorted(set(part))
 
 
+def test_small_groups_need_no_rare_shingles(spark, monkeypatch):
+    """Three texts with one signature in common at least, of which the outer two are not linked with the first of the group."""
+    asked = []
+    monkeypatch.setattr(ngram_join, "_rare_features", lambda sets, *a, f=ngram_join._rare_features: asked.append(sets.count()) or f(sets, *a))
+    rng = random.Random(4)
+    texts = []
+    for _ in range(12):
+        base = [f"w{rng.randrange(10**6)}" for _ in range(80)]
+        for cut in (0, 16, 32):
+            texts.append(" ".join([*base[cut:], *(f"w{rng.randrange(10**6)}" for _ in range(cut // 2))]))
+    sets, part = [_sets(t) for t in texts], list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j]):
+                part = [part[j] if p == part[i] else p for p in part]
+    found = ngram_join.near_duplicates(documents(spark, texts)).orderBy("doc_id").collect()
+    assert [r["component_id"] for r in found] == [min(i for i, q in enumerate(part) if q == p) for p in part]
+    assert not asked
+
+
 def test_one_row_of_each_component(spark):
     rng = random.Random(13)
     base = [rng.choices([f"w{i}" for i in range(300)], k=60) for _ in range(6)]

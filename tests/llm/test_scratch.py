@@ -3,7 +3,7 @@
 import os
 import random
 
-from emberlog.llm import kneser_ney
+from emberlog.llm import kneser_ney, ngram_join
 from emberlog.session import shared_dir
 
 
@@ -31,3 +31,10 @@ def test_kneser_ney_leaves_no_texts_or_model(spark):
     rows, names = left(spark, lambda: kneser_ney.judge_perplexity(docs, labels))
     assert len(rows) == 60
     assert not names & {"trusted-texts", "bigrams", "words", "word-levels", "words-and-bigrams"}
+
+
+def test_ngram_join_leaves_no_texts(spark):
+    docs = spark.createDataFrame(texts(60), "doc_id long, lang string, text string")
+    rows, names = left(spark, lambda: ngram_join.near_duplicates(docs))
+    assert len(rows) == 60
+    assert not names & {"candidate-texts", "wanted-texts", "open-texts", "signature-groups", "labels", "rough-pairs"}
